@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from fojas import fixed
 
-LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85  ]"
+LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
 def _folding_tables() -> tuple[str, str]:
@@ -213,10 +213,6 @@ def reflow(c: Column) -> Column:
     return F.replace(F.replace(marked, F.lit("\n"), F.lit(" ")), F.lit("\u0000"), F.lit("\n"))
 
 
-def sql_literal(c: Column | str) -> Column:
-    return F.lit(c) if isinstance(c, str) else c
-
-
 def fill_template(template: str, **values: Column) -> Column:
     """A fixed text with ``{name}`` slots filled from columns."""
     parts: list[Column] = []

@@ -70,7 +70,9 @@ def roman(n: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lowercase with accents removed; other letters stay as they are."""
-    return F.regexp_replace(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    lowered = F.lower(c)
+    folded = F.regexp_replace(F.translate(lowered, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    return F.when(lowered.rlike(r"[^\x00-\x7F]"), folded).otherwise(lowered)
 
 
 def words(c: Column) -> Column:

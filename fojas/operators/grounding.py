@@ -227,6 +227,8 @@ def ground(responses: DataFrame, documents: DataFrame, extra_keys: tuple[str, ..
     states of a response that is still arriving.
     """
     keys = ["answer_id", *extra_keys]
+    # One exchange of the compact raw rows; join, windows and aggregation below all reuse it.
+    responses = responses.repartition("answer_id")
     joined = responses.join(documents_by_answer(documents), "answer_id", "left")
     joined = joined.withColumn(
         "has_sections", F.coalesce(F.exists("docs", lambda d: d["term"].isNull()), F.lit(False))

@@ -7,6 +7,7 @@ regex offsets, so they stay right outside the basic plane.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -80,12 +81,19 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is evaluated once, also when the body uses it inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct runs of n consecutive tokens, joined by a space."""
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " ")
-    )
-    return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def phrase(term: Column) -> Column:
@@ -128,14 +136,13 @@ def matches_at(c: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
     groups = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    gaps = F.split(c, pattern)
-
-    def one(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda acc, g: acc + F.length(g))
-        passed = F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda acc, g: acc + F.length(g))
-        return F.struct((before + passed).alias("at"), m.alias("text"), F.element_at(groups, i + 1).alias("group"))
-
-    return F.transform(found, one)
+    reached = F.zip_with(F.split(c, pattern), found, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
+    matched = F.zip_with(found, groups, lambda m, g: F.struct(m.alias("text"), g.alias("group")))
+    placed = F.zip_with(
+        matched, running_ends(reached),
+        lambda m, e: F.struct((e - F.length(m["text"])).alias("at"), m["text"].alias("text"), m["group"].alias("group")),
+    )
+    return F.filter(placed, lambda m: m["text"].isNotNull())
 
 
 def expand_pages(spec: Column) -> Column:

@@ -21,9 +21,13 @@ def _tokens(c: Column) -> Column:
 
 def _text_keys(c: Column) -> Column:
     """Distinct tokens and neighbouring token pairs of a text."""
-    tokens = _tokens(c)
-    pairs = F.zip_with(tokens, F.slice(tokens, F.lit(2), F.size(tokens)), lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit(""))))
-    return F.array_distinct(F.concat(tokens, pairs))
+
+    def keys(tokens: Column) -> Column:
+        following = F.slice(tokens, F.lit(2), F.size(tokens))
+        pairs = F.zip_with(tokens, following, lambda a, b: F.concat_ws(" ", a, F.coalesce(b, F.lit(""))))
+        return F.array_distinct(F.concat(tokens, pairs))
+
+    return T.let(_tokens(c), keys)
 
 
 def _phrase_keys(p: Column) -> Column:

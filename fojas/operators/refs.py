@@ -9,40 +9,34 @@ from fojas import fixed
 from fojas.functions import text as T
 
 
-def _clause(text: Column, at: Column, length: Column, heading: Column) -> Column:
-    """The lines around a match, widened to its clause but never into the heading.
-
-    Backwards up to a line that ends a clause, is a paragraph mark, or only repeats the heading;
-    forwards to a line that ends the clause or stands before a paragraph mark.
-    """
-    lines = F.split(text, "\n")
+def _closes(line: Column, heading: Column) -> Column:
+    """Whether a clause can only start after this line."""
+    own = F.array_except(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != ""), heading)
+    only_heading = T.nonblank(line) & (F.size(own) == 0)
+    return line.rlike(fixed.CLAUSE_END) | line.rlike(fixed.PARAGRAPH_LINE) | only_heading
 
-    def breaks(upto: Column) -> Column:
-        head = F.substring(text, F.lit(1), upto)
-        return F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
 
-    first = breaks(at)
-    last = breaks(F.greatest(at + length, at + 1) - 1)
+def _ends(line: Column, following: Column) -> Column:
+    """Whether a clause ends with this line; NULL for a line past the last."""
+    next_is_mark = following.isNull() | following.rlike(fixed.PARAGRAPH_LINE)
+    return F.when(line.isNotNull(), next_is_mark | line.rlike(fixed.CLAUSE_END))
 
-    def closes(line: Column) -> Column:
-        own = F.array_except(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != ""), heading)
-        only_heading = T.nonblank(line) & (F.size(own) == 0)
-        return line.rlike(fixed.CLAUSE_END) | line.rlike(fixed.PARAGRAPH_LINE) | only_heading
 
-    def ends(line: Column, i: Column) -> Column:
-        following = F.try_element_at(lines, i + 2)
-        return (
-            following.isNull() | line.rlike(fixed.CLAUSE_END) | F.coalesce(following.rlike(fixed.PARAGRAPH_LINE), F.lit(False))
-        )
+def _clause() -> Column:
+    """The lines around a match, widened to its clause but never into the heading.
 
-    closed_before = F.array_max(
-        F.filter(F.transform(lines, lambda x, i: F.when((i < first) & closes(x), i)), lambda i: i.isNotNull())
-    )
-    start = F.coalesce(closed_before + 1, F.lit(0))
-    stop = F.array_min(
-        F.filter(F.transform(lines, lambda x, i: F.when((i >= last) & ends(x, i), i)), lambda i: i.isNotNull())
-    )
-    return T.strip(F.array_join(F.slice(lines, start + 1, stop - start + 1), "\n"))
+    Backwards up to a line that ends a clause, is a paragraph mark, or only repeats the heading;
+    forwards to a line that ends the clause or stands before a paragraph mark. Uses the page's
+    ``lines``, ``line_ends``, ``closes`` and ``ends`` and the match's ``at`` and ``n``.
+    """
+    first = F.size(F.filter("line_ends", lambda e: e <= F.col("at")))
+    last = F.size(F.filter("line_ends", lambda e: e < F.greatest(F.col("at") + F.col("n"), F.col("at") + 1)))
+    back = F.array_position(F.reverse(F.slice("closes", F.lit(1), first)), F.lit(True))
+    start = F.when(back > 0, first - back + 1).otherwise(0)
+    ahead = F.array_position(F.slice("ends", last + 1, F.size("lines")), F.lit(True))
+    stop = last + ahead - 1
+    taken = F.slice("lines", start.cast("int") + 1, (stop - start + 1).cast("int"))
+    return T.strip(F.array_join(taken, "\n"))
 
 
 def references(section_pages: DataFrame) -> DataFrame:
@@ -51,12 +45,18 @@ def references(section_pages: DataFrame) -> DataFrame:
     ``section_pages``: content_hash, part, section, section_ord, title, page_index, text. Targets are
     other parts, and sections of any part but never the section itself.
     """
-    pages = section_pages.select(
-        "content_hash", "part", "section", "section_ord", "title", "page_index", "text",
-        F.array_union(F.array("section"), F.filter(F.split("title", r"(?U)\s+"), lambda w: w != "")).alias("heading"),
+    heading = F.array_union(F.array("section"), F.filter(F.split("title", r"(?U)\s+"), lambda w: w != ""))
+    split = section_pages.select(
+        "content_hash", "part", "section", "section_ord", "page_index", "text", heading.alias("heading"), F.split("text", "\n").alias("lines")
+    )
+    pages = split.select(
+        "content_hash", "part", "section", "section_ord", "page_index", "lines",
+        T.running_ends(F.transform("lines", lambda x: F.concat(x, F.lit("\n")))).alias("line_ends"),
+        F.transform("lines", lambda x: _closes(x, F.col("heading"))).alias("closes"),
+        F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), _ends).alias("ends"),
         T.matches_at(F.col("text"), fixed.PART_REFERENCE).alias("part_matches"),
         T.matches_at(F.col("text"), fixed.SECTION_REFERENCE).alias("section_matches"),
-    ).filter((F.size("part_matches") > 0) | (F.size("section_matches") > 0))
+    )
 
     none = F.lit(None).cast("string")
     to_parts = F.flatten(
@@ -80,21 +80,22 @@ def references(section_pages: DataFrame) -> DataFrame:
         )
     )
     found = pages.select(
-        "content_hash", "part", "section", "section_ord", "page_index", "text", "heading",
+        "content_hash", "part", "section", "section_ord", "page_index", "lines", "line_ends", "closes", "ends",
         F.inline(F.concat(to_parts, to_sections)),
     ).filter(
         (F.col("to_section").isNull() & (F.col("to_part") != F.col("part")))
         | (F.col("to_section").isNotNull() & (F.col("to_section") != F.col("section")))
     )
-    clause = _clause(F.col("text"), F.col("at"), F.col("n"), F.col("heading"))
-    # First per target by aggregation, so repeats are combined before the shuffle; the winning clause
-    # is cut only once per group.
-    first = found.groupBy("content_hash", "part", "section", "section_ord", "to_part", "to_section").agg(
-        F.min_by(F.struct("page_index", "at", "item", "n", "text", "heading"), F.struct("page_index", "at", "item")).alias("m")
+    # The clause is cut before the aggregation, so only it is shuffled and not the page; the first
+    # per target is an aggregate, so repeats are combined before the shuffle.
+    cut = found.select(
+        "content_hash", "part", "section", "section_ord", "to_part", "to_section", "page_index", "at", "item", _clause().alias("clause")
+    )
+    first = cut.groupBy("content_hash", "part", "section", "section_ord", "to_part", "to_section").agg(
+        F.min(F.struct("page_index", "at", "item", "clause")).alias("m")
     )
-    flat = first.select("content_hash", "part", "section", "section_ord", "to_part", "to_section", "m.*")
-    return flat.select(
-        "content_hash", "part", "section", "section_ord", "to_part", "to_section", "page_index", "at", "item", clause.alias("text")
+    return first.select(
+        "content_hash", "part", "section", "section_ord", "to_part", "to_section", "m.page_index", "m.at", "m.item", F.col("m.clause").alias("text")
     )
 
 

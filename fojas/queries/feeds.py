@@ -6,13 +6,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def texts(documents: DataFrame) -> DataFrame:
+    """Documents as answer texts: answer_id, lang, n_chars, source, text."""
+    return documents.select(F.col("doc_id").cast("string").alias("answer_id"), "lang", "n_chars", "source", "text")
+
+
+def turns(conversations: DataFrame) -> DataFrame:
+    """Conversation turns in the shape of ``texts``."""
+    answer_id = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return conversations.select(
+        answer_id.alias("answer_id"), F.col("role").alias("lang"), F.length("text").cast("bigint").alias("n_chars"),
+        F.col("role").alias("source"), "text",
+    )
+
+
 def document_lines(documents: DataFrame):
     """The non-blank lines of a document, as an array expression."""
     return F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
 
 
-def answer_responses(documents: DataFrame) -> DataFrame:
-    """One recorded answer per document: every second line is a cited span, the others are prose.
+def answer_content(documents: DataFrame):
+    """The content blocks of one recorded answer per text: every second line is a cited span, the others are prose.
 
     Prose lines whose number divides by three open a list item. The language stands for the verdict:
     German texts cover nothing, French ones a part.
@@ -44,9 +58,14 @@ def answer_responses(documents: DataFrame) -> DataFrame:
         return F.array(F.when(n % 2 == 0, block(line, citation(line, n / 2))).otherwise(prose), block(F.lit("\n")))
 
     opening = block(F.concat(F.lit("COBERTURA: "), verdict, F.lit("\n\n")))
-    content = F.concat(F.array(opening), F.flatten(F.transform(document_lines(documents), blocks)))
-    raw = F.to_json(F.struct(F.lit("m").alias("model"), F.lit("end_turn").alias("stop_reason"), content.alias("content")))
-    return documents.select(F.col("doc_id").cast("string").alias("answer_id"), raw.alias("raw"))
+    return F.concat(F.array(opening), F.flatten(F.transform(document_lines(documents), blocks)))
+
+
+def answer_responses(documents: DataFrame) -> DataFrame:
+    """Recorded answers (see ``answer_content``) as raw JSON responses."""
+    content = answer_content(documents).alias("content")
+    raw = F.to_json(F.struct(F.lit("m").alias("model"), F.lit("end_turn").alias("stop_reason"), content))
+    return documents.select("answer_id", raw.alias("raw"))
 
 
 def answer_documents(documents: DataFrame) -> DataFrame:
@@ -68,10 +87,10 @@ def answer_documents(documents: DataFrame) -> DataFrame:
         )
         return F.struct(
             F.lit(index).alias("document_index"), F.lit(part).alias("part"),
-            F.concat(F.lit(part + "."), F.col("doc_id").cast("string")).alias("section"), F.col("source").alias("title"),
+            F.concat(F.lit(part + "."), F.col("answer_id")).alias("section"), F.col("source").alias("title"),
             F.lit(None).cast("string").alias("term"), F.concat(F.lit("https://example.org/"), F.lit(part)).alias("source_url"),
             pages.alias("pages"), F.array(ref).alias("refs"),
         )
 
     both = F.explode(F.array(section(0, "61"), section(1, "91"))).alias("d")
-    return documents.select(F.col("doc_id").cast("string").alias("answer_id"), both).select("answer_id", "d.*")
+    return documents.select("answer_id", both).select("answer_id", "d.*")

@@ -10,15 +10,25 @@ from fojas.queries import feeds
 from fojas.queries import sqltext as S
 from fojas.queries.registry import query, table
 
-# Answers of the documents table in SQL: lines, spans, cuts, pieces and their layout.
-ANSWERS = rf"""
+DOCUMENT_SOURCE = "SELECT CAST(doc_id AS VARCHAR) AS answer_id, lang, n_chars, source, text FROM documents"
+TURN_SOURCE = (
+    "SELECT conv_id || '-' || turn AS answer_id, role AS lang, length(text) AS n_chars, role AS source, text FROM conversations"
+)
+
+
+def answers_sql(source: str) -> str:
+    """Answers made from a table of texts, in SQL: lines, spans, cuts, pieces and their layout."""
+    return ANSWERS_TEMPLATE.replace("$SOURCE", source)
+
+
+ANSWERS_TEMPLATE = rf"""
 l AS (
-  SELECT CAST(doc_id AS VARCHAR) AS answer_id, lang, n_chars, source,
+  SELECT answer_id, lang, n_chars, source,
     CASE lang WHEN 'de' THEN 'ninguna' WHEN 'fr' THEN 'parcial' ELSE 'total' END AS coverage,
     'COBERTURA: ' || CASE lang WHEN 'de' THEN 'ninguna - lo regula la Parte 67.'
       WHEN 'fr' THEN 'parcial - lo regula la Parte 67.' ELSE 'total' END AS opening,
     list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls
-  FROM documents),
+  FROM ($SOURCE)),
 b AS (
   SELECT answer_id, n, line, CASE WHEN n % 2 = 1 AND n % 3 = 0 THEN '- ' || line ELSE line END AS t
   FROM (SELECT answer_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM l)),
@@ -95,9 +105,11 @@ ans AS (
     FROM s LEFT JOIN sc ON sc.answer_id = s.answer_id AND sc.p_start = s.p_start GROUP BY 1) x ON x.aid = f.answer_id)
 """
 
+ANSWERS = answers_sql(DOCUMENT_SOURCE)
+
 
 def grounded(spark, sf):
-    documents = table(spark, sf, "documents")
+    documents = feeds.texts(table(spark, sf, "documents"))
     responses = G.parse_responses(feeds.answer_responses(documents))
     return G.ground(responses, feeds.answer_documents(documents))
 

@@ -1,4 +1,4 @@
-from fojas.queries import corpus, evaluation, grounding  # noqa: F401
+from fojas.queries import corpus, evaluation, grounding, retrieval  # noqa: F401
 from fojas.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

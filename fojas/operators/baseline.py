@@ -34,8 +34,19 @@ def tagged(answers: DataFrame) -> DataFrame:
     """
     a = answers.withColumn("found", F.regexp_extract_all("text", F.lit(fixed.TAG), F.lit(0)))
     a = a.withColumn("gaps", F.split("text", fixed.TAG)).withColumn("prose", F.array_join("gaps", ""))
-    offset = lambda i: F.length(T.rstrip(F.array_join(F.slice("gaps", F.lit(1), i + 1), "")))
-    a = a.withColumn("tags", F.transform("found", lambda t, i: F.struct(t.alias("tag"), i.alias("i"), offset(i).alias("at"))))
+    # Where the prose before each tag ends, not counting the spaces in front of the tag.
+    walk = "struct<total: int, at: int, ends: array<int>>"
+
+    def advance(acc: Column, gap: Column) -> Column:
+        at = F.when(T.nonblank(gap), acc["total"] + F.length(T.rstrip(gap))).otherwise(acc["at"])
+        return T.let(at, lambda x: F.struct(
+            (acc["total"] + F.length(gap)).alias("total"), x.alias("at"), F.concat(acc["ends"], F.array(x)).alias("ends")
+        ).cast(walk))
+
+    zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")).cast(walk)
+    a = a.withColumn("offsets", F.aggregate("gaps", zero, advance, lambda acc: acc["ends"]))
+    tags = F.zip_with("found", "offsets", lambda t, at: F.struct(t.alias("tag"), at.alias("at")))
+    a = a.withColumn("tags", F.filter(F.transform(tags, lambda t, i: F.struct(t["tag"].alias("tag"), i.alias("i"), t["at"].alias("at"))), lambda t: t["tag"].isNotNull()))
     state = "struct<open: array<struct<tag: string, i: int, at: int>>, done: array<struct<at: int, tag: string>>>"
 
     def step(acc: Column, t: Column) -> Column:
@@ -113,23 +124,22 @@ def map_answers(answers: DataFrame, resolved: DataFrame, docs: DataFrame, sectio
     """
     marked = tagged(answers)
     a = marked.join(resolve(marked, resolved, docs, section_pages), "answer_id", "left")
-    a = a.withColumn("stops", T.running_ends(T.sentence_pieces(F.col("prose"))))
+    a = a.withColumn("cut", T.sentence_pieces(F.col("prose"))).withColumn("stops", T.running_ends(F.col("cut")))
     ranges = F.zip_with(
-        F.concat(F.array(F.lit(0)), F.expr("slice(stops, 1, size(stops) - 1)")), "stops",
-        lambda s, e: F.struct(s.alias("start"), e.alias("end")),
+        "cut", "stops", lambda p, e: F.struct(p.alias("raw"), (e - F.length(p)).alias("start"), e.alias("end"))
     )
     empty = F.array().cast(a.schema["cited_marks"].dataType)
     a = a.withColumn("cited_marks", F.coalesce("cited_marks", empty)).withColumn("ranges", ranges)
 
     def piece(r: Column) -> Column:
-        raw = F.substring(F.col("prose"), r["start"] + 1, r["end"] - r["start"])
         inside = F.filter(
             "cited_marks",
             lambda m: ((r["start"] < m["at"]) & (m["at"] <= r["end"])) | ((r["start"] == 0) & (m["at"] == 0)),
         )
+        text = T.strip(F.regexp_replace(r["raw"], fixed.SPACE_BEFORE_PUNCTUATION, "$1"))
         return F.struct(
-            r["start"].alias("start"), r["end"].alias("end"), T.strip(F.regexp_replace(raw, fixed.SPACE_BEFORE_PUNCTUATION, "$1")).alias("text"),
-            F.lit(None).cast("string").alias("starts"), F.array_distinct(F.flatten(F.transform(inside, lambda m: m["cites"]))).alias("citations"),
+            r["start"].alias("start"), r["end"].alias("end"), text.alias("text"), F.lit(None).cast("string").alias("starts"),
+            F.array_distinct(F.flatten(F.transform(inside, lambda m: m["cites"]))).alias("citations"),
         )
 
     pieces = F.filter(F.transform("ranges", piece), lambda p: p["text"].rlike(fixed.LETTER))

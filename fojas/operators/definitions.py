@@ -47,14 +47,26 @@ def by_phrase(definitions: DataFrame) -> DataFrame:
     return first.select("phrase", "d.*")
 
 
+def matched(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
+    """Each text with the phrases it uses: key, found (an array of structs of ``phrases``' columns).
+
+    The candidates of a text are gathered by its key, so a text is joined and read once, whatever it
+    matches; they are at most as many as its distinct tokens and pairs.
+    """
+    fields = phrases.columns
+    keyed = phrases.select(
+        F.explode(F.array_distinct(_phrase_keys(F.col("phrase")))).alias("k"), F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern")).alias("p")
+    )
+    words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
+    candidates = words.join(keyed, "k").groupBy(*key).agg(F.collect_set("p").alias("candidates"))
+    joined = candidates.join(texts.select(*key, "text"), list(key))
+    hits = F.filter("candidates", lambda p: F.call_function("regexp_like", F.col("text"), p["pattern"]))
+    return joined.select(*key, F.transform(hits, lambda p: F.struct(*[p[f].alias(f) for f in fields])).alias("found"))
+
+
 def uses(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
     """(key, phrase): every phrase each text uses as a whole phrase."""
-    keyed = phrases.select("phrase", F.explode(F.array_distinct(_phrase_keys(F.col("phrase")))).alias("k"))
-    words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
-    candidates = words.join(keyed, "k").select(*key, "phrase").distinct()
-    confirmed = candidates.join(texts.select(*key, "text"), list(key))
-    hit = F.call_function("regexp_like", F.col("text"), T.phrase_pattern(F.col("phrase")))
-    return confirmed.filter(hit).select(*key, "phrase")
+    return matched(texts, phrases.select("phrase"), key).select(*key, F.inline("found"))
 
 
 def pointers(definitions: DataFrame) -> DataFrame:
@@ -70,17 +82,13 @@ def section_terms(texts: DataFrame, definitions: DataFrame, key: tuple[str, ...]
     This depends on the corpus alone, so it is computed once per version and joined per question.
     """
     terms = by_phrase(definitions).select("phrase", "def_ord")
-    found = uses(texts, terms, key)
-    single = terms.filter(~F.contains("phrase", F.lit(" ")))
-    longer = terms.select(F.col("phrase").alias("text_id"), F.col("phrase").alias("text"))
-    inside = uses(longer, single).filter(F.col("text_id") != F.col("phrase")).select(F.col("text_id").alias("longer"), "phrase")
-    covered = (
-        found.join(inside, "phrase")
-        .join(found.select(*key, F.col("phrase").alias("longer")), [*key, "longer"], "left_semi")
-        .select(*key, "phrase").distinct().withColumn("covered", F.lit(True))
-    )
-    return found.join(covered, [*key, "phrase"], "left").join(terms, "phrase").select(
-        *key, "phrase", "def_ord", F.coalesce("covered", F.lit(False)).alias("covered")
+    single = terms.filter(~F.contains("phrase", F.lit(" "))).select("phrase")
+    others = terms.select(F.col("phrase").alias("text_id"), F.col("phrase").alias("text"))
+    inside = uses(others, single).filter(F.col("text_id") != F.col("phrase"))
+    longer = inside.groupBy("phrase").agg(F.collect_list("text_id").alias("longer"))
+    found = matched(texts, terms.join(longer, "phrase", "left"), key)
+    return found.select(*key, F.col("found.phrase").alias("every"), F.inline("found")).select(
+        *key, "phrase", "def_ord", F.coalesce(F.arrays_overlap("longer", "every"), F.lit(False)).alias("covered")
     )
 
 

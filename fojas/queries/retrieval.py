@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -50,13 +51,21 @@ df AS (
   UNION ALL SELECT item_id + 1000000, lower(w[1]), NULL FROM bw),
 ph AS (SELECT phrase, min(def_ord) AS def_ord FROM df GROUP BY 1),
 pt AS (SELECT df.def_ord, ph.def_ord AS target FROM df JOIN ph ON ph.phrase = df.points),
-rx AS (
-  SELECT phrase, def_ord, '(?i)(^|[^\p{L}\p{N}_])' || array_to_string(list_transform(string_split(phrase, ' '), lambda x: regexp_escape(x) || '(?:s|es)?'), '\s+') || '($|[^\p{L}\p{N}_])' AS rx FROM ph),
-vr AS (SELECT rx.*, string_split(phrase, ' ')[1] AS a, coalesce(' ' || string_split(phrase, ' ')[2], '') AS b FROM rx),
-dc AS (SELECT doc_id, source, text, regexp_replace(lower(text), '\s+', ' ', 'g') AS ct FROM documents),
-cd AS MATERIALIZED (
-  SELECT dc.doc_id, dc.source, dc.text, vr.phrase, vr.def_ord, vr.rx FROM dc JOIN vr ON contains(ct, a || b) OR contains(ct, a || 's' || b) OR contains(ct, a || 'es' || b)),
-us AS MATERIALIZED (SELECT doc_id, source, phrase, def_ord FROM cd WHERE regexp_matches(text, rx))"""
+vr AS (SELECT ph.*, string_split(phrase, ' ')[1] AS a, coalesce(' ' || string_split(phrase, ' ')[2], '') AS b FROM ph),
+vs AS (SELECT vr.*, list_transform(flatten(list_transform(['', 's', 'es'], lambda x: list_transform(['', 's', 'es'], lambda y: a || x || CASE WHEN b = '' THEN '' ELSE b || y END))), lambda v: $TOK(v)) AS vs FROM vr),
+dc AS (SELECT doc_id, source, $TOK(lower(text)) AS mt, regexp_replace(lower(text), '\s+', ' ', 'g') AS ct FROM documents),
+us AS MATERIALIZED (
+  SELECT dc.doc_id, dc.source, vs.phrase, vs.def_ord FROM dc JOIN vs ON (contains(ct, a || b) OR contains(ct, a || 's' || b) OR contains(ct, a || 'es' || b))
+    AND len(list_filter(vs, lambda v: contains(mt, v))) > 0)"""
+# A text as its tokens between bars; runs of space are one blank token.
+TERMS = re.sub(
+    r"\$TOK\(((?:[^()]|\([^()]*\))*)\)",
+    lambda m: rf"('|' || array_to_string(regexp_extract_all(regexp_replace({m[1]}, '\s+', ' ', 'g'), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]'), '|') || '|')",
+    TERMS,
+)
+
+
+TOK_PHRASE = r"('|' || array_to_string(regexp_extract_all(p.phrase, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]'), '|') || '|')"
 
 
 def _texts(spark, sf):
@@ -73,7 +82,7 @@ def q08_phrase_use(spark, sf):
 
 @query("q08_attach", sql=f"""
 WITH {TERMS},
-inside AS (SELECT a.phrase AS longer, rx.phrase FROM ph a JOIN rx ON a.phrase <> rx.phrase AND NOT contains(rx.phrase, ' ') AND regexp_matches(a.phrase, rx.rx)),
+inside AS (SELECT p.phrase AS longer, vs.phrase FROM ph p JOIN vs ON p.phrase <> vs.phrase AND NOT contains(vs.phrase, ' ') AND len(list_filter(vs.vs, lambda v: contains({TOK_PHRASE}, v))) > 0),
 sp AS (SELECT us.* FROM us WHERE contains(phrase, ' ') OR NOT EXISTS (SELECT 1 FROM inside i JOIN us o ON o.doc_id = us.doc_id AND o.phrase = i.longer WHERE i.phrase = us.phrase)),
 fq AS (SELECT source, phrase, count(*) AS freq FROM us GROUP BY 1, 2),
 tp AS (

@@ -161,8 +161,8 @@ def expand_pages(spec: Column) -> Column:
     return F.array_distinct(F.flatten(ranges))
 
 
-_NUMBER_WORD = r"(?<![a-z])(?:" + "|".join(sorted(fixed.NUMBER_WORDS, key=len, reverse=True)) + r")(?![a-z])"
-_MONTH_WORD = r"(?<![a-z])(?:" + "|".join(fixed.MONTHS) + r")(?![a-z])"
+_CLAIM_WORDS = sorted((*fixed.NUMBER_WORDS, *fixed.MONTHS), key=len, reverse=True)
+_CLAIM_WORD = r"(?<![a-z])(?:" + "|".join(_CLAIM_WORDS) + r")(?![a-z])"
 
 
 def claim_tokens(c: Column) -> Column:
@@ -177,9 +177,10 @@ def claim_tokens(c: Column) -> Column:
     )
     plain = F.regexp_replace(fold(text), r"[^\x00-\x7F]", "")
     values = F.create_map(*[F.lit(x) for w, n in fixed.NUMBER_WORDS.items() for x in (w, str(n))])
-    spelled = F.transform(F.regexp_extract_all(plain, F.lit(_NUMBER_WORD), F.lit(0)), lambda w: F.element_at(values, w))
-    months = F.regexp_extract_all(plain, F.lit(_MONTH_WORD), F.lit(0))
-    return F.array_distinct(F.concat(digits, spelled, months))
+    spelled = F.transform(
+        F.regexp_extract_all(plain, F.lit(_CLAIM_WORD), F.lit(0)), lambda w: F.coalesce(F.element_at(values, w), w)
+    )
+    return F.array_distinct(F.concat(digits, spelled))
 
 
 def sentence_pieces(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fojas import fixed
 from fojas.functions import text as T
+from fojas.plans.sizing import broadcast_if_small
 
 
 def eligible(title: Column, text: Column) -> Column:
@@ -54,7 +55,7 @@ def shared_wording(questions: DataFrame, sections: DataFrame) -> DataFrame:
         return df.select(key, F.explode(hashed).alias("gram"))
 
     pairs = (
-        grams(sections, "section_id").join(grams(questions, "question_id"), "gram")
+        grams(sections, "section_id").join(broadcast_if_small(grams(questions, "question_id")), "gram")
         .groupBy("section_id", "question_id").agg(F.count(F.lit(1)).alias("hits"))
     )
     both = pairs.join(questions.select("question_id", F.col("text").alias("q")), "question_id").join(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fojas import fixed
 from fojas.functions import text as T
+from fojas.plans.sizing import broadcast_if_small
 
 TOKEN = r"(?U)\w+|[^\w\s]"
 
@@ -54,13 +55,16 @@ def matched(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_
     matches; they are at most as many as its distinct tokens and pairs.
     """
     fields = phrases.columns
+    # One or two plain words are found for certain by their key; other phrases need their pattern.
+    plain = F.col("phrase").rlike(r"(?U)^\w+( \w+)?\z")
     keyed = phrases.select(
-        F.explode(F.array_distinct(_phrase_keys(F.col("phrase")))).alias("k"), F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern")).alias("p")
+        F.explode(F.array_distinct(_phrase_keys(F.col("phrase")))).alias("k"), F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern"), plain.alias("plain")).alias("p")
     )
     words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
-    candidates = words.join(keyed, "k").groupBy(*key).agg(F.collect_set("p").alias("candidates"))
+    # The tokens of every text stay where they are while the phrases fit a broadcast.
+    candidates = words.join(broadcast_if_small(keyed), "k").groupBy(*key).agg(F.collect_set("p").alias("candidates"))
     joined = candidates.join(texts.select(*key, "text"), list(key))
-    hits = F.filter("candidates", lambda p: F.call_function("regexp_like", F.col("text"), p["pattern"]))
+    hits = F.filter("candidates", lambda p: p["plain"] | F.call_function("regexp_like", F.col("text"), p["pattern"]))
     return joined.select(*key, F.transform(hits, lambda p: F.struct(*[p[f].alias(f) for f in fields])).alias("found"))
 
 

@@ -1,0 +1,19 @@
+"""Broadcasts behind a check of their size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it is shown to be small; otherwise unchanged.
+
+    The check counts at most ``max_rows`` + 1 rows. Beyond it the join is left to the optimiser, which
+    shuffles both sides. For narrow rows only: it bounds rows, not their width.
+    """
+    if df.isStreaming:
+        return df
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

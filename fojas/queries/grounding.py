@@ -155,14 +155,14 @@ def q06_sentences(spark, sf):
         "pieces", "ends", lambda p, e: F.struct(p.alias("p"), (e - F.length(p)).cast("bigint").alias("start"))
     )
     d = d.select("doc_id", F.filter(placed, lambda x: x["p"].rlike(r"(?U)\p{L}")).alias("s"))
-    return d.filter(F.size("s") > 0).select(
-        "doc_id", F.size("s").alias("n_sentences"),
-        F.aggregate("s.start", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("start_sum"),
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    row = F.struct(
+        "doc_id", F.size("s").alias("n_sentences"), total(F.col("s.start")).alias("start_sum"),
         F.array_max(F.transform("s.p", F.length)).alias("longest"),
-        F.aggregate(
-            F.transform("s.p", lambda x: F.length(T.without_markup(x))), F.lit(0).cast("bigint"), lambda a, x: a + x
-        ).alias("kept_chars"),
+        total(F.transform("s.p", lambda x: F.length(T.without_markup(x)))).alias("kept_chars"),
     )
+    # A filter on the row would be pushed below and cut every text a second time.
+    return d.select(F.inline(F.filter(F.array(row), lambda r: r["n_sentences"] > 0)))
 
 
 @query("q07_layout", sql=f"""

@@ -99,11 +99,13 @@ def retrieve(
     holders = definition_pages.select("content_hash").distinct().withColumn("holds", F.lit(True))
     marked = found.join(holders, "content_hash", "left")
     holder = F.coalesce(F.col("holds"), F.lit(False)) & (F.col("section") == fixed.DEFINITIONS_SECTION)
-    place = Window.partitionBy("question_id").orderBy("route_rank", "section_ord")
+    # Sections are ordered by route, then by their place in the document: a sortable number, so that no
+    # question has to be gathered to number them. Prompts number their own few documents later.
+    rank = F.shiftleft(F.col("route_rank").cast("bigint"), 32) + F.col("section_ord")
     ranks = routes.select("question_id", "part", "route_rank")
     sections = (
         marked.filter(~holder).drop("holds").join(ranks, ["question_id", "part"])
-        .withColumn("rank", F.row_number().over(place) - 1).drop("route_rank")
+        .withColumn("rank", rank).drop("route_rank")
     )
     opened = marked.filter(holder).select("question_id", "content_hash").distinct()
     defs = definition_pages.select("content_hash", "section", "def_ord", "term", "pdf_page")

@@ -205,14 +205,21 @@ SECTION_KEYS = ["content_hash", "part", "section", "section_ord", "title"]
 DEFINITION_KEYS = ["content_hash", "part", "section", "def_ord", "term"]
 
 
-def section_pages(blocks: DataFrame) -> DataFrame:
-    """Sections of every file, one row per section and page."""
-    page_rows = pages(blocks)
-    lines = body_lines(blocks, parts(page_rows))
+def sections_of_lines(lines: DataFrame, page_rows: DataFrame) -> DataFrame:
+    """Sections of numbered body lines, one row per section and page."""
     inside = section_lines(lines, headings(lines))
     return with_versions(_page_texts(inside, SECTION_KEYS), page_rows, SECTION_KEYS)
 
 
+def section_pages(blocks: DataFrame) -> DataFrame:
+    """Sections of every file, one row per section and page.
+
+    Reads the blocks several times; ``plans.jobs.parse_corpus`` writes what is used twice instead.
+    """
+    page_rows = pages(blocks)
+    return sections_of_lines(body_lines(blocks, parts(page_rows)), page_rows)
+
+
 def sections(section_page_rows: DataFrame) -> DataFrame:
     """One row per section: pages in order, first and last page, text."""
     page = F.struct("page_index", "pdf_page", "printed_page", "edition", "amendment", "date", "text", "rects")

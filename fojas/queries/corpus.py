@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,8 +12,10 @@ from fojas.functions import labels as L
 from fojas.functions import text as T
 from fojas.operators import refs as R
 from fojas.operators import structure as ST
+from fojas.plans import jobs as J
 from fojas.queries import sqltext as S
 from fojas.queries.registry import query, table
+from fojas.session import shared_dir
 from fojas.sources import files, listings
 
 HOST = fixed.SHARE_HOST + "/index.php/s/"
@@ -100,15 +103,14 @@ def q02_manifest(spark, sf):
 
 
 @query("q02_registry", sql="""
-WITH d AS (SELECT sha256(text) AS h, min(source) AS source FROM documents GROUP BY 1),
+WITH d AS (SELECT DISTINCT sha256(text) AS h FROM documents),
 r AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))
-SELECT count(*) AS n_new, md5(string_agg(h, ',' ORDER BY h)) AS hashes FROM d WHERE h NOT IN (SELECT h FROM r)""")
+SELECT h AS sha256 FROM d WHERE h NOT IN (SELECT h FROM r)""")
 def q02_registry(spark, sf):
     """Content versions without a registered document, each once however many copies there are."""
     docs = table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
     known = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("sha256").distinct()
-    new = files.unregistered(docs, known)
-    return new.agg(F.count(F.lit(1)).alias("n_new"), F.md5(F.array_join(F.array_sort(F.collect_list("sha256")), ",")).alias("hashes"))
+    return files.unregistered(docs, known).select("sha256")
 
 
 @query("q02_sourced", sql="""
@@ -239,7 +241,8 @@ SELECT CAST(sp.doc_id AS VARCHAR) AS content_hash, count(DISTINCT cur) AS n_sect
 FROM sp JOIN tt ON tt.doc_id = sp.doc_id AND tt.pos = sp.cur GROUP BY 1""")
 def q04_sections(spark, sf):
     """Pages to sections: headings, index runs, repeated ids, divisions, wrapped titles, page texts."""
-    sp = ST.section_pages(page_blocks(table(spark, sf, "documents")))
+    corpus = J.parse_corpus(page_blocks(table(spark, sf, "documents")), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}", ("section_pages",))
+    sp = corpus["section_pages"]
     line = F.concat_ws("|", "section", "title", F.col("pdf_page").cast("string"), "text")
     rows = F.array_sort(F.collect_list(F.struct("section_ord", "pdf_page", line.alias("line"))))
     return sp.groupBy("content_hash").agg(

@@ -11,10 +11,10 @@ from fojas import fixed
 from fojas.operators import baseline as B
 from fojas.operators import definitions as D
 from fojas.operators import grounding as G
-from fojas.operators import refs as R
 from fojas.operators import render as RN
 from fojas.operators import retrieval as RT
 from fojas.operators import structure as ST
+from fojas.plans import jobs as J
 from fojas.queries import feeds
 from fojas.queries import sqltext as S
 from fojas.queries.corpus import LINES_PER_PAGE, page_blocks
@@ -182,17 +182,19 @@ def q11_node_sections(spark, sf):
 WITH {READS},
 rt AS (SELECT user_id, k % 25 + 1 AS b, min(event_id) AS f FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events) WHERE value > 20 GROUP BY 1, 2),
 s AS (SELECT DISTINCT rd.question_id, f, p_partkey, p_name FROM rd JOIN part ON p_brand = brand AND p_size = page JOIN rt ON CAST(user_id AS VARCHAR) = rd.question_id AND 'Brand#' || b = brand)
-SELECT question_id, count(*) AS n_sections, md5(string_agg(p_name, ',' ORDER BY f, p_partkey)) AS ranked FROM s GROUP BY 1""")
+SELECT question_id, count(*) AS n_sections, CAST(sum(p_partkey) AS BIGINT) AS ord_sum, arg_min(p_partkey, row(f, p_partkey)) AS first_section, arg_max(p_partkey, row(f, p_partkey)) AS last_section FROM s GROUP BY 1""")
 def q11_retrieve(spark, sf):
     """Routed parts only, their sections ranked by route and document order."""
     parts, sections = catalog_tables(table(spark, sf, "part"))
     events = table(spark, sf, "events")
     hits = search_events(events).join(events.select(F.col("event_id").alias("seq"), "value"), "seq").filter("value > 20")
     routes = hits.groupBy("question_id", "part").agg(F.min("seq").alias("route_rank"))
-    none = sections.limit(0).select("content_hash", "section", F.lit(0).alias("def_ord"), F.lit("").alias("term"), "pdf_page", "part")
+    none = sections.filter("false").select("content_hash", "section", F.lit(0).alias("def_ord"), F.lit("").alias("term"), "pdf_page", "part")
     ranked, _ = RT.retrieve(routes, search_events(events), parts, sections, none)
-    names = F.transform(F.array_sort(F.collect_list(F.struct("rank", "section"))), lambda x: x["section"])
-    return ranked.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sections"), F.md5(F.array_join(names, ",")).alias("ranked"))
+    return ranked.groupBy("question_id").agg(
+        F.count(F.lit(1)).alias("n_sections"), F.sum("section_ord").alias("ord_sum"),
+        F.min_by("section_ord", "rank").alias("first_section"), F.max_by("section_ord", "rank").alias("last_section"),
+    )
 
 
 @query("q16_cited_sections", sql=f"""
@@ -410,16 +412,13 @@ def q33_render(spark, sf):
 @query("q35_prompt_documents")
 def q35_prompt_documents(spark, sf):
     """From laid-out pages to prompt documents: sections, their references and page versions per question."""
-    documents = table(spark, sf, "documents")
-    blocks = page_blocks(documents)
-    pages = ST.pages(blocks)
-    rows = ST.section_pages(blocks)
-    sections = ST.sections(rows)
-    asked = sections.join(ST.parts(pages).select("content_hash", "page_count"), "content_hash").select(
+    corpus = J.parse_corpus(page_blocks(table(spark, sf, "documents")), f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}")
+    sections = corpus["sections"]
+    asked = sections.select(
         F.col("content_hash").alias("question_id"), "content_hash", "part", "section", "section_ord", F.col("section_ord").alias("rank")
     )
-    none = asked.limit(0).select("question_id", "rank", "content_hash", "part", "section", F.lit("").alias("term"), F.lit(0).alias("def_ord"))
-    no_definitions = sections.limit(0).select("content_hash", F.lit(0).alias("def_ord"), "part", "section", F.lit("").alias("term"), "pages")
-    urls = ST.parts(pages).select("part").distinct().withColumn("source_url", F.concat(F.lit("https://example.org/"), "part"))
-    docs = RT.prompt_documents(asked, none, sections, no_definitions, R.references(rows), urls)
+    none = asked.filter("false").select("question_id", "rank", "content_hash", "part", "section", F.lit("").alias("term"), F.lit(0).alias("def_ord"))
+    no_definitions = sections.filter("false").select("content_hash", F.lit(0).alias("def_ord"), "part", "section", F.lit("").alias("term"), "pages")
+    urls = corpus["parts"].select("part").distinct().withColumn("source_url", F.concat(F.lit("https://example.org/"), "part"))
+    docs = RT.prompt_documents(asked, none, sections, no_definitions, corpus["references"], urls)
     return docs.select("answer_id", "document_index", "section", F.size("pages").alias("n_pages"), "source_url")

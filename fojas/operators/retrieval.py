@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fojas import fixed
-from fojas.functions import text as T
+from fojas.plans.sizing import broadcast_if_small
 
 
 def page_reads(events: DataFrame) -> DataFrame:
@@ -27,7 +27,9 @@ def pages_read(events: DataFrame, parts: DataFrame) -> DataFrame:
     ranges = page_reads(events).select("question_id", "part", F.explode(F.array_distinct(span)).alias("r")).distinct()
     low = F.regexp_extract("r", r"^(\d+)", 1)
     high = F.coalesce(F.nullif(F.regexp_extract("r", r"-(\d+)\z", 1), F.lit("")), low)
-    joined = ranges.join(parts.select("part", "content_hash", "page_count"), "part").select(
+    # A popular part is read by many questions; with few parts loaded none of its reads are moved.
+    loaded = broadcast_if_small(parts.select("part", "content_hash", "page_count"))
+    joined = ranges.join(loaded, "part").select(
         "question_id", "part", "content_hash",
         F.greatest(low.cast("decimal(38,0)"), F.lit(1)).alias("a"), F.least(high.cast("decimal(38,0)"), F.col("page_count")).alias("b"),
     ).filter(F.col("a") <= F.col("b"))
@@ -96,7 +98,7 @@ def retrieve(
     routed = events.join(routes.select("question_id", "part"), ["question_id", "part"], "left_semi")
     read = pages_read(routed, parts)
     found = sections_on_pages(read, section_pages)
-    holders = definition_pages.select("content_hash").distinct().withColumn("holds", F.lit(True))
+    holders = broadcast_if_small(definition_pages.select("content_hash").distinct().withColumn("holds", F.lit(True)))
     marked = found.join(holders, "content_hash", "left")
     holder = F.coalesce(F.col("holds"), F.lit(False)) & (F.col("section") == fixed.DEFINITIONS_SECTION)
     # Sections are ordered by route, then by their place in the document: a sortable number, so that no

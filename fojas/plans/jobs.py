@@ -31,7 +31,7 @@ def parse_corpus(
     The blocks are read twice: for the pages' versions and for their body lines.
     """
     page_rows = written(ST.pages(blocks), f"{root}/pages")
-    parts = ST.parts(page_rows)
+    parts = written(ST.parts(page_rows), f"{root}/parts")
     lines = written(ST.body_lines(blocks, parts), f"{root}/lines")
     section_pages = ST.sections_of_lines(lines, page_rows)
     if len(tables) > 1 or page_lines is not None:

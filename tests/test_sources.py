@@ -26,7 +26,7 @@ def rows_of(spark, *cells):
         (("Parte HL", "**Livianos**", "", "1"), "no link"),
         (("Parte HL", "**Livianos**", "   ", "1"), "no link"),
         (("Parte HL", "** **", LINK, "1"), "no title"),
-        (("RAAC 61", "**Licencias**", LINK, "1"), "unexpected part"),
+        ((fixed.CORPUS + " 61", "**Licencias**", LINK, "1"), "unexpected part"),
         (("", "**Licencias**", LINK, "1"), "unexpected part"),
         (("Parte 61", "**Licencias**", LINK), "columns"),
     ],

@@ -73,27 +73,24 @@ def tagged(answers: DataFrame) -> DataFrame:
     return a.select(*[c for c in answers.columns if c != "text"], "prose", keyed.alias("marks"))
 
 
-def resolve(marked: DataFrame, resolved: DataFrame, docs: DataFrame, section_pages: DataFrame) -> DataFrame:
-    """Per answer its marks with the citations they stand for.
+def resolve(resolved: DataFrame, docs: DataFrame, section_pages: DataFrame) -> DataFrame:
+    """Per answer its resolved tags: an array of key (document, page, block) and the citations it stands for.
 
     ``resolved``: answer_id, seq, document, page, block_id, doc_id, text; the last row of a key counts.
     ``docs``: doc_id, content_hash, part, source_url, page_count. A block cites the sections whose
-    page text holds its first characters, or every section on the page when none does.
+    page text holds its first characters, or every section on the page when none does. Keys are
+    resolved once per answer, however many tags name them.
     """
-    marks = marked.select("answer_id", F.posexplode("marks").alias("mark", "m")).select(
-        "answer_id", "mark", "m.at", "m.key.document", "m.key.page", "m.key.block"
-    )
     block = F.when(F.coalesce("block_id", F.lit("")) != "", F.nullif(T.strip(F.col("block_id")), F.lit("")))
     keyed = resolved.select(
-        "answer_id", "seq", T.strip(F.coalesce("document", F.lit(""))).alias("document"), F.coalesce("page", F.lit(0)).alias("page"),
-        block.alias("block"), "doc_id", T.strip(F.coalesce("text", F.lit(""))).alias("block_text"),
+        "answer_id", "seq",
+        F.struct(
+            T.strip(F.coalesce("document", F.lit(""))).alias("document"), F.coalesce("page", F.lit(0)).alias("page"), block.alias("block")
+        ).alias("key"),
+        "doc_id", T.strip(F.coalesce("text", F.lit(""))).alias("block_text"),
     )
-    last = keyed.groupBy("answer_id", "document", "page", "block").agg(F.max_by(F.struct("doc_id", "block_text"), "seq").alias("r"))
-    hits = marks.alias("m").join(
-        last.alias("l"),
-        (F.col("m.answer_id") == F.col("l.answer_id")) & (F.col("m.document") == F.col("l.document"))
-        & (F.col("m.page") == F.col("l.page")) & F.col("m.block").eqNullSafe(F.col("l.block")),
-    ).select("m.answer_id", "m.mark", "m.at", F.col("m.page").alias("pdf_page"), "l.r.doc_id", "l.r.block_text")
+    last = keyed.groupBy("answer_id", "key").agg(F.max_by(F.struct("doc_id", "block_text"), "seq").alias("r"))
+    hits = last.select("answer_id", "key", F.col("key.page").alias("pdf_page"), "r.doc_id", "r.block_text")
     placed = hits.join(docs, "doc_id").filter(F.col("pdf_page").between(F.lit(1), F.col("page_count")))
     pages = section_pages.select(
         "content_hash", "pdf_page", "section", "section_ord", "title", "text", "printed_page", "edition", "amendment", "date"
@@ -107,13 +104,13 @@ def resolve(marked: DataFrame, resolved: DataFrame, docs: DataFrame, section_pag
         "date", "source_url", F.coalesce(F.nullif("block_text", F.lit("")), F.col("text")).alias("cited_text"),
         F.lit(None).cast("string").alias("term"),
     )
-    per_mark = rows.groupBy("answer_id", "mark", "at").agg(
+    per_key = rows.groupBy("answer_id", "key").agg(
         F.array_sort(F.collect_list(F.struct("section_ord", holds.alias("holds"), citation.alias("c")))).alias("on_page")
     )
     pinned = F.filter("on_page", lambda x: x["holds"])
     chosen = F.when(F.size(pinned) > 0, pinned).otherwise(F.col("on_page"))
-    cites = per_mark.select("answer_id", F.struct("mark", "at", F.transform(chosen, lambda x: x["c"]).alias("cites")).alias("m"))
-    return cites.groupBy("answer_id").agg(F.array_sort(F.collect_list("m")).alias("cited_marks"))
+    cites = per_key.select("answer_id", F.struct("key", F.transform(chosen, lambda x: x["c"]).alias("cites")).alias("k"))
+    return cites.groupBy("answer_id").agg(F.collect_list("k").alias("keyed"))
 
 
 def map_answers(answers: DataFrame, resolved: DataFrame, docs: DataFrame, section_pages: DataFrame) -> DataFrame:
@@ -122,8 +119,10 @@ def map_answers(answers: DataFrame, resolved: DataFrame, docs: DataFrame, sectio
     A tag belongs to the sentence it ends. Sentences without a resolved citation are dropped; an
     answer without any other is a refusal.
     """
-    marked = tagged(answers)
-    a = marked.join(resolve(marked, resolved, docs, section_pages), "answer_id", "left")
+    a = tagged(answers).join(resolve(resolved, docs, section_pages), "answer_id", "left")
+    cites_of = lambda m: F.try_element_at(F.filter("keyed", lambda k: k["key"].eqNullSafe(m["key"])), F.lit(1))["cites"]
+    found = F.transform("marks", lambda m: F.struct(m["at"].alias("at"), cites_of(m).alias("cites")))
+    a = a.withColumn("cited_marks", F.filter(found, lambda m: m["cites"].isNotNull()))
     a = a.withColumn("cut", T.sentence_pieces(F.col("prose"))).withColumn("stops", T.running_ends(F.col("cut")))
     ranges = F.zip_with(
         "cut", "stops", lambda p, e: F.struct(p.alias("raw"), (e - F.length(p)).alias("start"), e.alias("end"))

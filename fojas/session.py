@@ -19,6 +19,7 @@ def local_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     )
     if checkpoint_dir:

@@ -100,8 +100,9 @@ def _segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of ``texts`` in order, and where each text's words begin (n + 1 places).
+def word_places(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first): 64-bit hashes of all words of ``texts`` in order, the bytes they
+    take in the texts joined by one blank, and where each text's words begin (n + 1 places).
 
     ``table`` turns a text's separators into blanks (SPACE_WORDS, ALNUM_WORDS). Long inputs are
     worked off in pieces cut at blanks.
@@ -122,17 +123,22 @@ def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarra
         to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
         hashes[at:to] = _segment_hashes(data[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base)
         at = to
+    return hashes, starts, ends, first
+
+
+def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hashes, _, _, first = word_places(texts, table)
     return hashes, first
 
 
-def text_chunks(batch: pa.RecordBatch, text: str = "text", most_rows: int = 2000) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(from, to, texts as UTF-8 bytes, null as empty) of pieces of a batch of about CHUNK_BYTES."""
+def text_chunks(batch: pa.RecordBatch, text: str = "text", most_rows: int = 2000, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(from, to, texts as UTF-8 bytes, null as empty) of pieces of a batch of about ``size`` bytes."""
     texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
     at = 0
     while at < len(texts):
-        to, size = at, 0
-        while to < len(texts) and to - at < most_rows and (to == at or size + len(texts[to]) <= CHUNK_BYTES):
-            size += len(texts[to])
+        to, taken = at, 0
+        while to < len(texts) and to - at < most_rows and (to == at or taken + len(texts[to]) <= size):
+            taken += len(texts[to])
             to += 1
         yield at, to, texts[at:to]
         at = to

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fojas.llm import near_hamming
+from fojas.llm import decontaminate, near_hamming
 from fojas.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,37 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op4_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), width=10)
+    return decontaminate.digest(found).withColumnRenamed("id", "doc_id")
+
+
+ORACLES["op4_fm_decontaminate"] = r"""
+WITH lists AS (
+  SELECT true AS item, item_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+  UNION ALL
+  SELECT false, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM documents
+), windows AS (
+  SELECT id AS item_id, least(10, len(words)) AS width, array_to_string(words[i:i + 9], ' ') AS win
+  FROM lists, unnest(range(1, greatest(1, len(words) - 9) + 1)) AS t(i) WHERE item AND len(words) > 0
+), widths AS (SELECT DISTINCT width FROM windows), places AS (
+  SELECT id, i, width, array_to_string(words[i:i + width - 1], ' ') AS win
+  FROM lists, widths, unnest(range(1, len(words) - width + 2)) AS t(i) WHERE NOT item
+), found AS (
+  SELECT p.id, p.i, p.width, w.item_id FROM places p JOIN windows w ON p.width = w.width AND p.win = w.win
+), hits AS (
+  SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT id, i, width FROM found), unnest(range(i, i + width)) AS t(j) GROUP BY id
+), named AS (
+  SELECT id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS s FROM found) GROUP BY id
+)
+SELECT l.id AS doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lists l LEFT JOIN hits h ON l.id = h.id LEFT JOIN named n ON l.id = n.id WHERE NOT item
+"""
+
+
 @query
 def op7_near_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")

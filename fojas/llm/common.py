@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +52,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors once, so their workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_fojas_llm_shipped", False):
+        return
+    top = Path(__file__).resolve().parent.parent
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="fojas-code-")), "fojas_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in [top / "__init__.py", *sorted((top / "llm").glob("*.py"))]:
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(path)
+    context._fojas_llm_shipped = True
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later stages read it and need no lost executor's work."""
     path = new_folder(df.sparkSession, name)

@@ -15,12 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fojas.llm.common import ALNUM_WORDS, text_chunks, word_hashes, word_places
 from fojas.llm.fm_index import FMIndex
 
 SHARD_BYTES = 8 << 20
-RESULT = "id long, n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, clean_text string"
+RESULT = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,stop:long>>, clean_text string"
 
 
 class Windows:
@@ -118,13 +119,14 @@ def _judge(windows, keep_text: bool):
                                 pieces.append(texts[d][last : starts[first[d] + a] - base[d]])
                                 last = ends[first[d] + b - 1] - base[d]
                             clean[d] = b"\n".join([*pieces, texts[d][last:]]).decode()
+                part = batch.slice(at, to - at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").slice(at, to - at), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()),
+                        *(part.column(c) for c in batch.schema.names), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()),
                         pa.array([sorted(items.get(d, ())) for d in range(len(texts))], pa.list_(pa.string())),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array(clean, pa.string()),
                     ],
-                    names=["id", "n_words", "n_hit", "items", "spans", "clean_text"],
+                    names=[*batch.schema.names, "n_words", "n_hit", "items", "spans", "clean_text"],
                 )
 
     return run
@@ -141,13 +143,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, width: int = 10, keep_text:
     Only the named columns are read. Benchmark sets don't grow with the corpus: one of over
     ``max_item_chars`` characters is refused, to be judged in parts.
     """
+    return beside(docs.select(F.col("id").cast("long").alias("id"), "text"), items, width, keep_text, max_item_chars).drop("text")
+
+
+def beside(docs: DataFrame, items: DataFrame, width: int = 10, keep_text: bool = False, max_item_chars: int = 50_000_000) -> DataFrame:
+    """All columns of ``docs`` plus those that ``decontaminate`` finds."""
     spark = docs.sparkSession
     rows = items.select("item_id", "text")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     if size > max_item_chars:
         raise ValueError(f"the benchmark has {size} characters; at most {max_item_chars} are searched at once")
     windows = spark.sparkContext.broadcast(Windows([tuple(r) for r in rows.collect()], width))
-    return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_judge(windows, keep_text), RESULT)
+    added = T._parse_datatype_string(RESULT)
+    docs = docs.drop(*added.fieldNames())
+    return docs.mapInArrow(_judge(windows, keep_text), T.StructType([*docs.schema, *added]))
+
+
+def cleaned(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
+    """Documents (doc_id, text, n_chars, others) with benchmark spans cut out of their texts.
+
+    A text that was cut and has no word left takes its row with it; n_chars is counted anew where
+    something was cut. Rows are judged one by one, in place; those with null id too.
+    """
+    found = beside(docs, items, width, keep_text=True)
+    cut = F.col("n_hit") > 0
+    found = found.filter(~cut | (F.col("n_words") > F.col("n_hit")))
+    text = F.when(cut, F.col("clean_text")).otherwise(F.col("text"))
+    return found.withColumn("n_chars", F.when(cut, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).withColumn("text", text).select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

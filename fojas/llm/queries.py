@@ -2,20 +2,40 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fojas.llm import decontaminate, near_hamming
-from fojas.llm.common import read
+from fojas.llm import decontaminate, lang_centroid, mix_flow, near_hamming, shard_slots
+from fojas.llm.common import new_folder, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
+
+
+@query
+def op3_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", mix_flow.word_count("text").alias("size"))
+    docs = written(docs, "sized")
+    targets = mix_flow.source_targets(docs)
+    schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
+    table = spark.createDataFrame([(s, n, t) for s, (n, t) in targets.items()], schema)
+    mixed = mix_flow.mix(docs.withColumn("sources", F.array("source")), {s: t for s, (_, t) in targets.items()})
+    mixed = mixed.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("s")))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "copies")
 
 
 @query
@@ -49,7 +69,25 @@ FROM lists l LEFT JOIN hits h ON l.id = h.id LEFT JOIN named n ON l.id = n.id WH
 """
 
 
+@query
+def op5_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = lang_centroid.fold_train(docs)
+    found = lang_centroid.predict(docs.withColumnRenamed("doc_id", "id"), model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", lang_centroid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query
 def op7_near_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
     return near_hamming.near_duplicates(docs, k=4, percent=80).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    placed = shard_slots.shard_documents(docs, 40, new_folder(spark, "slot_map"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "v_slot",
+    )

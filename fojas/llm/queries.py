@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fojas.llm import decontaminate, lang_centroid, mix_flow, near_hamming, shard_slots
+from fojas.llm import decontaminate, lang_centroid, line_hash, mix_flow, near_hamming, shard_slots, token_store
 from fojas.llm.common import new_folder, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,26 @@ def op5_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", lang_centroid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+@query
+def op6_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    found = line_hash.dedupe_lines(docs, shortest=10)
+    return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+ORACLES["op6_line_hash"] = r"""
+WITH lines AS (
+  SELECT doc_id, i, s, translate(trim(s, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents), unnest(range(1, len(l) + 1)) AS t(i), (SELECT 1), LATERAL (SELECT l[i] AS s)
+), repeated AS (
+  SELECT k, min(doc_id) AS first FROM lines WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE first IS NOT NULL AND first <> doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE first IS NULL OR first = doc_id), '')) AS kept_sha256
+FROM lines LEFT JOIN repeated USING (k) GROUP BY doc_id
+"""
+
+
 @query
 def op7_near_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
@@ -91,3 +111,14 @@ def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"), "v_slot",
     )
+
+
+@query
+def op10_parquet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = new_folder(spark, "tokens")
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    token_store.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    found = token_store.listing(token_store.read_tokens(spark, path))
+    return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fojas.llm import decontaminate, lang_centroid, line_hash, mix_flow, near_hamming, shard_slots, token_store
+from fojas.llm import decontaminate, lang_centroid, line_hash, mix_flow, near_hamming, pii_disclosure, shard_slots, token_store
 from fojas.llm.common import new_folder, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,12 @@ def op7_near_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_hamming.near_duplicates(docs, k=4, percent=80).withColumnRenamed("id", "doc_id")
 
 
+@query
+def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    return pii_disclosure.listed(docs, pii_disclosure.find(docs)).withColumnRenamed("id", "doc_id")
+
+
 @query
 def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")

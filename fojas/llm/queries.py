@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fojas.llm import decontaminate, lang_centroid, line_hash, mix_flow, near_hamming, pii_disclosure, shard_slots, token_store
+from fojas.llm import ann_scan, decontaminate, lang_centroid, line_hash, mix_flow, near_hamming, pii_disclosure, shard_slots, token_store, url_links
 from fojas.llm.common import new_folder, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,18 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+@query
+def op1_link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return url_links.judge(read(spark, sf_dir, "pages"), rules)
+
+
+@query
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return ann_scan.search(rows, F.col("id") % 100 == 0, k=10).withColumnRenamed("id", "vec_id")
+
+
 @query
 def op3_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", mix_flow.word_count("text").alias("size"))

@@ -179,7 +179,7 @@ def _scan(index):
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.98) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, recall: float = 0.95) -> DataFrame:
     """(id, vec) to (query_id, rank, id, score): the k nearest found for each row that ``is_query`` holds for,
     its own id left out; all candidates where there are fewer. Ties go to the smaller id.
 

@@ -75,7 +75,7 @@ class FMIndex:
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Rows of ``phrases`` (equal lengths) that occur, and their ranges of suffixes, by backward search."""
-        alive = np.flatnonzero((phrases < len(self.before) - 1).all(axis=1))
+        alive = np.flatnonzero((phrases < len(self.before) - 2).all(axis=1))  # symbols that the text has
         lo, hi = np.zeros(len(alive), np.int64), np.full(len(alive), self.n, np.int64)
         for j in reversed(range(phrases.shape[1])):
             c = phrases[alive, j]

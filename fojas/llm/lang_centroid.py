@@ -114,8 +114,13 @@ def _fit(idf: np.ndarray, k: int):
 
 
 class Model:
+    """Weights, and for each centroid its language and the least cosine of sampled texts by length; lengths
+    that the sample lacks have that of the nearest shorter ones, since longer texts come nearer."""
+
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray):
-        self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least
+        self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least.copy()
+        for b in range(1, BANDS):
+            self.least[:, b] = np.where(np.isfinite(self.least[:, b]), self.least[:, b], self.least[:, b - 1])
 
 
 def train(docs: DataFrame, seed: int = 1, per_language: int = 400, centroids: int = 4) -> Model:
@@ -186,8 +191,8 @@ def predict(docs: DataFrame, model: Model, margin: float = 0.3) -> DataFrame:
     """(id, text) to (id, lang_pred, score, rejected), a row for each row; other columns are not read.
 
     ``score`` is the cosine with the nearest centroid. ``rejected``: no letters, or a cosine under
-    ``margin`` of the least that sampled texts of like length have with their own centroids; lengths that
-    the sample lacks are not rejected by distance. Null, empty and letterless texts are ``und`` with
+    ``margin`` of the least that sampled texts of like length have with their own centroids; texts shorter
+    than any sampled one are not rejected by distance. Null, empty and letterless texts are ``und`` with
     score 0; so are all texts for a model that saw no row. Ties go to the first language by name.
     """
     return predict_beside(docs.select(F.col("id").cast("long").alias("id"), "text"), model, margin).drop("text")

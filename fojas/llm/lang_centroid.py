@@ -102,7 +102,7 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 
 def _fit(idf: np.ndarray, k: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         counts = np.concatenate([gram_counts([t.encode("utf-8", "replace") for t in rows.text[i : i + 100]]) for i in range(0, len(rows), 100)])
         x = vectors(counts, idf)
         c = _k_means(x, k)

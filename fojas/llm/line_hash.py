@@ -123,7 +123,7 @@ def line_hashes(docs: DataFrame, shortest: int) -> DataFrame:
     return lines.select("id", "th", "line", F.xxhash64("k").alias("h1"), F.xxhash64("k", F.lit(7)).alias("h2"))
 
 
-def _build(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     u = lambda c: rows[c].to_numpy(np.int64).view(np.uint64)
     blob = Shard.of(u("h1"), u("h2"), rows.n.to_numpy(np.int64), rows["first"].to_numpy(np.int64)).to_bytes()
     return pd.DataFrame({"shard": [key[0]], "arrays": [blob]})

@@ -17,18 +17,24 @@ from fojas import fixed
 LINE_BREAKS = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 
 
-def _folding_tables() -> tuple[str, str]:
-    """Letters that are an ASCII letter plus combining marks, with that letter (built by rule)."""
-    source, target = [], []
-    for point in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
-        base = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalpha():
-            source.append(chr(point))
-            target.append(base)
-    return "".join(source), "".join(target)
-
-
-_FOLD_FROM, _FOLD_TO = _folding_tables()
+def _folding_tables() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form is ASCII letters and digits plus marks (built by rule): those
+    of one letter or digit as two strings, those of several by their form."""
+    source, target, several = [], [], {}
+    for point in (*range(0xAA, 0x250), *range(0x1E00, 0x1F00), *range(0x2070, 0x20A0), *range(0x2100, 0x2190), *range(0x2460, 0x2500), *range(0xFB00, 0xFB07), *range(0xFF10, 0xFF5B)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(point)) if not unicodedata.combining(c)).lower()
+        if base.isascii() and base.isalnum():
+            if len(base) == 1:
+                source.append(chr(point))
+                target.append(base)
+            else:
+                several.setdefault(base, "")
+                several[base] += chr(point)
+    return "".join(source), "".join(target), several
+
+
+_FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _folding_tables()
+_HAS_SEVERAL = "[" + "".join(_FOLD_SEVERAL.values()) + "]"
 
 
 def collapse(c: Column) -> Column:
@@ -70,9 +76,13 @@ def roman(n: Column) -> Column:
 
 
 def fold(c: Column) -> Column:
-    """Lowercase with accents removed; other letters stay as they are."""
+    """Lowercase with accents removed and compatibility forms spelled out; other letters stay as they are."""
     lowered = F.lower(c)
-    folded = F.regexp_replace(F.translate(lowered, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    spelled = lowered
+    for form, signs in _FOLD_SEVERAL.items():
+        spelled = F.regexp_replace(spelled, f"[{signs}]", form)
+    one = lambda x: F.regexp_replace(F.translate(x, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    folded = F.when(lowered.rlike(_HAS_SEVERAL), one(spelled)).otherwise(one(lowered))
     return F.when(lowered.rlike(r"[^\x00-\x7F]"), folded).otherwise(lowered)
 
 
@@ -145,22 +155,6 @@ def matches_at(c: Column, pattern: str) -> Column:
     return F.filter(placed, lambda m: m["text"].isNotNull())
 
 
-def expand_pages(spec: Column) -> Column:
-    """Pages of a spec such as "63-64, 67"; parts that are not numbers or ranges are ignored."""
-    items = F.filter(F.split(F.replace(spec, F.lit(" "), F.lit("")), ","), lambda x: x.rlike(r"^\d+(-\d*)?\z"))
-    spans = F.transform(
-        items,
-        lambda x: F.struct(
-            F.regexp_extract(x, r"^(\d+)", 1).cast("int").alias("a"),
-            F.coalesce(F.nullif(F.regexp_extract(x, r"-(\d+)\z", 1), F.lit("")), F.regexp_extract(x, r"^(\d+)", 1))
-            .cast("int")
-            .alias("b"),
-        ),
-    )
-    ranges = F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"]))
-    return F.array_distinct(F.flatten(ranges))
-
-
 _CLAIM_WORDS = sorted((*fixed.NUMBER_WORDS, *fixed.MONTHS), key=len, reverse=True)
 _CLAIM_WORD = r"(?<![a-z])(?:" + "|".join(_CLAIM_WORDS) + r")(?![a-z])"
 

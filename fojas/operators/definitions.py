@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from fojas import fixed
 from fojas.functions import text as T
-from fojas.plans.sizing import broadcast_if_small
 
 TOKEN = r"(?U)\w+|[^\w\s]"
 
@@ -44,7 +43,7 @@ def _phrase_keys(p: Column) -> Column:
 def by_phrase(definitions: DataFrame) -> DataFrame:
     """Definitions keyed by phrase; of several with one phrase the first defined counts."""
     d = definitions.withColumn("phrase", T.phrase(F.col("term"))).filter(F.col("phrase") != "")
-    first = d.groupBy("phrase").agg(F.min_by(F.struct(*definitions.columns), "def_ord").alias("d"))
+    first = d.groupBy("phrase").agg(F.min_by(F.struct(*definitions.columns), F.struct("content_hash", "def_ord")).alias("d"))
     return first.select("phrase", "d.*")
 
 
@@ -61,8 +60,7 @@ def matched(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_
         F.explode(F.array_distinct(_phrase_keys(F.col("phrase")))).alias("k"), F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern"), plain.alias("plain")).alias("p")
     )
     words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
-    # The tokens of every text stay where they are while the phrases fit a broadcast.
-    candidates = words.join(broadcast_if_small(keyed), "k").groupBy(*key).agg(F.collect_set("p").alias("candidates"))
+    candidates = words.join(keyed, "k").groupBy(*key).agg(F.collect_set("p").alias("candidates"))
     joined = candidates.join(texts.select(*key, "text"), list(key))
     hits = F.filter("candidates", lambda p: p["plain"] | F.call_function("regexp_like", F.col("text"), p["pattern"]))
     return joined.select(*key, F.transform(hits, lambda p: F.struct(*[p[f].alias(f) for f in fields])).alias("found"))
@@ -74,10 +72,14 @@ def uses(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id"
 
 
 def pointers(definitions: DataFrame) -> DataFrame:
-    """(def_ord, target_ord): definitions that only point to another one, with that one."""
+    """(def_hash, def_ord, target): definitions that only point to another one, with that one.
+
+    A definition is known by its file's hash and its place there, since places start anew in every file.
+    """
     target = F.regexp_extract(T.collapse(F.col("text")), fixed.POINTER, 1)
-    pointing = definitions.select("def_ord", T.phrase(target).alias("phrase")).filter(F.col("phrase") != "")
-    return pointing.join(by_phrase(definitions).select("phrase", F.col("def_ord").alias("target_ord")), "phrase").drop("phrase")
+    pointing = definitions.select(F.col("content_hash").alias("def_hash"), "def_ord", T.phrase(target).alias("phrase")).filter(F.col("phrase") != "")
+    named = by_phrase(definitions).select("phrase", F.struct(F.col("content_hash").alias("def_hash"), "def_ord").alias("target"))
+    return pointing.join(named, "phrase").drop("phrase")
 
 
 def section_terms(texts: DataFrame, definitions: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
@@ -85,14 +87,14 @@ def section_terms(texts: DataFrame, definitions: DataFrame, key: tuple[str, ...]
 
     This depends on the corpus alone, so it is computed once per version and joined per question.
     """
-    terms = by_phrase(definitions).select("phrase", "def_ord")
+    terms = by_phrase(definitions).select("phrase", F.col("content_hash").alias("def_hash"), "def_ord")
     single = terms.filter(~F.contains("phrase", F.lit(" "))).select("phrase")
     others = terms.select(F.col("phrase").alias("text_id"), F.col("phrase").alias("text"))
     inside = uses(others, single).filter(F.col("text_id") != F.col("phrase"))
     longer = inside.groupBy("phrase").agg(F.collect_list("text_id").alias("longer"))
     found = matched(texts, terms.join(longer, "phrase", "left"), key)
     return found.select(*key, F.col("found.phrase").alias("every"), F.inline("found")).select(
-        *key, "phrase", "def_ord", F.coalesce(F.arrays_overlap("longer", "every"), F.lit(False)).alias("covered")
+        *key, "phrase", "def_hash", "def_ord", F.coalesce(F.arrays_overlap("longer", "every"), F.lit(False)).alias("covered")
     )
 
 
@@ -112,11 +114,9 @@ def attach(
     order = Window.partitionBy("question_id", "rank").orderBy(-F.size(F.split("phrase", " ")), "freq", "phrase")
     top = specific.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_section)
     # An item and its target: two places, in that order.
-    linked = top.join(pointed, "def_ord", "left")
-    items = linked.select(
-        "question_id", "rank", "place",
-        F.posexplode(F.filter(F.array("def_ord", "target_ord"), lambda d: d.isNotNull())).alias("step", "def_ord"),
-    )
-    first = items.groupBy("question_id", "def_ord").agg(F.min(F.struct("rank", "place", "step")).alias("seen"))
+    linked = top.join(pointed, ["def_hash", "def_ord"], "left")
+    both = F.filter(F.array(F.struct("def_hash", "def_ord"), "target"), lambda d: d.isNotNull())
+    items = linked.select("question_id", "rank", "place", F.posexplode(both).alias("step", "d")).select("question_id", "rank", "place", "step", "d.*")
+    first = items.groupBy("question_id", "def_hash", "def_ord").agg(F.min(F.struct("rank", "place", "step")).alias("seen"))
     listed = Window.partitionBy("question_id").orderBy("seen")
     return first.withColumn("def_rank", F.row_number().over(listed)).filter(F.col("def_rank") <= total).drop("seen")

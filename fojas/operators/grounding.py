@@ -32,11 +32,16 @@ def documents_by_answer(documents: DataFrame) -> DataFrame:
     return documents.groupBy("answer_id").agg(packed.alias("docs"))
 
 
+def _nth(items: Column, index: Column) -> Column:
+    """The item at an index from 0; null for a negative index and beyond the end."""
+    return F.try_element_at(items, F.when(index >= 0, index + 1))
+
+
 def _citation(raw: Column, docs: Column) -> Column:
     """A raw citation resolved to its document and the pages its block range covers."""
-    d = F.try_element_at(docs, raw["document_index"] + 1)
-    first = F.try_element_at(d["pages"], raw["start_block_index"] + 1)
-    last = F.try_element_at(d["pages"], F.least(raw["end_block_index"], F.size(d["pages"])))
+    d = _nth(docs, raw["document_index"])
+    first = _nth(d["pages"], raw["start_block_index"])
+    last = _nth(d["pages"], F.least(raw["end_block_index"], F.size(d["pages"])) - 1)
     title = F.when(d["term"].isNull(), d["title"]).otherwise(
         T.fill_template(fixed.DEFINITION_TITLE, term=d["term"])
     )
@@ -50,8 +55,11 @@ def _citation(raw: Column, docs: Column) -> Column:
 
 
 def _citation_error(raw: Column, docs: Column) -> Column:
-    d = F.try_element_at(docs, raw["document_index"] + 1)
-    empty = (raw["start_block_index"] >= F.size(d["pages"])) | (raw["end_block_index"] <= raw["start_block_index"])
+    d = _nth(docs, raw["document_index"])
+    empty = (
+        (raw["start_block_index"] < 0) | (raw["start_block_index"] >= F.size(d["pages"]))
+        | (raw["end_block_index"] <= raw["start_block_index"])
+    )
     return (
         F.when(
             ~raw["type"].eqNullSafe(fixed.CITATION_TYPE),
@@ -87,7 +95,8 @@ def _spans(df: DataFrame) -> DataFrame:
         ),
     )
     errors = F.flatten(F.transform("located", lambda s: F.transform(s["raw"], lambda c: _citation_error(c, F.col("docs")))))
-    df = df.withColumn("error", F.try_element_at(F.filter(errors, lambda e: e.isNotNull()), F.lit(1)))
+    unreadable = F.when(F.col("content").isNull(), "response without content")
+    df = df.withColumn("error", F.coalesce(unreadable, F.try_element_at(F.filter(errors, lambda e: e.isNotNull()), F.lit(1))))
     df = df.withColumn("opening", F.regexp_extract("full", fixed.COVERAGE_LINE, 0))
     verdict = F.lower(F.regexp_extract("full", fixed.COVERAGE_LINE, 1))
     readable = (

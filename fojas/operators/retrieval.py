@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas import fixed
-from fojas.plans.sizing import broadcast_if_small
 
 
 def page_reads(events: DataFrame) -> DataFrame:
@@ -27,8 +26,7 @@ def pages_read(events: DataFrame, parts: DataFrame) -> DataFrame:
     ranges = page_reads(events).select("question_id", "part", F.explode(F.array_distinct(span)).alias("r")).distinct()
     low = F.regexp_extract("r", r"^(\d+)", 1)
     high = F.coalesce(F.nullif(F.regexp_extract("r", r"-(\d+)\z", 1), F.lit("")), low)
-    # A popular part is read by many questions; with few parts loaded none of its reads are moved.
-    loaded = broadcast_if_small(parts.select("part", "content_hash", "page_count"))
+    loaded = parts.select("part", "content_hash", "page_count")
     joined = ranges.join(loaded, "part").select(
         "question_id", "part", "content_hash",
         F.greatest(low.cast("decimal(38,0)"), F.lit(1)).alias("a"), F.least(high.cast("decimal(38,0)"), F.col("page_count")).alias("b"),
@@ -68,21 +66,37 @@ def node_sections(nodes: DataFrame, sections: DataFrame) -> DataFrame:
     return hits.groupBy("content_hash", "node_id").agg(listed.alias("sections"))
 
 
-def flatten_trees(spark: SparkSession, trees: DataFrame) -> DataFrame:
-    """Nested trees (part, content_hash, tree as a JSON array) as node rows in preorder."""
-    trees.createOrReplaceTempView("fojas_trees")
-    rows = spark.sql("""
-      WITH RECURSIVE walk(part, content_hash, path, parent_id, node) AS (
-        SELECT part, content_hash, format_string('%06d', pos), CAST(NULL AS STRING), node
-        FROM fojas_trees, LATERAL posexplode(variant_get(parse_json(tree), '$', 'array<variant>')) AS x(pos, node)
-        UNION ALL
-        SELECT part, content_hash, concat(path, '.', format_string('%06d', pos)), variant_get(w.node, '$.node_id', 'string'), x.node
-        FROM walk w, LATERAL posexplode(variant_get(w.node, '$.nodes', 'array<variant>')) AS x(pos, node))
-      SELECT part, content_hash, path, parent_id, variant_get(node, '$.node_id', 'string') AS node_id,
-        variant_get(node, '$.title', 'string') AS title, variant_get(node, '$.start_index', 'int') AS start_index,
-        variant_get(node, '$.end_index', 'int') AS end_index,
-        coalesce(size(variant_get(node, '$.nodes', 'array<variant>')), 0) <= 0 AS is_leaf
-      FROM walk""")
+def flatten_trees(trees: DataFrame, max_depth: int = 24) -> DataFrame:
+    """Nested trees (part, content_hash, tree as a JSON array) as node rows in preorder.
+
+    A tree is one value of one row, so its levels are opened within the row, one array after the other;
+    nodes deeper than ``max_depth`` fail the job. ``path`` holds the place on every level, and sorts a node
+    before its children.
+    """
+    node = "struct<path:array<int>,parent_id:string,node:variant>"
+    none = F.array().cast(f"array<{node}>")
+    inner = lambda v: F.coalesce(F.try_variant_get(v, "$.nodes", "array<variant>"), F.array().cast("array<variant>"))
+
+    def children(x: Column) -> Column:
+        return F.transform(
+            inner(x["node"]),
+            lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), F.variant_get(x["node"], "$.node_id", "string").alias("parent_id"), c.alias("node")),
+        )
+
+    top = F.variant_get(F.parse_json("tree"), "$", "array<variant>")
+    level = F.transform(top, lambda c, i: F.struct(F.array(i).alias("path"), F.lit(None).cast("string").alias("parent_id"), c.alias("node")))
+    state = F.struct(level.alias("level"), none.alias("done"))
+    opened = F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_depth)), state,
+        lambda s, _: F.struct(F.flatten(F.transform(s["level"], children)).alias("level"), F.concat(s["done"], s["level"]).alias("done")),
+        lambda s: F.when(F.size(s["level"]) == 0, s["done"]).otherwise(F.raise_error(F.lit(f"a tree is deeper than {max_depth} levels")).cast(f"array<{node}>")),
+    )
+    rows = trees.select("part", "content_hash", F.explode(opened).alias("x")).select("part", "content_hash", "x.*")
+    value = lambda k, t: F.variant_get("node", f"$.{k}", t).alias(k)
+    rows = rows.select(
+        "part", "content_hash", "path", "parent_id", value("node_id", "string"), value("title", "string"), value("start_index", "int"),
+        value("end_index", "int"), (F.size(inner(F.col("node"))) == 0).alias("is_leaf"),
+    )
     preorder = F.row_number().over(Window.partitionBy("content_hash").orderBy("path")) - 1
     return rows.withColumn("preorder", preorder).drop("path")
 
@@ -98,7 +112,7 @@ def retrieve(
     routed = events.join(routes.select("question_id", "part"), ["question_id", "part"], "left_semi")
     read = pages_read(routed, parts)
     found = sections_on_pages(read, section_pages)
-    holders = broadcast_if_small(definition_pages.select("content_hash").distinct().withColumn("holds", F.lit(True)))
+    holders = definition_pages.select("content_hash").distinct().withColumn("holds", F.lit(True))
     marked = found.join(holders, "content_hash", "left")
     holder = F.coalesce(F.col("holds"), F.lit(False)) & (F.col("section") == fixed.DEFINITIONS_SECTION)
     # Sections are ordered by route, then by their place in the document: a sortable number, so that no
@@ -122,7 +136,7 @@ def retrieve(
 def with_attached(read: DataFrame, attached: DataFrame, definitions: DataFrame) -> DataFrame:
     """Definitions of every question: those read first, then attached ones that were not read."""
     info = definitions.select("content_hash", "part", "section", "def_ord", "term").distinct()
-    more = attached.join(info, "def_ord").join(read.select("question_id", "content_hash", "def_ord"), ["question_id", "content_hash", "def_ord"], "left_anti")
+    more = attached.withColumnRenamed("def_hash", "content_hash").join(info, ["content_hash", "def_ord"]).join(read.select("question_id", "content_hash", "def_ord"), ["question_id", "content_hash", "def_ord"], "left_anti")
     both = read.withColumn("source", F.lit(0)).withColumn("def_rank", F.col("def_ord")).unionByName(
         more.select("question_id", "part", "content_hash", "section", "def_ord", "term", "def_rank").withColumn("source", F.lit(1))
     )

@@ -97,7 +97,7 @@ def headings(lines: DataFrame) -> DataFrame:
     quoted = F.regexp_replace("part", r"(?U)(\W)", r"\\$1")
     sid = F.concat(quoted, F.lit(fixed.SECTION_SUFFIX))
     order = Window.partitionBy("content_hash").orderBy("n")
-    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    from_end = Window.partitionBy("content_hash").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.count(F.lit(1)).over(Window.partitionBy("content_hash"))
 
     def pattern(*pieces) -> Column:
@@ -114,8 +114,9 @@ def headings(lines: DataFrame) -> DataFrame:
         pick(id_only, 1).alias("lone_id"), pick(id_title, 1).alias("titled_id"), pick(id_title, 2).alias("inline_title"),
         matches(id_range).alias("ranged"), F.col("line").rlike(r"(?U)^\s*\p{Ll}").alias("lower"),
     )
-    # A title runs on over lines starting in lowercase: where that stops, from this line on.
-    stop = F.coalesce(F.first(F.when(~F.col("lower"), F.col("n")), ignorenulls=True).over(ahead), F.col("size"))
+    # A title runs on over lines starting in lowercase: where that stops, from this line on. Read from the
+    # end, the last such line so far is kept from row to row; a frame to the end would be read anew for each.
+    stop = F.coalesce(F.last(F.when(~F.col("lower"), F.col("n")), ignorenulls=True).over(from_end), F.col("size"))
     marked = marked.withColumn("stop", stop)
     for k in (1, 2):
         marked = marked.withColumn(f"stop{k}", F.coalesce(F.lead("stop", k).over(order), F.col("size")))

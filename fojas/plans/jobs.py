@@ -74,10 +74,14 @@ def evaluate(
 ) -> tuple[DataFrame, DataFrame]:
     """Case results and the run's rates. Question ids are case ids.
 
-    Grounding errors and, when given, pipeline errors (case_id, error) make a case fail; a failed
-    judge call does not.
+    Grounding errors, a missing answer where answers were run and, when given, pipeline errors (case_id,
+    error) make a case fail; a failed judge call does not.
     """
     failed = answer_rows.filter(F.col("error").isNotNull()).select(F.col("answer_id").alias("case_id"), "error")
+    if stage != "retrieval":
+        answered = answer_rows.select(F.col("answer_id").alias("id"))
+        silent = cases.join(answered, "id", "left_anti").select(F.col("id").alias("case_id"), F.lit("no answer").alias("error"))
+        failed = failed.unionByName(silent)
     if errors is not None:
         failed = failed.unionByName(errors.select("case_id", "error"))
     failed = failed.groupBy("case_id").agg(F.min("error").alias("error"))

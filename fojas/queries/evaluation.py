@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fojas import fixed
@@ -14,6 +16,7 @@ from fojas.operators import usage as U
 from fojas.queries import sqltext as S
 from fojas.queries.grounding import ANSWERS, grounded
 from fojas.queries.registry import query, table
+from fojas.session import shared_dir
 from fojas.sources import cases as C
 from fojas.sources.prices import listed_prices
 
@@ -333,15 +336,15 @@ def q21_review(spark, sf):
 @query("q21_candidates", sql=f"""
 WITH x AS (SELECT doc_id, lang, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents),
 y AS (
-  SELECT doc_id, lang, CASE WHEN len({S.words("ls[1]")}) >= 8 THEN 'copy' WHEN regexp_matches(ls[1], '\\b\\d+\\s*\\.\\s*\\d{{2,}}\\b') THEN 'copy' ELSE 'ok' END AS first_try FROM x WHERE len(ls) > 0)
+  SELECT doc_id, lang, CASE WHEN len(ls) = 0 OR len({S.words("ls[1]")}) >= 8 THEN 'copy' WHEN regexp_matches(ls[1], '\\b\\d+\\s*\\.\\s*\\d{{2,}}\\b') THEN 'copy' ELSE 'ok' END AS first_try FROM x)
 SELECT lang, count(*) FILTER (first_try = 'ok') + count(*) FILTER (first_try = 'copy' AND doc_id % 2 = 0) AS candidates, count(*) FILTER (first_try = 'copy' AND doc_id % 2 = 1) AS discarded FROM y GROUP BY 1""")
 def q21_candidates(spark, sf):
     """Case-writing attempts: the first quotes the document, the second is free for even ids and empty for odd ones."""
-    docs = table(spark, sf, "documents").withColumn("ls", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).filter(F.size("ls") > 0)
+    docs = table(spark, sf, "documents").withColumn("ls", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     reply = lambda q: F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(
         F.lit("text").alias("type"), F.to_json(F.struct(q.alias("pregunta"), F.lit("r").alias("respuesta_referencia"))).alias("text"))).alias("content")))
     second = F.when(F.col("doc_id") % 2 == 0, "¿Cómo es?").otherwise(" ")
-    tries = F.array(F.struct(F.lit(1).alias("attempt"), reply(F.col("ls")[0]).alias("raw")), F.struct(F.lit(2).alias("attempt"), reply(second).alias("raw")))
+    tries = F.array(F.struct(F.lit(1).alias("attempt"), reply(F.get("ls", F.lit(0))).alias("raw")), F.struct(F.lit(2).alias("attempt"), reply(second).alias("raw")))
     responses = docs.select(F.col("lang").alias("part"), F.col("doc_id").cast("string").alias("section"), F.inline(tries))
     sections = docs.select(F.col("lang").alias("part"), F.col("doc_id").cast("string").alias("section"), F.col("source").alias("title"), "text")
     good, _, notes = K.candidates_from(K.judge_attempts(sections, G.parse_responses(responses)))
@@ -397,3 +400,20 @@ def q26_routing_requests(spark, sf):
     r = Q.routing_requests(turns, cards, "m", "Elegí Partes.")
     codes = F.from_json(F.get_json_object("request", "$.output_config.format.schema.properties.partes.items.enum"), "array<string>")
     return r.select("question_id", F.md5(F.get_json_object("request", "$.messages[0].content")).alias("content"), F.size(codes).alias("n_codes"))
+
+
+@query("q36_report_roundtrip", sql="""
+SELECT CAST(conv_id AS VARCHAR) AS name, count(*) AS n_cases, md5(string_agg(text, '#' ORDER BY turn, text)) AS questions, count(*) % 2 = 0 AS replayable
+FROM conversations GROUP BY 1""")
+def q36_report_roundtrip(spark, sf):
+    """Conversations as run reports, written many to a file and read again; those with an odd number of cases ran no retrieval."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    cases = F.transform("t", lambda x: F.struct(x["turn"].cast("string").alias("id"), x["text"].alias("question")))
+    stages = F.array(F.when(F.size("t") % 2 == 0, "retrieval").otherwise("answer"))
+    reports = turns.select(F.lit(max(fixed.REPLAYABLE_SCHEMAS)).alias("schema_version"), stages.alias("stages"), F.struct(F.col("conv_id").cast("string").alias("name")).alias("pipeline"), cases.alias("cases"))
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    C.write_report(reports, path)
+    back = C.read_reports(spark, path)
+    return back.select(
+        F.col("pipeline.name").alias("name"), F.size("cases").cast("bigint").alias("n_cases"), F.md5(F.array_join("cases.question", "#")).alias("questions"), F.col("error").isNull().alias("replayable"),
+    )

@@ -25,13 +25,8 @@ TEXT_TABLES = ("documents", "conversations", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables in fewer files than there are cores are spread first.
-
-    Their row-local work costs far more than moving a small table; a table of many files is read as
-    it is split, without a shuffle.
-    """
+    """A given table as its files are split. A session whose text tables lie in too few splits, such as a
+    test's, says in ``fojas.text.partitions`` over how many partitions they are dealt."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in TEXT_TABLES and len(df.inputFiles()) < cores:
-        return df.repartition(cores * 2)
-    return df
+    partitions = spark.conf.get("fojas.text.partitions", "")
+    return df.repartition(int(partitions)) if partitions and name in TEXT_TABLES else df

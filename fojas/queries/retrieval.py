@@ -36,11 +36,11 @@ def term_definitions(benchmark):
     following = benchmark.select((F.col("item_id") - 1).alias("item_id"), two(F.split("text", r"\s+")).alias("next_term"))
     items = benchmark.join(following, "item_id", "left").withColumn("w", w)
     pair = F.struct(
-        F.col("item_id").cast("int").alias("def_ord"), F.concat(two(F.col("w")), F.lit(" (X)")).alias("term"),
+        F.lit("words").alias("content_hash"), F.col("item_id").cast("int").alias("def_ord"), F.concat(two(F.col("w")), F.lit(" (X)")).alias("term"),
         F.when((F.col("item_id") % 2 == 1) & F.col("next_term").isNotNull(), F.concat(two(F.col("w")), F.lit(": (Ver "), "next_term", F.lit(").")))
         .otherwise(F.concat(two(F.col("w")), F.lit(": algo"))).alias("text"),
     )
-    single = F.struct((F.col("item_id") + 1_000_000).cast("int").alias("def_ord"), F.col("w")[0].alias("term"), F.lit("algo").alias("text"))
+    single = F.struct(F.lit("words").alias("content_hash"), (F.col("item_id") + 1_000_000).cast("int").alias("def_ord"), F.col("w")[0].alias("term"), F.lit("algo").alias("text"))
     return items.select(F.inline(F.array(pair, single)))
 
 
@@ -284,14 +284,13 @@ ct AS (
     count(DISTINCT CASE WHEN block THEN 'b' || page END) + 2 * count(DISTINCT CASE WHEN NOT block THEN 'p' || page END) AS n_cites
   FROM pc JOIN mk ON mk.doc_id = pc.doc_id AND pc.a < off AND off <= pc.b GROUP BY 1, 2),
 x AS (SELECT pc.doc_id, pc.k, {S.strip(r"regexp_replace(p, '[ ' || chr(9) || ']+([.,;:!?])', '\1', 'g')")} AS txt, n_cites FROM pc LEFT JOIN ct USING (doc_id, k))
-SELECT CAST(doc_id AS VARCHAR) AS answer_id, count(n_cites) AS n_sentences, CAST(coalesce(sum(n_cites), 0) AS BIGINT) AS n_citations, count(*) - count(n_cites) AS n_dropped,
+SELECT CAST(d.doc_id AS VARCHAR) AS answer_id, count(n_cites) AS n_sentences, CAST(coalesce(sum(n_cites), 0) AS BIGINT) AS n_citations, count(x.doc_id) - count(n_cites) AS n_dropped,
   count(n_cites) = 0 AS refused, md5(coalesce(string_agg(CASE WHEN n_cites IS NOT NULL THEN txt END, '#' ORDER BY k), '')) AS body
-FROM x WHERE regexp_matches(txt, '\p{{L}}') GROUP BY 1""")
+FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id AND regexp_matches(txt, '\p{{L}}') GROUP BY 1""")
 def q25_tags(spark, sf):
     """Tagged answers: tags stripped, resolved to sections, sentences kept or dropped."""
     documents = table(spark, sf, "documents")
     a = B.map_answers(tagged_answers(documents), *tagged_corpus(documents))
-    a = a.filter((F.size("sentences") > 0) | (F.size("dropped") > 0))
     return a.select(
         "answer_id", F.size("sentences").alias("n_sentences"), F.aggregate("sentences", F.lit(0).cast("bigint"), lambda acc, s: acc + F.size(s["citations"])).alias("n_citations"),
         F.size("dropped").alias("n_dropped"), "refused", F.md5(F.array_join("sentences.text", "#")).alias("body"),
@@ -315,7 +314,7 @@ def q30_stream_emit(spark, sf):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "conversations.parquet").parquet(sf)
     turns = feeds.turns(stream)
     blocks = turns.select("answer_id", F.posexplode(feeds.answer_content(turns)).alias("seq", "block"), F.lit("block").alias("event"))
-    stops = turns.select("answer_id", F.lit(1_000_000).alias("seq"), F.lit(None).cast(blocks.schema["block"].dataType).alias("block"), F.lit("stop").alias("event"))
+    stops = turns.select("answer_id", F.size(feeds.answer_content(turns)).alias("seq"), F.lit(None).cast(blocks.schema["block"].dataType).alias("block"), F.lit("stop").alias("event"))
     documents = feeds.answer_documents(feeds.turns(table(spark, sf, "conversations")))
     root = f"{shared_dir(spark)}/emit-{uuid.uuid4().hex}"
     emit.start(spark, blocks.unionByName(stops), documents, root).awaitTermination()

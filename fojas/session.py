@@ -21,6 +21,7 @@ def local_session(
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+        .config("fojas.text.partitions", str(shuffle_partitions * 2))
     )
     if checkpoint_dir:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)

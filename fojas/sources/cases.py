@@ -129,10 +129,14 @@ REPORT = (
 )
 
 
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Run reports, one row per file, with ``error`` where a report cannot be replayed."""
-    rows = spark.read.schema(REPORT).option("multiLine", True).json(path).withColumn("report", F.col("_metadata.file_path"))
-    return replayable(rows)
+def read_reports(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Run reports with ``error`` where one cannot be replayed; ``report`` names a report by file and content.
+
+    A report is a line, as ``write_report`` writes them, or with ``one_per_file`` a whole file.
+    """
+    rows = spark.read.text(path, wholetext=one_per_file).filter(F.trim("value") != "")
+    name = F.concat_ws("#", F.col("_metadata.file_path"), F.md5("value"))
+    return replayable(rows.select(name.alias("report"), F.from_json("value", REPORT).alias("r")).select("report", "r.*"))
 
 
 def replayable(reports: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def version_mismatches(recorded_versions: DataFrame, loaded: DataFrame) -> DataF
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Report rows (header fields and case results) as JSON."""
+    """Report rows (header fields and case results) as JSON, one to a line."""
     report.write.mode("overwrite").json(path)
 
 

@@ -1,9 +1,12 @@
 """Sentences of answers that are still arriving.
 
-Each micro-batch adds blocks to the answers it names. Every new block is a state of its answer; the
-batch grounding runs on each state, and a sentence is emitted in the first state that shows it
-complete. The open answers live in a written table per batch in the shared folder, so a lost
-executor recomputes a batch from files, and a restarted batch overwrites its own output.
+Each micro-batch adds blocks to the answers it names. Blocks are taken in the order of their numbers,
+whatever order they arrive in: those after a gap wait for it. Every block taken is a state of its
+answer; the batch grounding runs on each state, and a sentence is emitted in the first state that shows
+it complete. A stop carries the number of blocks, and an answer ends when all of them are there. Open
+answers live in a written table per batch in the shared folder, so a lost executor recomputes a batch
+from files, and a restarted batch overwrites its own output. Ended answers are remembered there for
+``REMEMBERED_BATCHES`` batches without their content, so what is delivered again meanwhile does nothing.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ from fojas.operators import grounding as G
 BLOCK = f"type: STRING, text: STRING, citations: ARRAY<STRUCT<{schemas.RAW_CITATION}>>"
 BLOCK_EVENTS = f"answer_id STRING, seq INT, event STRING, block STRUCT<{BLOCK}>"
 OPEN_ANSWERS = (
-    f"answer_id STRING, content ARRAY<STRUCT<seq: INT, block: STRUCT<{BLOCK}>>>, emitted_end INT, emitted INT"
+    f"answer_id STRING, content ARRAY<STRUCT<seq: INT, block: STRUCT<{BLOCK}>>>, seen INT, stop_at INT, emitted_end INT,"
+    " emitted INT, ended_in LONG"
 )
+REMEMBERED_BATCHES = 1000
 
 
 def complete_sentences(open_answers: DataFrame, documents: DataFrame) -> DataFrame:
@@ -56,30 +61,37 @@ def replay_sentences(responses: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _merged(batch: DataFrame, open_before: DataFrame) -> DataFrame:
-    """Open answers after a batch, with how much of each was there before it.
+    """Answers after a batch: all blocks by number, how many are ready (no gap before them), how many were
+    handled before, and whether the answer ends now.
 
-    A block delivered twice is kept once, by its sequence number.
+    A block delivered twice is kept once; anything of an ended answer is left out.
     """
     arrived = batch.groupBy("answer_id").agg(
-        F.array_sort(F.array_distinct(F.collect_list(F.when(F.col("event") == "block", F.struct("seq", "block"))))).alias("arrived"),
-        F.max(F.col("event") == "stop").alias("stopped"),
+        F.collect_list(F.when(F.col("event") == "block", F.struct("seq", "block"))).alias("arrived"),
+        F.max(F.when(F.col("event") == "stop", F.col("seq"))).alias("stop_now"),
         F.max(F.when(F.col("event") == "error", F.lit(True))).alias("failed"),
     )
     both = open_before.join(arrived, "answer_id", "full_outer")
     none = F.array().cast(open_before.schema["content"].dataType)
-    before = F.coalesce("content", none)
-    new = F.filter(F.coalesce("arrived", none), lambda b: ~F.array_contains(before["seq"], b["seq"]))
+    # after sorting by number, equal numbers are neighbours: of them the first is kept
+    sorted_all = F.array_sort(F.concat(F.coalesce("content", none), F.coalesce("arrived", none)), lambda x, y: x["seq"] - y["seq"])
+    both = both.withColumn("all", sorted_all)
+    before = F.concat(F.array(F.lit(-1)), F.slice(F.col("all.seq"), F.lit(1), F.greatest(F.size("all") - 1, F.lit(0))))
+    both = both.withColumn("content", F.filter(F.transform(F.arrays_zip(F.col("all").alias("x"), before.alias("p")), lambda z: F.when(z["x"]["seq"] != z["p"], z["x"])), lambda x: x.isNotNull()))
+    both = both.withColumn("ready", F.size(F.filter(F.transform("content", lambda x, i: x["seq"] == i), lambda same: same)))
+    stop_at = F.coalesce("stop_at", "stop_now")
+    ended_before, failed = F.col("ended_in").isNotNull(), F.coalesce("failed", F.lit(False)) & F.col("ended_in").isNull()
     return both.select(
-        "answer_id", F.concat(before, new).alias("content"), F.size(before).alias("seen"),
-        F.coalesce("emitted_end", F.lit(0)).alias("emitted_end"), F.coalesce("emitted", F.lit(0)).alias("emitted"),
-        F.coalesce("stopped", F.lit(False)).alias("stopped"), F.coalesce("failed", F.lit(False)).alias("failed"),
-        F.coalesce(F.size("arrived") > 0, F.lit(False)).alias("touched"),
+        "answer_id", F.when(ended_before, none).otherwise(F.col("content")).alias("content"), F.when(ended_before, 0).otherwise(F.col("ready")).alias("ready"),
+        F.coalesce("seen", F.lit(0)).alias("seen"), stop_at.alias("stop_at"), F.coalesce("emitted_end", F.lit(0)).alias("emitted_end"),
+        F.coalesce("emitted", F.lit(0)).alias("emitted"), (~ended_before & ~failed & F.coalesce(F.col("ready") >= stop_at, F.lit(False))).alias("stopped"),
+        failed.alias("failed"), "ended_in",
     )
 
 
 def _final_events(merged: DataFrame, documents: DataFrame) -> DataFrame:
     """The closing event of every answer that ended in a batch: the whole answer, or an error."""
-    ended = merged.filter(F.col("stopped") & ~F.col("failed")).select(
+    ended = merged.filter("stopped").select(
         "answer_id", F.lit(None).cast("string").alias("model"), F.lit(None).cast("string").alias("stop_reason"),
         F.col("content.block").alias("content"),
     )
@@ -118,18 +130,23 @@ def batch_writer(spark: SparkSession, documents: DataFrame, root: str) -> Callab
             open_before = spark.read.schema(OPEN_ANSWERS).parquet(f"{root}/open/{batch_id - 1:09d}")
         merged_path = f"{root}/merged/{batch_id:09d}"
         _merged(batch, open_before).write.mode("overwrite").parquet(merged_path)
-        merged = spark.read.parquet(merged_path)  # a written table cuts the lineage and feeds all three uses
-        states = merged.select("answer_id", F.col("content.block").alias("content"), "seen", "emitted_end")
-        emitted = complete_sentences(states, documents)
+        merged = spark.read.parquet(merged_path)  # a written table cuts the lineage and feeds all uses
+        moved = merged.filter("ended_in IS NULL AND (ready > seen OR stopped)")
+        own = documents.join(moved.select("answer_id"), "answer_id", "left_semi")  # of this batch's answers only
+        states = moved.select("answer_id", F.slice(F.col("content.block"), F.lit(1), F.col("ready")).alias("content"), "seen", "emitted_end")
+        emitted = complete_sentences(states, own)
         events_path = f"{root}/events/{batch_id:09d}"
-        answer_events(merged, emitted, documents).write.mode("overwrite").parquet(events_path)
+        answer_events(merged, emitted, own).write.mode("overwrite").parquet(events_path)
         sent = spark.read.parquet(events_path).groupBy("answer_id").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max("end").alias("reached")
         )
-        still = merged.filter(~F.col("stopped") & ~F.col("failed")).join(sent, "answer_id", "left")
-        still.select(
-            "answer_id", "content", F.greatest("emitted_end", F.coalesce("reached", F.lit(0))).alias("emitted_end"),
-            (F.col("emitted") + F.coalesce("n", F.lit(0))).alias("emitted"),
+        ended_in = F.coalesce("ended_in", F.when(F.col("stopped") | F.col("failed"), F.lit(batch_id).cast("long")))
+        after = merged.join(sent, "answer_id", "left").withColumn("ended_in", ended_in)
+        after = after.filter(F.col("ended_in").isNull() | (F.col("ended_in") > batch_id - REMEMBERED_BATCHES))
+        none = F.array().cast(open_before.schema["content"].dataType)
+        after.select(
+            "answer_id", F.when(F.col("ended_in").isNull(), F.col("content")).otherwise(none).alias("content"), F.col("ready").alias("seen"), "stop_at",
+            F.greatest("emitted_end", F.coalesce("reached", F.lit(0))).alias("emitted_end"), (F.col("emitted") + F.coalesce("n", F.lit(0))).alias("emitted"), "ended_in",
         ).write.mode("overwrite").parquet(f"{root}/open/{batch_id:09d}")
 
     return step

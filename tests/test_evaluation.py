@@ -10,50 +10,65 @@ from fojas.operators import grounding as G
 from fojas.operators import render as RN
 from fojas.operators import requests as Q
 from fojas.operators import scoring as SC
-from test_grounding import DOCS, cite, response
+from test_grounding import LINK, SHELF, said, source
 
 CASE = "id STRING, out_of_scope BOOLEAN, expected ARRAY<STRUCT<part: STRING, section: STRING>>"
 REF = "case_id STRING, part STRING, section STRING"
 
 
-@pytest.fixture(scope="module")
-def scored(spark):
-    one, two = ("61", "61.535"), ("61", "61.520")
-    cases = spark.createDataFrame([("hit", False, [one, two]), ("miss", False, [one]), ("out-ok", True, []), ("out-bad", True, []), ("broken", False, [one])], CASE)
-    read = spark.createDataFrame([("hit", "61", "61.530"), ("hit", "61", "61.535"), ("miss", "61", "61.140"), ("out-bad", "61", "61.140")], REF)
-    defs = spark.createDataFrame([("hit", "1", "1.11")], REF)
-    errors = spark.createDataFrame([("broken", "boom")], "case_id STRING, error STRING")
-    cited = [{"type": "text", "text": "x"}]
-    answers = spark.createDataFrame(
-        [("hit", False, [(["c"],)], []), ("miss", True, [], ["No hay."]), ("out-ok", True, [], []), ("out-bad", False, [(["c"],)], ["Sin cita."])],
-        "answer_id STRING, refused BOOLEAN, sentences ARRAY<STRUCT<citations: ARRAY<STRING>>>, dropped ARRAY<STRING>",
-    )
-    assert cited
-    retrieval = SC.retrieval_scores(cases, SC.retrieved_refs(read, defs))
-    return cases, errors, retrieval, SC.answer_scores(cases, answers)
+#: name: (out of scope, expected sections, read sections, sections of attached definitions, answer)
+#: where an answer is (refused, citations of each sentence shown, sentences dropped), or a failure's text.
+RUN = {
+    "whole": (False, ["3", "8"], ["8", "9"], ["3"], (False, [1, 0, 2], 0)), "third": (False, ["3", "4", "5"], ["4"], [], (False, [1], 2)),
+    "elsewhere": (False, ["8"], ["9"], ["1"], (False, [0, 0], 1)), "shy": (False, ["8"], ["8"], [], (True, [], 1)), "unread": (False, ["2"], [], [], (False, [1], 0)),
+    "foreign": (True, [], ["1"], [], (True, [], 0)), "foreign, answered": (True, [], [], [], (False, [3], 0)), "foreign, failed": (True, [], ["2"], [], "no reply"),
+}
 
 
-def test_case_scores(scored):
+@pytest.fixture(scope="module")
+def scored(spark):
+    cases = spark.createDataFrame([(k, out, [("12", s) for s in want]) for k, (out, want, *_) in RUN.items()], CASE)
+    read = spark.createDataFrame([(k, "12", s) for k, r in RUN.items() for s in r[2]], REF)
+    defs = spark.createDataFrame([(k, "12", s) for k, r in RUN.items() for s in r[3]], REF)
+    errors = spark.createDataFrame([(k, r[4]) for k, r in RUN.items() if isinstance(r[4], str)], "case_id STRING, error STRING")
+    rows = [(k, r[4][0], [(["c"] * n,) for n in r[4][1]], ["d"] * r[4][2]) for k, r in RUN.items() if not isinstance(r[4], str)]
+    answers = spark.createDataFrame(rows, "answer_id STRING, refused BOOLEAN, sentences ARRAY<STRUCT<citations: ARRAY<STRING>>>, dropped ARRAY<STRING>")
+    return cases, errors, SC.retrieval_scores(cases, SC.retrieved_refs(read, defs)), SC.answer_scores(cases, answers)
+
+
+def brute_scores(name):
+    out, want, read, attached, answer = RUN[name]
+    if isinstance(answer, str):
+        return [None] * 5
+    found = [s in read + attached for s in want]
+    refused, shown, dropped = answer
+    cited = sum(n > 0 for n in shown)
+    grounding = None if refused else cited / (cited + dropped) if cited + dropped else 0.0
+    return [any(found) if want else None, sum(found) / len(found) if want else None, grounding, refused == out, dropped]
+
+
+@pytest.mark.parametrize("name", RUN)
+def test_scores_of_a_case(scored, name):
     cases, errors, retrieval, answers = scored
-    got = {r["case_id"]: r for r in SC.case_scores(cases, errors, retrieval, answers).collect()}
-    key = lambda c: (got[c]["retrieval_hit"], got[c]["retrieval_recall"], got[c]["grounding"], got[c]["refusal_correct"])
-    assert key("hit") == (True, 0.5, 1.0, True)
-    assert key("miss") == (False, 0.0, None, False)
-    assert key("out-ok") == (None, None, None, True)
-    assert key("out-bad") == (None, None, 0.5, False)
-    assert key("broken") == (None, None, None, None) and got["broken"]["error"] == "boom"
+    row = SC.case_scores(cases, errors, retrieval, answers).filter(F.col("case_id") == name).first()
+    got = [row[k] for k in ("retrieval_hit", "retrieval_recall", "grounding", "refusal_correct", "n_dropped")]
+    assert got == [pytest.approx(x) if isinstance(x, float) else x for x in brute_scores(name)]
 
 
-def test_run_aggregate(scored):
+def test_rates_of_a_run(scored):
     cases, errors, retrieval, answers = scored
     full = SC.run_aggregate(SC.case_scores(cases, errors, retrieval, answers)).first()
-    assert (full["cases"], full["in_scope"], full["out_of_scope"], full["errors"], full["dropped_claims"]) == (5, 3, 2, 1, 2)
-    assert full["retrieval_hit_rate"] == pytest.approx(1 / 3) and full["retrieval_recall_mean"] == pytest.approx(0.5 / 3)
-    assert full["grounded_rate"] == pytest.approx(1 / 3)
-    assert full["refusal_rate_out_of_scope"] == 0.5 and full["false_refusal_rate_in_scope"] == pytest.approx(1 / 3)
-    part = SC.run_aggregate(SC.case_scores(cases, errors, retrieval), "retrieval").first()
-    assert part["retrieval_hit_rate"] == pytest.approx(1 / 3)
-    assert [part[k] for k in ("grounded_rate", "dropped_claims", "refusal_rate_out_of_scope", "false_refusal_rate_in_scope")] == [None] * 4
+    score = {k: brute_scores(k) for k in RUN}
+    inside, outside = [k for k in RUN if not RUN[k][0]], [k for k in RUN if RUN[k][0]]
+    assert (full["cases"], full["in_scope"], full["out_of_scope"], full["errors"]) == (len(RUN), len(inside), len(outside), 1)
+    assert full["dropped_claims"] == sum(s[4] or 0 for s in score.values())
+    assert full["retrieval_hit_rate"] == pytest.approx(sum(bool(score[k][0]) for k in inside) / len(inside))
+    assert full["retrieval_recall_mean"] == pytest.approx(sum(score[k][1] or 0 for k in inside) / len(inside))
+    assert full["refusal_rate_out_of_scope"] == pytest.approx(1 / 3)
+    assert full["false_refusal_rate_in_scope"] == pytest.approx(1 / 5)
+    only = SC.run_aggregate(SC.case_scores(cases, errors, retrieval), "retrieval").first()
+    assert only["retrieval_hit_rate"] == full["retrieval_hit_rate"]
+    assert {only[k] for k in ("grounded_rate", "dropped_claims", "refusal_rate_out_of_scope", "false_refusal_rate_in_scope")} == {None}
 
 
 def test_judged_mean_leaves_failed_calls_out(spark):
@@ -170,24 +185,24 @@ def test_requests(spark):
 
 def test_render(spark):
     cases = {
-        "list": response(("Condiciones:\n- ", []), ("tener instrucción", [cite(1), cite(0)]), (".\n- ", []), ("constancia", [cite(0)]), (".\n\nFin.", [])),
-        "gap": response(coverage="ninguna - lo regula la Parte 67."), "none": response(("x", []), coverage=None),
+        "items": said("Para retirar:\n- ", ("mostrar el carné", source(1), source(0)), ".\n- ", ("la ficha", source(0)), ".\n\nListo."),
+        "gap": said(opening="COBERTURA: ninguna - lo dice la Parte 15.\n\n"), "silent": said("x", opening=None),
     }
     responses = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], schemas.RESPONSES)
-    answers = G.ground(G.parse_responses(responses), spark.createDataFrame([(k, *d) for k in cases for d in DOCS], schemas.DOCUMENTS))
+    answers = G.ground(G.parse_responses(responses), spark.createDataFrame([(k, *d) for k in cases for d in SHELF], schemas.DOCUMENTS))
     out = {r["answer_id"]: r["text"] for r in RN.render(answers).collect()}
-    body = out["list"].split("\n\n")[1]
-    assert body == "Condiciones:\n- Tener instrucción. [1][2]\n- Constancia. [2]\nFin."
-    assert "[1] Parte 61, Sección 61.535 (Régimen transitorio), página PDF 67 (página impresa 10), Edición VI Enmienda I (mayo 2026) - https://example.org/61" in out["list"]
-    assert out["gap"].split("\n\n")[1] == fixed.REFUSAL + " Lo que falta probablemente lo regula la Parte 67: la Sección 61.520 remite a ella. [1]"
-    assert out["none"] == fixed.NOTICE + "\n\n" + fixed.REFUSAL
+    assert out["items"].split("\n\n")[1] == "Para retirar:\n- Mostrar el carné. [1][2]\n- La ficha. [2]\nListo."
+    assert f"[1] Parte 12, Sección 12.8 (Sala grande), página PDF 9 (página impresa c), Edición X Enmienda II (enero 2031) - {LINK}" in out["items"]
+    assert out["gap"].split("\n\n")[1] == fixed.REFUSAL + " Lo que falta probablemente lo regula la Parte 15: la Sección 12.3 remite a ella. [1]"
+    assert out["silent"] == fixed.NOTICE + "\n\n" + fixed.REFUSAL
     read = {r["answer_id"]: r["text"] for r in RN.judged_text(answers).collect()}
-    assert read["list"] == "Condiciones: Tener instrucción. Constancia. Fin."
-    laid = RN.layout(G.sentence_rows(answers)).filter("answer_id = 'list'").orderBy("ord").collect()
+    assert read["items"] == "Para retirar: Mostrar el carné. La ficha. Listo."
+    laid = RN.layout(G.sentence_rows(answers)).filter("answer_id = 'items'").orderBy("ord").collect()
     assert [(r["kind"], r["block"]) for r in laid] == [("paragraph", 1), ("list", 2), ("list", 2), ("paragraph", 3)]
-    index = RN.citation_index(G.citation_rows(answers)).filter("answer_id = 'list'").orderBy("first_cited").collect()
-    assert [(r["section"], r["cited_texts"]) for r in index] == [("61.535", ["x"]), ("61.520", ["x"])]
-    assert G.unanswerable(spark.createDataFrame([("list",), ("lost",)], "answer_id STRING"), spark.createDataFrame([("list", *DOCS[0])], schemas.DOCUMENTS)).first()["answer_id"] == "lost"
+    index = RN.citation_index(G.citation_rows(answers)).filter("answer_id = 'items'").orderBy("first_cited").collect()
+    assert [(r["section"], r["cited_texts"]) for r in index] == [("12.8", ["lo citado"]), ("12.3", ["lo citado"])]
+    asked = spark.createDataFrame([("items",), ("lost",)], "answer_id STRING")
+    assert G.unanswerable(asked, spark.createDataFrame([("items", *SHELF[0])], schemas.DOCUMENTS)).first()["answer_id"] == "lost"
     assert set(G.public_answers(answers).columns) == {"answer_id", "sentences", "refused", "incomplete", "likely_parts"}
 
 
@@ -197,8 +212,8 @@ def test_render(spark):
         (T.claim_tokens, "(a) Son tres (3) horas, 2.500 pies y 007 en Setiembre; (iv) veintidós", ["3", "2500", "7", "3", "setiembre", "22"]),
         (T.capitalize, '"hasta 2027', '"Hasta 2027'),
         (T.phrase, "Área de  Control (TMA) [x]", "área de control"),
-        (T.expand_pages, "63-64, 67, x, 5-3", [63, 64, 67]),
         (T.words, "Ñandú straße 12", ["nandu", "stra", "e", "12"]),
+        (T.words, "Nº 1º y 2ª, ﬁn x² №3 ①", ["no", "1o", "y", "2a", "fin", "x2", "no3", "1"]),
         (T.reflow, "co-\nrresponda;\n(b)\nsigue\nasí", "corresponda;\n(b) sigue así"),
         (T.clean_block, " a \t b \n\n c ", "a b\nc"),
         (T.sentence_pieces, "Sí. 61.520 va: bien.**\nFin", ["Sí.", " 61.520 va:", " bien.**", "\n", "Fin"]),

@@ -37,7 +37,7 @@ def test_bad_listing_rows(spark, cells, error):
 
 
 def test_listing_fields(spark):
-    folder = LINK + "?dir=undefined&path=%2FBiblioteca%20Virtual%2F77&openfile=324083"
+    folder = LINK + "?dir=undefined&path=%2FBiblioteca%20Virtual%2F77&openfile=870251"
     got = {
         r["part"]: r
         for r in listings.listings(
@@ -49,7 +49,7 @@ def test_listing_fields(spark):
     }
     assert set(got) == {"129", "77"}
     assert (got["129"]["title"], got["129"]["download_url"], got["129"]["token"]) == ("Op. extranjeros aéreos", LINK + "/download", "abc")
-    assert (got["77"]["folder"], got["77"]["file_id"], got["77"]["download_url"]) == ("/Biblioteca Virtual/77", "324083", None)
+    assert (got["77"]["folder"], got["77"]["file_id"], got["77"]["download_url"]) == ("/Biblioteca Virtual/77", "870251", None)
 
 
 def test_duplicate_parts_and_failure(spark):
@@ -77,9 +77,9 @@ def test_sheet_id_and_folder_xml(spark):
     xml = (
         '<?xml version="1.0"?><d:multistatus xmlns:d="DAV:" xmlns:oc="http://owncloud.org/ns"><d:response><d:href>/webdav/a/</d:href>'
         "<d:propstat><d:prop><oc:fileid>1</oc:fileid></d:prop></d:propstat></d:response><d:response><d:href>/webdav/a/b.pdf</d:href>"
-        "<d:propstat><d:prop><oc:fileid>324083</oc:fileid></d:prop></d:propstat></d:response></d:multistatus>"
+        "<d:propstat><d:prop><oc:fileid>870251</oc:fileid></d:prop></d:propstat></d:response></d:multistatus>"
     )
-    listed = spark.createDataFrame([("77", "324083"), ("78", "5"), ("61", None)], "part STRING, file_id STRING")
+    listed = spark.createDataFrame([("77", "870251"), ("78", "5"), ("61", None)], "part STRING, file_id STRING")
     folders = spark.createDataFrame([("77", xml), ("78", xml)], "part STRING, xml STRING")
     got = {r["part"]: (r["file_url"], r["error"]) for r in listings.folder_files(listed, folders).collect()}
     assert got == {"77": (fixed.SHARE_HOST + "/webdav/a/b.pdf", None), "78": (None, "file 5 not found in shared folder")}
@@ -182,3 +182,16 @@ def test_prices_file(spark, tmp_path):
     path.write_text("[m-1]\ninput = 4\ncache_write = 5.0\ncache_read = 0.2\noutput = 20\n")
     assert prices.read_prices(spark, str(path)).collect()[0].asDict() == {"model": "m-1", "input": 4.0, "cache_write": 5.0, "cache_read": 0.2, "output": 20.0}
     assert prices.listed_prices(spark).count() == 4
+
+
+def test_reports_are_read_as_they_are_written(spark, tmp_path):
+    rows = [(5, ["retrieval"], i) for i in range(7)] + [(5, ["answer"], 9)]
+    reports = spark.createDataFrame(rows, "schema_version INT, stages ARRAY<STRING>, n INT").withColumn(
+        "cases", F.transform(F.sequence(F.lit(0), "n"), lambda i: F.struct(F.concat_ws("-", "n", i).alias("id"), F.lit("¿?").alias("question")))
+    )
+    C.write_report(reports.drop("n").coalesce(2), str(tmp_path / "runs"))
+    back = C.read_reports(spark, str(tmp_path / "runs"))
+    assert back.count() == 8 and back.filter("error IS NULL").count() == 7 and back.select("report").distinct().count() == 8
+    assert {r.id for r in C.recorded_cases(back).collect()} == {f"{i}-{j}" for i in range(7) for j in range(i + 1)}
+    (tmp_path / "one.json").write_text('{\n "schema_version": 5,\n "stages": ["retrieval"],\n "cases": []\n}')
+    assert C.read_reports(spark, str(tmp_path / "one.json"), one_per_file=True).first()["error"] is None

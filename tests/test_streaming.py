@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -7,19 +8,18 @@ from fojas import schemas
 from fojas.operators import grounding as G
 from fojas.operators import usage as U
 from fojas.streaming import emit, metering
-from test_grounding import DOCS, cite, response
+from test_grounding import SHELF, said, source
+
+ITEMS = ("Mirá. Para retirar:\n- ", ("mostrar el carné", source(1)), ".\n- ", ("firmar la ficha", source(1)), ".")
 
 
 def responses(spark):
-    blocks = [("Depende. Hay condiciones:\n- ", []), ("tener instrucción", [cite(1)]), (".\n- ", []), ("tener constancia", [cite(1)]), (".", [])]
     cases = {
-        "ok": response(*blocks), "none": response(*blocks, coverage="ninguna - nada"), "missing": response(*blocks, coverage=None),
-        "late": response(("Hace falta ", []), ("algo", [cite(0)]), (". Son 12 horas. Y ", []), ("son doce", [cite(1, 0, "12 horas")]), (". Fin.", [])),
-        "passed": response(
-            ("Hace falta ", []), ("algo", [cite(0)]), (". Son 12 horas. Y además esto. Y ", []), ("son doce", [cite(1, 0, "12 horas")]), (". Fin.", []),
-        ),
+        "steps": said(*ITEMS), "closed": said(*ITEMS, opening="COBERTURA: ninguna - nada\n\n"), "unopened": said(*ITEMS, opening=None),
+        "backed": said("Se puede ", ("retirar", source(0)), ". Caben 33 libros. Y ", ("caben treinta y tres", source(1, "33 libros")), ". Listo."),
+        "backed late": said("Se puede ", ("retirar", source(0)), ". Caben 33 libros. Y hay revistas. Y ", ("caben treinta y tres", source(1, "33 libros")), ". Listo."),
     }
-    documents = spark.createDataFrame([(k, *d) for k in cases for d in DOCS], schemas.DOCUMENTS)
+    documents = spark.createDataFrame([(k, *d) for k in cases for d in SHELF], schemas.DOCUMENTS)
     return cases, documents
 
 
@@ -28,33 +28,49 @@ def test_replay_emits_complete_cited_sentences_only(spark):
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], schemas.RESPONSES)
     rows = emit.replay_sentences(G.parse_responses(df), documents).orderBy("answer_id", "end").collect()
     got = {k: [r["text"] for r in rows if r["answer_id"] == k] for k in cases}
-    assert got["ok"] == ["Depende.", "Hay condiciones:", "Tener instrucción."]
-    assert got["none"] == [] and got["missing"] == []
-    assert got["late"] == ["Hace falta algo.", "Son 12 horas.", "Y son doce."]
+    assert got["steps"] == ["Mirá.", "Para retirar:", "Mostrar el carné."]
+    assert got["closed"] == [] and got["unopened"] == []
+    assert got["backed"][0] == "Se puede retirar." and "Caben 33 libros." in got["backed"]
     # Backed only by text after a sentence already emitted: left to the final answer.
-    assert got["passed"] == ["Hace falta algo.", "Y además esto.", "Y son doce."]
+    assert "Caben 33 libros." not in got["backed late"] and "Y hay revistas." in got["backed late"]
+
+
+def streamed(spark, tmp_path, name, files, documents):
+    """Batches of event lines, two files to a batch, to the events emitted."""
+    folder = tmp_path / f"{name}-in"
+    folder.mkdir()
+    for i, lines in enumerate(files):
+        path = folder / f"{i:04d}.json"
+        path.write_text("\n".join(json.dumps(x) for x in lines))
+        os.utime(path, (1_700_000_000 + i, 1_700_000_000 + i))
+    stream = spark.readStream.schema(emit.BLOCK_EVENTS).option("maxFilesPerTrigger", 2).json(str(folder))
+    emit.start(spark, stream, documents, str(tmp_path / name)).awaitTermination()
+    return emit.read_events(spark, str(tmp_path / name)).orderBy("answer_id", "seq").collect()
+
+
+def test_disorder_and_redelivery_change_nothing(spark, tmp_path):
+    cases, documents = responses(spark)
+    lines = [{"answer_id": k, "seq": i, "event": "block", "block": b} for k, v in cases.items() for i, b in enumerate(v["content"])]
+    lines += [{"answer_id": k, "seq": len(v["content"]), "event": "stop"} for k, v in cases.items()]
+    want = streamed(spark, tmp_path, "plain", [lines[i::6] for i in range(6)], documents)
+    mixed = random.Random(3).sample(lines, len(lines))
+    twice = mixed[::2] + mixed[1::2] + mixed[::3]
+    got = streamed(spark, tmp_path, "mixed", [twice[i : i + 9] for i in range(0, len(twice), 9)] + [lines[:7], lines[-3:]], documents)
+    texts = lambda events, k: [json.loads(e.payload)["sentence"]["text"] for e in events if e.answer_id == k and e.type == "sentence"]
+    for k in cases:
+        assert [e.type for e in got if e.answer_id == k].count("answer") == 1
+        assert [e.seq for e in got if e.answer_id == k] == list(range(len([e for e in got if e.answer_id == k])))
+        assert texts(got, k) == texts(want, k)
+        final = lambda events: [e.payload for e in events if e.answer_id == k and e.type == "answer"]  # noqa: B023, E731
+        assert final(got) == final(want)
 
 
 def test_stream_equals_replay(spark, tmp_path):
     cases, documents = responses(spark)
-    source = tmp_path / "blocks"
-    source.mkdir()
     n = max(len(v["content"]) for v in cases.values())
-    for seq in range(n):
-        lines = [
-            json.dumps({"answer_id": k, "seq": seq, "event": "block", "block": v["content"][seq]})
-            for k, v in cases.items() if seq < len(v["content"])
-        ]
-        (source / f"{seq:03d}.json").write_text("\n".join(lines))
-    (source / "999.json").write_text("\n".join(
-        [json.dumps({"answer_id": k, "seq": n, "event": "stop"}) for k in cases] + [json.dumps({"answer_id": "x", "seq": 0, "event": "error"})]
-    ))
-    for i, f in enumerate(sorted(source.iterdir())):
-        os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))
-    stream = spark.readStream.schema(emit.BLOCK_EVENTS).option("maxFilesPerTrigger", 2).json(str(source))
-    root = str(tmp_path / "out")
-    emit.start(spark, stream, documents, root).awaitTermination()
-    events = emit.read_events(spark, root).orderBy("answer_id", "seq").collect()
+    files = [[{"answer_id": k, "seq": i, "event": "block", "block": v["content"][i]} for k, v in cases.items() if i < len(v["content"])] for i in range(n)]
+    files.append([{"answer_id": k, "seq": len(v["content"]), "event": "stop"} for k, v in cases.items()] + [{"answer_id": "x", "seq": 0, "event": "error"}])
+    events = streamed(spark, tmp_path, "out", files, documents)
     df = spark.createDataFrame([(k, json.dumps(v)) for k, v in cases.items()], schemas.RESPONSES)
     replay = emit.replay_sentences(G.parse_responses(df), documents).orderBy("answer_id", "end").collect()
     for k in cases:
@@ -64,7 +80,7 @@ def test_stream_equals_replay(spark, tmp_path):
         assert mine[-1]["type"] == "answer"
     assert [e["type"] for e in events if e["answer_id"] == "x"] == ["error"]
     final = {e["answer_id"]: json.loads(e["payload"]) for e in events if e["type"] == "answer"}
-    assert final["none"]["refused"] and not final["ok"]["refused"]
+    assert final["closed"]["refused"] and not final["steps"]["refused"]
 
 
 PRICES = [("opus", 4.0, 5.0, 0.2, 20.0), ("haiku", 1.0, 1.25, 0.1, 5.0)]

@@ -23,6 +23,8 @@ from fojas.llm.common import text_chunks
 
 DIM = 4096
 BANDS = 24
+#: Sampled texts of a length that are needed to say how near such texts lie.
+ENOUGH = 20
 _LETTERS: list[np.ndarray] = []
 
 
@@ -108,6 +110,7 @@ def _fit(idf: np.ndarray, k: int):
         c = _k_means(x, k)
         least = np.full(BANDS, np.inf)
         np.minimum.at(least, band(counts), (x @ c.T).max(axis=1))
+        least[np.bincount(band(counts), minlength=BANDS) < ENOUGH] = np.inf
         return pd.DataFrame({"lang": key[0], "centroid": [v.tolist() for v in c], "least": [least.tolist()] * len(c)})
 
     return run
@@ -115,7 +118,7 @@ def _fit(idf: np.ndarray, k: int):
 
 class Model:
     """Weights, and for each centroid its language and the least cosine of sampled texts by length; lengths
-    that the sample lacks have that of the nearest shorter ones, since longer texts come nearer."""
+    of which the sample has too few have that of the nearest shorter ones, since longer texts come nearer."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray):
         self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least.copy()
@@ -192,7 +195,7 @@ def predict(docs: DataFrame, model: Model, margin: float = 0.3) -> DataFrame:
 
     ``score`` is the cosine with the nearest centroid. ``rejected``: no letters, or a cosine under
     ``margin`` of the least that sampled texts of like length have with their own centroids; texts shorter
-    than any sampled one are not rejected by distance. Null, empty and letterless texts are ``und`` with
+    than those of which the sample has enough are not rejected by distance: a few words prove nothing. Null, empty and letterless texts are ``und`` with
     score 0; so are all texts for a model that saw no row. Ties go to the first language by name.
     """
     return predict_beside(docs.select(F.col("id").cast("long").alias("id"), "text"), model, margin).drop("text")

@@ -135,3 +135,17 @@ def merged(usage: DataFrame, keys: tuple[str, ...] = ("stage",)) -> DataFrame:
 def total_cost(usage: DataFrame, keys: tuple[str, ...] = ("exchange_id",)) -> DataFrame:
     """Cost over all stages of an exchange; exchanges with no usage rows have no total."""
     return usage.groupBy(*keys).agg(known_sum(F.col("cost_usd")).alias("cost_usd"))
+
+
+def run_costs(usage: DataFrame, cases: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """What a run used: sums by stage, its cost, and its cost per case.
+
+    ``usage``: exchange rows by stage with ``keys``; ``cases``: a row per case with ``keys``. One unknown cost
+    makes the stage's, the run's and the mean cost unknown. A run whose cases made no call cost nothing known.
+    """
+    stages = merged(usage, (*keys, "stage"))
+    row = F.struct("stage", "requests", *TOKENS, "unmetered_requests", "cost_usd")
+    totals = stages.groupBy(*keys).agg(known_sum(F.col("cost_usd")).alias("cost_usd"), F.array_sort(F.collect_list(row)).alias("usage"))
+    counts = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("cases"))
+    both = counts.join(totals, list(keys), "left") if keys else counts.crossJoin(totals)  # one row each
+    return both.withColumn("cost_usd_mean", F.col("cost_usd") / F.nullif(F.col("cases"), F.lit(0)))

@@ -6,9 +6,10 @@ executors that made it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fojas import fixed
 from fojas.operators import definitions as D
 from fojas.operators import grounding as G
 from fojas.operators import refs as R
@@ -93,3 +94,23 @@ def evaluate(
         j = judgements.select("case_id", "correctness", "verdict", "rationale", F.col("error").alias("judge_error"))
         results = results.join(j, "case_id", "left")
     return results, SC.run_aggregate(results, stage, judged="judge_error" in results.columns)
+
+
+def run_report(
+    results: DataFrame, aggregate: DataFrame, costs: DataFrame, cases: DataFrame, answer_rows: DataFrame, index_versions: DataFrame, name: str, stage: str = "full",
+    created_at: Column | None = None,
+) -> DataFrame:
+    """A run's report as one row: header, rates with cost, and every case result, ready for ``write_report``.
+
+    A report is one document by its nature; its size is that of the run's own results.
+    """
+    header = aggregate.sparkSession.range(1).select(
+        F.lit(max(fixed.REPLAYABLE_SCHEMAS)).alias("schema_version"), (F.current_timestamp() if created_at is None else created_at).alias("created_at"),
+        F.array(*[F.lit(s) for s in fixed.STAGES[stage]]).alias("stages"),
+    )
+    versions = index_versions.agg(F.array_sort(F.collect_list(F.struct(*index_versions.columns))).alias("index_versions"))
+    pipeline = versions.crossJoin(SC.served_models(answer_rows)).select(F.struct(F.lit(name).alias("name"), F.col("served_models").alias("served_answer_models"), "index_versions").alias("pipeline"))
+    rates = aggregate.crossJoin(costs.drop("cases")).select(F.struct("*").alias("aggregate"))
+    rows = results.withColumnRenamed("case_id", "id").join(cases.select("id", "question"), "id")
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("id", "question", *[c for c in rows.columns if c not in ("id", "question")]))).alias("cases"))
+    return header.crossJoin(pipeline).crossJoin(SC.fingerprint(cases)).crossJoin(rates).crossJoin(listed)  # single rows

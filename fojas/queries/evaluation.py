@@ -417,3 +417,20 @@ def q36_report_roundtrip(spark, sf):
     return back.select(
         F.col("pipeline.name").alias("name"), F.size("cases").cast("bigint").alias("n_cases"), F.md5(F.array_join("cases.question", "#")).alias("questions"), F.col("error").isNull().alias("replayable"),
     )
+
+
+@query("q37_run_costs", sql=f"""
+WITH {EVENT_USAGE},
+raw AS (SELECT exchange_id, stage, CAST(sum(i) AS BIGINT) AS i, CASE WHEN count(*) = count(cost) THEN sum(cost) END AS c FROM p GROUP BY 1, 2),
+st AS (SELECT CAST(exchange_id AS BIGINT) % 7 AS run, stage, sum(i) AS i, CASE WHEN count(*) = count(c) THEN sum(c) END AS c FROM raw GROUP BY 1, 2),
+n AS (SELECT user_id % 7 AS run, count(DISTINCT user_id) AS cases FROM events GROUP BY 1)
+SELECT run, cases, round(cost, 6) AS cost_usd, round(cost / cases, 6) AS cost_usd_mean, stages, tokens FROM n JOIN (
+  SELECT run, CASE WHEN count(*) = count(c) THEN sum(c) END AS cost, string_agg(stage, ',' ORDER BY stage) AS stages, CAST(sum(i) AS BIGINT) AS tokens FROM st GROUP BY 1) USING (run)""")
+def q37_run_costs(spark, sf):
+    """Usage and cost of runs (users by remainder), in sum and per case; one unknown cost makes them unknown."""
+    events = table(spark, sf, "events")
+    run = lambda c: (F.col(c).cast("bigint") % 7).alias("run")
+    usage = U.stage_usage(event_attempts(events), listed_prices(spark))
+    costs = U.run_costs(usage.select("*", run("exchange_id")), events.select("user_id", run("user_id")).distinct(), ("run",))
+    tokens = F.aggregate("usage", F.lit(0).cast("bigint"), lambda a, x: a + x["input_tokens"])
+    return costs.select("run", "cases", F.round("cost_usd", 6).alias("cost_usd"), F.round("cost_usd_mean", 6).alias("cost_usd_mean"), F.array_join("usage.stage", ",").alias("stages"), tokens.alias("tokens"))

@@ -51,3 +51,30 @@ def test_pages_to_scores(spark, tmp_path):
     assert results.first()["grounding"] == 0.5
     r = rates.first()
     assert (r["retrieval_recall_mean"], r["grounded_rate"], r["dropped_claims"], r["correctness_mean"]) == (1.0, 0.0, 1, 1.0)
+
+
+def test_run_report_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from fojas.operators import scoring as SC
+    from fojas.operators import usage as U
+    from fojas.plans import jobs as J
+    from fojas.sources import cases as C
+
+    refs = "ARRAY<STRUCT<part: STRING, section: STRING>>"
+    cases = spark.createDataFrame([("a", "¿a?", False, [("12", "3")]), ("b", "¿b?", True, []), ("c", "¿c?", False, [("12", "4")])], f"id STRING, question STRING, out_of_scope BOOLEAN, expected {refs}")
+    answers = spark.createDataFrame([("a", "m1", False, [(["x"],)], [], None), ("b", "m2", True, [], [], None)], "answer_id STRING, model STRING, refused BOOLEAN, sentences ARRAY<STRUCT<citations: ARRAY<STRING>>>, dropped ARRAY<STRING>, error STRING")
+    read = spark.createDataFrame([("a", "12", "3")], "question_id STRING, part STRING, section STRING")
+    results, rates = J.evaluate(cases, read, read.limit(0), answers)
+    assert {r.case_id: r.error for r in results.collect()} == {"a": None, "b": None, "c": "no answer"}
+    usage = spark.createDataFrame([("a", "answer", 1, 10, 0, 0, 5, 0, 2.0), ("b", "answer", 1, 4, 0, 0, 1, 0, 1.0)], "exchange_id STRING, stage STRING, requests INT, input_tokens INT, cache_creation_input_tokens INT, cache_read_input_tokens INT, output_tokens INT, unmetered_requests INT, cost_usd DOUBLE")
+    versions = spark.createDataFrame([("12", "h", "IX", None, False)], "parte STRING, content_hash STRING, edicion STRING, enmienda STRING, from_cache BOOLEAN")
+    report = J.run_report(results, rates, U.run_costs(usage, cases), cases, answers, versions, "spark")
+    row = report.first()
+    assert (row.aggregate.cost_usd, row.aggregate.cost_usd_mean, row.aggregate.errors) == (3.0, 1.0, 1)
+    assert row.pipeline.served_answer_models == ["m1", "m2"] and [c.id for c in row.cases] == ["a", "b", "c"]
+    assert row.cases_sha256 == SC.fingerprint(cases).first()[0]
+    C.write_report(report, str(tmp_path / "r"))
+    back = C.read_reports(spark, str(tmp_path / "r"))
+    status = C.replay_status(cases.withColumn("question", F.when(F.col("id") == "b", "other").otherwise(F.col("question"))), C.recorded_cases(back))
+    assert {r.id: r.replay for r in status.collect()} == {"a": "ok", "b": "changed", "c": "errored"}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,11 +12,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+# A worker lives beside a JVM and should give back what it frees: Arrow's own allocators keep it, and so
+# does the C library once its threshold for separate blocks has grown with the sizes freed.
+pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which also ends its growth
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space of the contracts, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -100,7 +107,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n - 1).bit_length())
+    size = -(-n >> 18) << 18  # a multiple of 2 ** 18
     if size not in _POWERS:
         up, down = np.full(size, _P), np.full(size, _P_INV)
         up[0] = down[0] = 1
@@ -117,22 +124,20 @@ def _segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def word_places(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends, first): 64-bit hashes of all words of ``texts`` in order, the bytes they
-    take in the texts joined by one blank, and where each text's words begin (n + 1 places).
-
-    ``table`` turns a text's separators into blanks (SPACE_WORDS, ALNUM_WORDS). Long inputs are
-    worked off in pieces cut at blanks.
-    """
-    buffer = b" ".join(texts).translate(table) + b" "
-    lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    data = np.frombuffer(buffer, np.uint8)
+def edges_of_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(data, starts, ends, begins): the texts joined by one blank and translated, the bytes that words
+    take in it, and where each text begins (n + 1 places)."""
+    data = np.frombuffer(b" ".join(texts).translate(table) + b" ", np.uint8)
+    begins = np.concatenate(([0], np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))))
     blank = np.empty(len(data) + 1, bool)
     blank[0] = True
     np.equal(data, 32, out=blank[1:])
     edges = np.flatnonzero(blank[1:] != blank[:-1])
-    starts, ends = edges[0::2], edges[1::2]
-    first = np.searchsorted(starts, np.concatenate(([0], np.cumsum(lengths))))
+    return data, edges[0::2], edges[1::2], begins
+
+
+def hashes_of_pieces(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ordered pieces of ``data``; long inputs are worked off in stretches."""
     hashes = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -140,7 +145,17 @@ def word_places(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarra
         to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, "right")))
         hashes[at:to] = _segment_hashes(data[base : ends[to - 1]], starts[at:to] - base, ends[at:to] - base)
         at = to
-    return hashes, starts, ends, first
+    return hashes
+
+
+def word_places(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends, first): 64-bit hashes of all words of ``texts`` in order, the bytes they
+    take in the texts joined by one blank, and where each text's words begin (n + 1 places).
+
+    ``table`` turns a text's separators into blanks (SPACE_WORDS, ALNUM_WORDS).
+    """
+    data, starts, ends, begins = edges_of_words(texts, table)
+    return hashes_of_pieces(data, starts, ends), starts, ends, np.searchsorted(starts, begins)
 
 
 def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -150,14 +165,14 @@ def word_hashes(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarra
 
 def text_chunks(batch: pa.RecordBatch, text: str = "text", most_rows: int = 2000, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
     """(from, to, texts as UTF-8 bytes, null as empty) of pieces of a batch of about ``size`` bytes."""
-    texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
+    column = batch.column(text).cast(pa.binary())
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(lengths)
     at = 0
-    while at < len(texts):
-        to, taken = at, 0
-        while to < len(texts) and to - at < most_rows and (to == at or taken + len(texts[to]) <= size):
-            taken += len(texts[to])
-            to += 1
-        yield at, to, texts[at:to]
+    while at < len(lengths):
+        before = upto[at] - lengths[at]
+        to = min(max(at + 1, int(np.searchsorted(upto, before + size, "right"))), at + most_rows, len(lengths))
+        yield at, to, [t or b"" for t in column.slice(at, to - at).to_pylist()]
         at = to
 
 

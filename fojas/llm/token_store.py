@@ -8,6 +8,8 @@ file appear once.
 
 from __future__ import annotations
 
+import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -17,49 +19,139 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fojas.llm.common import text_chunks
+from fojas.llm.common import SPACE_WORDS, edges_of_words, hashes_of_pieces, text_chunks
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 2000
-#: Distinct pieces whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
-_MODEL: dict[str, object] = {}
-
+#: Distinct pieces whose ids a worker remembers before it starts anew.
+REMEMBERED = 500_000
+RECENT = 100_000
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_PUNCTUATION = np.isin(np.arange(256), list(b".,;:!?)"))
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
+
+
+class Encoder:
+    """Ids of texts by remembering the ids of their pieces.
+
+    For a model that drops white space, lower-cases and splits words from punctuation, texts can be
+    encoded piece by piece: ASCII white space ends every token, and so does the change from an ASCII
+    letter or digit to a closing run of punctuation. Pieces are known by a hash of their lower-cased
+    bytes; those with "<|", which may spell a special token, by all their bytes.
+    """
 
-def _model(path: str):
-    if path not in _MODEL:
+    def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores out
         from tokenizers import Tokenizer
 
-        _MODEL[path] = Tokenizer.from_file(path)
-    return _MODEL[path]
-
-
-def encode_texts(model, texts: list[bytes], memory: dict[bytes, np.ndarray]) -> list[np.ndarray]:
-    """Ids of each UTF-8 text. ASCII white space ends every token of this model and makes no ids itself,
-    so texts are encoded piece by piece between it, and a piece seen before is looked up."""
-    split = [t.split() for t in texts]
-    new = list({p for pieces in split for p in pieces if p not in memory})
-    if len(memory) + len(new) > REMEMBERED:
-        memory.clear()
-        new = list({p for pieces in split for p in pieces})
-    for i in range(0, len(new), 5000):
-        for p, e in zip(new[i : i + 5000], model.encode_batch_fast([p.decode() for p in new[i : i + 5000]], add_special_tokens=False)):
-            memory[p] = np.array(e.ids, np.int32)
-    empty = np.zeros(0, np.int32)
-    return [np.concatenate([memory[p] for p in pieces]) if pieces else empty for pieces in split]
+        self.model, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.model.get_vocab()
+        self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.word_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.old, self.recent = none, none  # sorted hashes and their slots; recent ones are merged now and then
+        self.size, self.begin = np.ones(1, np.int32), np.zeros(1, np.int64)
+        self.ids = np.array([self.end_id], np.int32)  # slot 0 ends a text
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of hashes, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        for keys, slots in (self.old, self.recent):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                same = keys[at] == hashes
+                out[same] = slots[at[same]]
+        return out
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes], plain: np.ndarray) -> None:
+        """``plain`` pieces are ASCII letters alone. A word of letters is one run of tokens, the last of which
+        ends a word: such are encoded many at a time and told apart by that, others one by one."""
+        plain = plain.copy()
+        for i in np.flatnonzero(~plain).tolist():
+            plain[i] = pieces[i].decode().isalpha()
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        words, others = [pieces[i] for i in order[: plain.sum()]], [pieces[i].decode() for i in order[plain.sum() :]]
+        ids, sizes = [], []
+        for a in range(0, len(words), 5000):
+            some = words[a : a + 5000]
+            got = np.array(self.model.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.word_end[got]) + 1
+            if len(ends) != len(some):  # a model whose words end otherwise
+                each = [e.ids for e in self.model.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)]
+                got, ends = np.array([i for x in each for i in x], np.int32), np.cumsum([len(x) for x in each])
+            ids.append(got)
+            sizes.append(np.diff(np.concatenate(([0], ends))))
+        each = [e.ids for e in self.model.encode_batch_fast(others, add_special_tokens=False)] if others else []
+        ids.append(np.array([i for x in each for i in x], np.int32))
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        sizes = np.concatenate(sizes)
+        keys = np.concatenate((self.recent[0], hashes[order]))
+        slots = np.concatenate((self.recent[1], np.arange(len(self.size), len(self.size) + len(order))))
+        if len(keys) > RECENT:
+            keys, slots = np.concatenate((self.old[0], keys)), np.concatenate((self.old[1], slots))
+        sort = np.argsort(keys, kind="stable")
+        if len(keys) > RECENT:
+            self.old, self.recent = (keys[sort], slots[sort]), (keys[:0], slots[:0])
+        else:
+            self.recent = keys[sort], slots[sort]
+        self.begin = np.concatenate((self.begin, len(self.ids) + np.concatenate(([0], np.cumsum(sizes)[:-1]))[: len(sizes)]))
+        self.size = np.concatenate((self.size, sizes.astype(np.int32)))
+        self.ids = np.concatenate((self.ids, *ids))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's end id included, and how many each text has."""
+        data, starts, ends, begins = edges_of_words(texts, SPACE_WORDS)
+        raw = b" ".join(texts)
+        stem = ends.copy()
+        while True:
+            go = (stem > starts) & _PUNCTUATION[data[stem - 1]]
+            if not go.any():
+                break
+            stem[go] -= 1
+        cut = stem[(stem < ends) & (stem > starts) & _ALNUM[data[stem - 1]]]
+        starts, ends = np.sort(np.concatenate((starts, cut))), np.sort(np.concatenate((ends, cut)))
+        hashes = hashes_of_pieces(data, starts, ends)
+        at = raw.find(b"<|")
+        while at >= 0:
+            i = int(np.searchsorted(starts, at, "right")) - 1
+            hashes[i] = int.from_bytes(hashlib.sha256(raw[starts[i] : ends[i]]).digest()[:8], "little")
+            at = raw.find(b"<|", at + 2)
+        distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.size) > REMEMBERED:
+            self.forget()
+        slots = self.find(distinct)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            letters = np.concatenate(([0], np.cumsum(_LETTER[data])))
+            x, y = starts[where[new]], ends[where[new]]
+            self.learn(distinct[new], [raw[i:j] for i, j in zip(x.tolist(), y.tolist())], letters[y] - letters[x] == y - x)
+            slots[new] = self.find(distinct[new])
+        slots = slots[inverse]
+        first = np.searchsorted(starts, begins)
+        slots = np.insert(slots, first[1:], 0)
+        size = self.size[slots].astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(self.begin[slots] - upto[:-1], size) + np.arange(upto[-1])]
+        stops = upto[first[1:] + np.arange(1, len(texts) + 1)]
+        return ids, np.diff(np.concatenate(([0], stops)))
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory, place = _model(path), {}, 0
+        if (path, end_id) not in _ENCODERS:
+            _ENCODERS[(path, end_id)] = Encoder(path, end_id)
+        encoder, place = _ENCODERS[(path, end_id)], 0
         for batch in batches:
             for at, to, texts in text_chunks(batch, most_rows=5000):
-                ids = [np.append(x, np.int32(end_id)) for x in encode_texts(model, texts, memory)]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(ids)))
+                ids, sizes = encoder.encode(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(ids))
                 numbers = pa.array(np.arange(place, place + to - at))
                 place += to - at
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("part").slice(at, to - at), numbers, pa.array(sizes), flat], names=["id", "part", "place", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, to - at), batch.column("part").slice(at, to - at), numbers, pa.array(sizes), lists], names=["id", "part", "place", "n_tokens", "ids"])
 
     return run
 

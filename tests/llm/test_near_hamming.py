@@ -9,7 +9,7 @@ from tests.llm.helpers import DOCS, awkward, edited, near_components, prose
 
 @pytest.fixture(scope="module")
 def rows():
-    out = awkward()
+    out = awkward(9000)
     for g in range(12):
         base = prose(50 + g, 60 + 20 * g)
         out += [(100 * g + j + 1, edited(base, share, 1000 * g + j), "en", "s", 1) for j, share in enumerate([0, 0, 0.01, 0.02, 0.03, 0.05, 0.1, 0.2])]

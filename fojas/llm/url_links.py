@@ -1,12 +1,13 @@
 """URL filter: rules, and trust and distrust spread over the links between hosts.
 
 Rules judge the URLs they fit. Their judgements also seed the link graph: a host is trusted, or blocked,
-by the share of its pages that rules allow, or block. Trust follows links from trusted hosts
-(personalised PageRank); distrust goes back along links, to hosts that link to blocked ones. URLs no
-rule fits get their host's verdict: blocked when its distrust exceeds its trust and a threshold.
+by the share of its pages that rules allow, or block. Trust follows links from trusted hosts; distrust
+goes back along links, to hosts that link to blocked ones. A host's distrust is the mean over its own
+links out, its trust the mean over its links in, so neither shrinks with the links of the other host.
+URLs no rule fits get their host's verdict: blocked when its distrust exceeds its trust and a threshold.
 
 The graph has one edge per pair of hosts, summed before the shuffle. Each round is a join with the
-edges and a sum by host; every few rounds the scores are written.
+edges and a sum by host; every few rounds the scores are written, until they no longer change.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ URL = r"(?s)^.*?://([^/?#]*+)([^?#]*+)"
 HREF = r"""(?i)\bhref\s*+=\s*+["']?+((?:[a-z][a-z0-9+.-]*+:)?//[^"'\s>]++)"""
 ROUNDS = 12
 WRITE_EVERY = 4
+TOLERANCE = 1e-3
 
 
 def host_of(url: Column) -> Column:
@@ -55,24 +57,69 @@ def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, round
     out, distrust over its links in.
     """
     edges = written(edges, "edges")
-    out = edges.groupBy("src").agg(F.sum("n").alias("total"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("total"))
-    steps = edges.join(out, "src").select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("total")).alias("p"))
-    back = edges.join(into, "dst").select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("total")).alias("p"))
-    steps = written(steps.unionByName(back), "steps")
-    seeded = F.inline(F.array(F.struct(F.lit("t").alias("kind"), F.col("trusted").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("blocked").alias("v"))))
-    start = written(seeds.select("host", seeded).filter("v > 0"), "seeds").select("kind", "host", "v")
+    steps = _steps(edges, "src", "dst", damping)
+    start = _seeded(seeds)
     scores = start
     for i in range(1, rounds + 1):
-        moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.lit(damping) * F.col("v") * F.col("p")).alias("v"))
-        scores = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
+        scores = _round(start, scores, steps)
         if i % WRITE_EVERY == 0 or i == rounds:
             scores = written(scores, "scores")
+    return _by_host(scores)
+
+
+def host_leanings(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
+    """(src, dst, n) and (host, trusted, blocked) to (host, trust, distrust), both from 0 to 1.
+
+    A score is the host's seed and, for the share of it the seed leaves open, ``damping`` times a mean:
+    of the distrust of those it links to over its links out, of the trust of those that link to it over
+    its links in. Each round brings all scores nearer by ``damping`` at least, so the rounds go on until
+    none can be off by more than ``tolerance``; how many depends on these two numbers, not on the graph.
+    """
+    if not (0 <= damping < 1 and tolerance > 0):
+        raise ValueError("damping must be under 1 and tolerance over 0")
+    edges = written(edges, "edges")
+    start = _seeded(seeds)
+    open_ = start.select("kind", F.col("host").alias("to"), (1 - F.col("v")).alias("open"))
+    steps = _steps(edges, "dst", "src", damping).join(open_, ["kind", "to"], "left")
+    steps = written(steps.select("kind", "host", "to", (F.col("p") * F.coalesce("open", F.lit(1.0))).alias("p")), "steps")
+    scores, ahead = start, damping**WRITE_EVERY
+    while True:
+        before = scores
+        for _ in range(WRITE_EVERY):
+            scores = _round(start, scores, steps)
+        scores = written(scores, "scores")
+        # scores only grow, and no host is lost from one round to the next
+        change = scores.join(before.withColumnRenamed("v", "old"), ["kind", "host"], "left").agg(F.max(F.col("v") - F.coalesce("old", F.lit(0.0)))).first()[0]
+        if (change or 0.0) * ahead / (1 - ahead) <= tolerance:
+            return _by_host(scores)
+
+
+def _steps(edges: DataFrame, trust_over: str, distrust_over: str, damping: float) -> DataFrame:
+    """(kind, host, to, p): the part of a host's trust or distrust that goes to another; the links of the
+    named ends share it."""
+    total = lambda end: edges.groupBy(end).agg(F.sum("n").alias("total"))
+    p = (F.lit(damping) * F.col("n") / F.col("total")).alias("p")
+    steps = edges.join(total(trust_over), trust_over).select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), p)
+    back = edges.join(total(distrust_over), distrust_over).select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), p)
+    return written(steps.unionByName(back), "steps")
+
+
+def _seeded(seeds: DataFrame) -> DataFrame:
+    kinds = F.inline(F.array(F.struct(F.lit("t").alias("kind"), F.col("trusted").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("blocked").alias("v"))))
+    return written(seeds.select("host", kinds).filter("v > 0"), "seeds").select("kind", "host", "v")
+
+
+def _round(start: DataFrame, scores: DataFrame, steps: DataFrame) -> DataFrame:
+    moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("v") * F.col("p")).alias("v"))
+    return start.unionByName(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
+
+
+def _by_host(scores: DataFrame) -> DataFrame:
     part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("v"))), F.lit(0.0))
     return scores.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, damping: float = 0.85, rounds: int = ROUNDS) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, url, html) to (page_id, host, path, rule, verdict, trust, distrust), a row for each row.
 
     A null url, or one without ://, has neither host nor path and is allowed, as is a host that nothing
@@ -86,7 +133,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, da
     rows = rows.withColumn("rule", rule).withColumn("action", action)
     share = lambda act: F.avg(F.coalesce((F.col("action") == act).cast("double"), F.lit(0.0)))
     seeds = rows.filter("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
-    scores = host_scores(host_edges(pages.select("url", "html")), seeds, damping, rounds)
+    scores = host_leanings(host_edges(pages.select("url", "html")), seeds, damping, tolerance)
     found = rows.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
     verdict = F.coalesce("action", F.when(bad, "block").otherwise("allow"))

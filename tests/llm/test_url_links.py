@@ -47,3 +47,28 @@ def test_rules_and_method(spark):
 
 def test_empty_table(spark):
     assert U.judge(spark.createDataFrame([], PAGES), RULES).collect() == []
+
+
+def test_hosts_that_link_to_much_linked_blocked_hosts_are_blocked(spark):
+    linkers = [(i, f"http://s{i}.com/", "<a href=http://bad.net/y><a href=http://bad.net/z>") for i in range(100)]
+    rows = [*linkers, (100, "http://bad.net/y", None), (101, "http://news.com/", "<a href=http://bad.net/y>" + "".join(f"<a href=http://n{i}.com>" for i in range(9)))]
+    rows += [(102, "http://next.com/", "<a href=http://s1.com/>")]
+    got = {r.page_id: r for r in U.judge(spark.createDataFrame([(*r, "", 0.0) for r in rows], PAGES), RULES).collect()}
+    assert all(got[i].verdict == "block" and abs(got[i].distrust - 0.85) < 1e-9 for i in range(100))
+    assert got[101].verdict == "allow" and abs(got[101].distrust - 0.085) < 1e-9
+    assert got[102].verdict == "block" and abs(got[102].distrust - 0.85**2) < 1e-9
+
+
+def test_leanings_are_iterated_until_they_stay(spark):
+    edges = [("a", "b", 2), ("b", "a", 3), ("b", "x", 1), ("a", "c", 1), ("c", "a", 1), ("y", "x", 1), ("x", "a", 1), *((f"h{i}", f"h{i + 1}", 1) for i in range(30))]
+    seeds = {"x": (0.0, 0.75), "c": (0.5, 0.25), "h0": (1.0, 0.0)}
+    want = {h: [0.0, 0.0] for e in edges for h in e[:2]}
+    for _ in range(300):
+        for h in want:
+            for k, (own, other) in enumerate(((1, 0), (0, 1))):
+                mine = [e for e in edges if e[own] == h]
+                seed = seeds.get(h, (0, 0))[k]
+                want[h][k] = seed + (1 - seed) * 0.85 * sum(e[2] * want[e[other]][k] for e in mine) / max(1, sum(e[2] for e in mine))
+    got = U.host_leanings(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, trusted double, blocked double"))
+    mine = {r.host: (r.trust, r.distrust) for r in got.collect()}
+    assert all(0 <= want[h][k] - mine.get(h, (0, 0))[k] + 1e-12 <= U.TOLERANCE for h in want for k in (0, 1))

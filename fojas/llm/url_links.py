@@ -1,7 +1,7 @@
 """URL filter: rules, and trust and distrust spread over the links between hosts.
 
 Rules judge the URLs they fit. Their judgements also seed the link graph: a host is trusted, or blocked,
-by the share of its pages that rules allow, or block. Trust follows links from trusted hosts; distrust
+by the share of its known URLs, pages and link targets, that rules allow, or block. Trust follows links from trusted hosts; distrust
 goes back along links, to hosts that link to blocked ones. A host's distrust is the mean over its own
 links out, its trust the mean over its links in, so neither shrinks with the links of the other host.
 URLs no rule fits get their host's verdict: blocked when its distrust exceeds its trust and a threshold.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from fojas.llm.common import ascii_lower, written
 
 URL = r"(?s)^.*?://([^/?#]*+)([^?#]*+)"
+QUERY = r"(?s)^.*?://[^?#]*+(\?[^#]*+)"
 HREF = r"""(?i)\bhref\s*+=\s*+["']?+((?:[a-z][a-z0-9+.-]*+:)?//[^"'\s>]++)"""
 ROUNDS = 12
 WRITE_EVERY = 4
@@ -43,13 +44,31 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[
     return rule, action
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(url, html) to (src, dst, n): links between different hosts. Relative links stay on their host."""
+def links_of(pages: DataFrame) -> DataFrame:
+    """(url, html) to (src, link): the absolute links of each page. Relative links stay on their host."""
     links = pages.filter("html is not null").select(host_of(F.col("url")).alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("link"))
-    links = links.select("src", host_of(F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link"))).alias("dst"))
+    return links.withColumn("link", F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), F.col("link"))).otherwise(F.col("link")))
+
+
+def host_edges(pages: DataFrame) -> DataFrame:
+    """(url, html) to (src, dst, n): links between different hosts."""
+    links = links_of(pages).select("src", host_of(F.col("link")).alias("dst"))
     return links.filter("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+def host_seeds(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """(url, html) to (host, trusted, blocked): the shares of the host's known URLs that rules allow and
+    block. Known are the pages and what links of other hosts name, crawled or not; a URL counts once,
+    whatever its scheme and fragment. Links to its own URLs, like relative ones, say nothing of a host."""
+    targets = links_of(pages).filter(F.col("src") != host_of(F.col("link")))
+    urls = pages.select("url").unionByName(targets.select(F.col("link").alias("url")))
+    urls = urls.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.regexp_extract("url", QUERY, 1).alias("query"))
+    urls = urls.filter("host <> ''").distinct()
+    action = rule_for(F.col("host"), F.col("path"), rules)[1]
+    share = lambda act: F.avg(F.coalesce((F.col("action") == act).cast("double"), F.lit(0.0)))
+    return urls.withColumn("action", action).groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
+
+
 def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = ROUNDS) -> DataFrame:
     """(src, dst, n) and (host, trusted, blocked) to (host, trust, distrust).
 
@@ -123,16 +142,15 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, da
     """(page_id, url, html) to (page_id, host, path, rule, verdict, trust, distrust), a row for each row.
 
     A null url, or one without ://, has neither host nor path and is allowed, as is a host that nothing
-    is known of. Null and empty html has no links. Repeated pages count each time. An empty table gives no
-    rows. Of rules equally long the later by name wins; rules are few and part of the plan. Other columns
+    is known of. Null and empty html has no links. Links of repeated pages count each time. An empty table
+    gives no rows. Of rules equally long the later by name wins; rules are few and part of the plan. Other columns
     are not read.
     """
     url = F.col("url")
     rows = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("action", action)
-    share = lambda act: F.avg(F.coalesce((F.col("action") == act).cast("double"), F.lit(0.0)))
-    seeds = rows.filter("host <> ''").groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
+    seeds = host_seeds(pages.select("url", "html"), rules)
     scores = host_leanings(host_edges(pages.select("url", "html")), seeds, damping, tolerance)
     found = rows.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)

@@ -72,3 +72,15 @@ def test_leanings_are_iterated_until_they_stay(spark):
     got = U.host_leanings(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, trusted double, blocked double"))
     mine = {r.host: (r.trust, r.distrust) for r in got.collect()}
     assert all(0 <= want[h][k] - mine.get(h, (0, 0))[k] + 1e-12 <= U.TOLERANCE for h in want for k in (0, 1))
+
+
+def test_link_targets_that_were_not_crawled_seed_their_hosts(spark):
+    rows = [
+        (1, "http://foo.org/", "<a href=http://spam.net/x>"), (2, "http://bar.com/", "<a href='//good.org/fr/1#a'><a href=https://good.org/fr/1><a href=http://good.org/en/2?q#b>"),
+        (3, "http://good.org/fr/9?a", "<a href=/fr/3>"),
+    ]
+    pages = spark.createDataFrame([(*r, "", 0.0) for r in rows], PAGES)
+    seeds = {r.host: (r.trusted, r.blocked) for r in U.host_seeds(pages, RULES).collect()}
+    assert seeds == {"foo.org": (0.0, 0.0), "bar.com": (0.0, 0.0), "spam.net": (0.0, 1.0), "good.org": (2 / 3, 0.0)}
+    got = {r.page_id: (r.verdict, round(r.distrust, 9)) for r in U.judge(pages, RULES).collect()}
+    assert got == {1: ("block", 0.85), 2: ("allow", 0.0), 3: ("allow", 0.0)}

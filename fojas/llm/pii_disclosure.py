@@ -1,10 +1,10 @@
 """Personal data: direct identifiers by pattern, and terms that give them away by co-occurrence.
 
-Emails, IP addresses, card and phone numbers are found by pattern and check. Each is an entity. Terms
-in the words around an entity's mentions are counted with it; over all documents, each such term's
-documents are counted too. A term reveals an entity when most documents that hold the term mention the
-entity beside it (``least_share``), the entity gets likelier by ``least_bits`` bits of information, and
-enough different texts show it (``least_texts``). Revealing terms are marked wherever they occur.
+Emails, IP addresses, card and phone numbers are found by pattern and check. Each is an entity. The
+words of a document are counted with each entity the document mentions, wherever in it they stand. A
+term reveals an entity when most documents that hold the term mention the entity (``least_share``), the
+entity gets likelier by ``least_bits`` bits of information, and enough different texts show it
+(``least_texts``). Revealing terms are marked wherever they occur.
 
 DataFrame functions only. Offsets come from the lengths of the pieces between matches, so no match is
 looked for twice at one place; all groupings are combined before they are shuffled.
@@ -28,21 +28,17 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 MARKS = {"email": "@", "ip": ".", "phone": "+"}
-CONTEXT_CHARS = 60
 WORD = r"[\p{L}\p{N}]"
 
 
 def _pieces(kind: Column, text: Column, pattern: Column) -> Column:
     """All pieces of a text between matches, each with the match after it (null after the last)."""
     between = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(
-        between.alias("piece"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"), F.slice(between, 2, 2**30).alias("next")
-    )
+    zipped = F.arrays_zip(between.alias("piece"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
     return F.transform(
         zipped,
         lambda x, i: F.struct(
             kind.alias("kind"), i.cast("long").alias("n"), F.length(x["piece"]).cast("long").alias("skip"), x["hit"].alias("hit"),
-            F.right(x["piece"], F.lit(CONTEXT_CHARS)).alias("left"), F.left(x["next"], F.lit(CONTEXT_CHARS)).alias("right"),
         ),
     )
 
@@ -80,7 +76,7 @@ def _spans(pieces: DataFrame) -> DataFrame:
 
 
 def base_matches(docs: DataFrame) -> DataFrame:
-    """(id, th, kind, start, stop, hit, left, right) of all valid direct identifiers; th marks the text."""
+    """(id, th, kind, start, stop, hit) of all valid direct identifiers; th marks the text."""
     text = F.col("text")
     parts = []
     for kind, pattern in PATTERNS.items():
@@ -97,21 +93,41 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), rf"(?!{WORD})(?s:.)"), lambda w: F.length(w) >= 3)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """(id, th, text) of each document: rows that are repeated come once. Only those are shuffled."""
+    rows = docs.filter("text is not null").select("id", F.xxhash64("text").alias("th"), "text")
+    again = written(rows.groupBy("id", "th").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("id_"), F.col("th").alias("th_")), "again")
+    same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("th") == F.col("th_"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").dropDuplicates(["id", "th"]))
+
+
 def revealing_terms(docs: DataFrame, base: DataFrame, least_texts: int, least_share: float, least_bits: float) -> DataFrame:
-    """(term, entity, n_together, n_term, bits) of terms that reveal an entity."""
+    """(term, entity, n_together, n_term, bits) of terms that reveal an entity.
+
+    All words of a document count with all its entities. Equal texts hold the same of both, so a text is
+    counted once with the number of its documents; sums are exact, and so is the number of texts. Terms and
+    entities that can't pass go before they meet: those in too few texts, entities in so many documents
+    that not even a certain sign has the bits, and pairs whose term is in too many documents for the share.
+    """
     value = F.when(F.col("kind") == "email", F.lower("hit")).when(F.col("kind") == "ip", F.col("hit")).otherwise(_digits(F.col("hit")))
-    mentions = base.select("id", "th", F.concat_ws(":", "kind", value).alias("entity"), "left", "right")
-    mentions = mentions.withColumn("terms", F.concat(_words(F.coalesce("left", F.lit(""))), _words(F.coalesce("right", F.lit("")))))
-    beside = mentions.select("id", "th", "entity", F.explode("terms").alias("term")).filter(~F.col("term").rlike("^[0-9]+$")).distinct()
-    together = beside.groupBy("term", "entity").agg(F.count("*").alias("n_together"), F.approx_count_distinct("th").alias("texts"), F.min("th").alias("a"), F.max("th").alias("b"))
-    together = written(together.filter(F.col("n_together") >= least_texts), "together")
-    held = docs.filter("text is not null").select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = mentions.select("id", "th", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    total = docs.count()
-    found = together.filter("texts >= {}".format(least_texts)).join(held, "term").join(entities, "entity")
-    share = F.col("n_together") / F.greatest("n_term", "n_together")
+    once, total = _once(docs), docs.count()
+    mentions = base.select("id", "th", F.concat_ws(":", "kind", value).alias("entity")).distinct().groupBy("th", "entity").agg(F.count("*").alias("n"))
+    mentions = written(mentions, "mentions")
+    entities = mentions.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"))
+    able = (F.col("texts") >= least_texts) & (F.log2(F.lit(float(max(1, total))) / F.col("n_entity")) >= least_bits)
+    mentions = written(mentions.join(entities.filter(able).drop("texts"), "entity"), "entities")
+    words = lambda rows: rows.select("th", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).filter(~F.col("term").rlike("^[0-9]+$"))
+    if mentions.isEmpty():
+        return mentions.select(F.lit("").alias("term"), "entity", F.lit(0).cast("long").alias("n_together"), F.lit(0).cast("long").alias("n_term"), F.lit(0.0).alias("bits"))
+    beside = written(words(once.join(mentions.select("th").distinct(), "th", "left_semi")).distinct(), "beside")
+    wanted = beside.groupBy("term").agg(F.count("*").alias("texts")).filter(F.col("texts") >= least_texts).select("term")
+    held = words(once).groupBy("term").agg(F.count("*").alias("n_term")).join(wanted, "term")  # a semi-join would go before the sums
+    pairs = beside.join(held, "term").join(mentions, "th").filter(F.col("n_entity") / F.col("n_term") >= least_share)
+    found = pairs.groupBy("term", "entity").agg(F.sum("n").alias("n_together"), F.count("*").alias("texts"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    share = F.col("n_together") / F.col("n_term")
     bits = F.log2(share * F.lit(float(max(1, total))) / F.col("n_entity"))
-    return found.withColumn("share", share).withColumn("bits", bits).filter((F.col("share") >= least_share) & (F.col("bits") >= least_bits)).select("term", "entity", "n_together", "n_term", "bits")
+    found = found.withColumn("share", share).withColumn("bits", bits)
+    return found.filter((F.col("texts") >= least_texts) & (F.col("share") >= least_share) & (F.col("bits") >= least_bits)).select("term", "entity", "n_together", "n_term", "bits")
 
 
 def term_matches(docs: DataFrame, terms: DataFrame) -> DataFrame:

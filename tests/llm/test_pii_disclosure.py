@@ -62,3 +62,23 @@ def test_terms_beside_one_entity_are_marked_everywhere(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], DOCS)
     assert P.listed(none, P.find(none)).collect() == []
+
+
+def test_terms_far_from_the_entity_are_counted_with_it(spark):
+    rows = [(i, f"Qualbert opens {prose(i, 60)} and ends jo@ex.org", None, None, 0) for i in range(5)]
+    rows += [(10 + i, f"{'Vimpel' if i % 3 else prose(30 + i, 40)} {prose(50 + i, 30 * (i % 3))} vimpel al@ex.org", None, None, 0) for i in range(6)]
+    rows += [(20 + i, f"Dunkorb {prose(70 + i % 4, 20)} ed@ex.org", None, None, 0) for i in range(8)]  # four texts only
+    rows += [(40, "qualbert, dunkorb, vimpel", None, None, 0)] + [(41, "qualbert, too", None, None, 0)] * 9
+    rows += [(100 + i, prose(500 + i, 20), None, None, 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {(r.term, r.entity): (r.n_together, r.n_term) for r in P.revealing_terms(docs, P.base_matches(docs), 5, 0.7, 4.0).collect()}
+    assert got[("qualbert", "email:jo@ex.org")] == (5, 7)
+    assert got[("vimpel", "email:al@ex.org")] == (6, 7)
+    assert not any(term == "dunkorb" for term, _ in got)
+
+
+def test_a_true_five_of_texts_is_five(spark):
+    rows = [(1000 * g + i, f"name{g}x {prose(1000 * g + i, 6)} p{g}@ex.org", None, None, 0) for g in range(300) for i in range(5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.term for r in P.revealing_terms(docs, P.base_matches(docs), 5, 0.8, 4.0).collect()}
+    assert {f"name{g}x" for g in range(300)} <= got

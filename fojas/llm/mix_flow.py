@@ -3,8 +3,8 @@
 Documents are added up by membership pattern, the set of sources that offer them. A flow then routes
 the patterns' capacity to the sources' quotas. A pattern's words can flow ``layers`` times; the first
 pass is free and each further one costs more, so words are repeated only where fresh ones don't fill
-the quotas. Within a pattern whole documents are taken in seeded order up to the routed amount, and the
-rest is filled with the documents that fit best.
+the quotas. Within a pattern whole documents are taken in seeded order up to the routed amount. Those that
+don't fit into what is left are passed over, until no document fits.
 
 The driver sees sums by pattern and no rows. Documents are judged in place by cut-offs of their pattern.
 """
@@ -15,13 +15,13 @@ from collections import deque
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fojas.llm.common import written
 
 BIN_SHIFT = 52  # 4,096 bins of the signed hash
-FILLS = 3
+LAST = 2**63 - 1
+PASSES = "passes_ array<struct<after: long, upto: long, most: long>>"
 
 
 def route(sizes: list[int], members: list[list[int]], quotas: list[int], layers: int) -> list[dict[int, int]]:
@@ -108,7 +108,7 @@ def mix(docs: DataFrame, quotas: dict[str | None, float], seed: int = 1, layers:
     pattern = F.array_sort(F.array_distinct(F.coalesce(F.col("sources"), F.array().cast("array<string>"))))
     size = F.greatest(F.coalesce(F.col("size"), F.lit(0)), F.lit(0)).cast("long")
     rows = docs.select(pattern.alias("p_"), F.xxhash64("id", F.lit(seed)).alias("h_"), size.alias("size_"))
-    units = written(rows.groupBy("p_", "h_").agg(F.sum("size_").alias("size_")), "units")
+    units = written(rows.groupBy("p_", "h_").agg(F.sum("size_").alias("size_"), F.count("*").alias("rows_")), "units")
     found = units.groupBy("p_").agg(F.sum("size_").alias("n")).orderBy("p_").limit(most_patterns + 1).collect()
     if len(found) > most_patterns:
         raise ValueError(f"more than {most_patterns} membership patterns")
@@ -120,53 +120,75 @@ def mix(docs: DataFrame, quotas: dict[str | None, float], seed: int = 1, layers:
         amount = sum(out.values())
         full = min(layers, amount // r.n) if r.n else 0
         plan.append((r.p_, int(full), int(amount - full * r.n)))
-    schema = T.StructType([T.StructField("p_", T.ArrayType(T.StringType())), T.StructField("full_", T.LongType()), T.StructField("rest_", T.LongType())])
-    cuts = _cut_offs(spark, units, [x for x in plan if x[2] > 0], schema)
-    table = spark.createDataFrame([(*x, *cuts.get(_key(x[0]), (None, []))) for x in plan], T.StructType([*schema, T.StructField("cut_", T.LongType()), T.StructField("fill_", T.ArrayType(T.LongType()))]))
+    cuts = _cut_offs(spark, units, [x for x in plan if x[2] > 0])
+    taken = f"p_ array<string>, full_ long, {PASSES}, fill_ long"
+    table = spark.createDataFrame([(p, full, *cuts.get(_key(p), ([], None))) for p, full, _ in plan], taken)
     out = docs.withColumns({"p_": pattern, "h_": F.xxhash64("id", F.lit(seed)), "size_": size}).join(F.broadcast(table), "p_", "left")
-    once_more = F.coalesce((F.col("h_") <= F.col("cut_")) | F.array_contains("fill_", F.col("h_")), F.array_contains("fill_", F.col("h_")), F.lit(False))
+    several = units.filter("rows_ > 1").select(F.col("p_").alias("q_"), F.col("h_").alias("g_"), F.col("size_").alias("all_"))
+    if several.isEmpty():
+        out = out.withColumn("all_", F.col("size_"))
+    else:
+        out = out.join(several, (F.col("p_") == F.col("q_")) & (F.col("h_") == F.col("g_")), "left").withColumn("all_", F.coalesce("all_", "size_")).drop("q_", "g_")
+    once_more = F.coalesce(_taken("all_"), F.lit(False)) | F.coalesce(F.col("h_") == F.col("fill_"), F.lit(False))
     out = out.withColumn("copies", (F.coalesce("full_", F.lit(0)) + once_more.cast("long")).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size_")).drop("p_", "h_", "size_", "full_", "rest_", "cut_", "fill_")
+    return out.withColumn("taken", F.col("copies") * F.col("size_")).drop("p_", "h_", "size_", "all_", "full_", "passes_", "fill_")
 
 
 def _key(pattern: list) -> tuple:
     return tuple(pattern)
 
 
-def _cut_offs(spark, units: DataFrame, plan: list[tuple], schema: T.StructType) -> dict[tuple, tuple[int | None, list[int]]]:
-    """For each pattern with a rest: the last hash taken once more, and hashes that fill what is left.
+def _taken(size: str) -> Column:
+    return F.exists("passes_", lambda x: (x["after"].isNull() | (F.col("h_") > x["after"])) & (F.col("h_") <= x["upto"]) & (F.col(size) <= x["most"]))
 
-    The rest is found in two steps: by sums of 4,096 hash bins, then within the one bin it ends in.
+
+def _cut_offs(spark, units: DataFrame, plan: list[tuple]) -> dict[tuple, tuple[list[tuple[int | None, int, int]], int | None]]:
+    """For each pattern with a rest: passes (after, up to, most) whose units are taken once more, by hash
+    and size, and the hash of a last one.
+
+    A pass goes in hash order over the units after the last pass that are no larger than what is left, up
+    to the first that no longer fits: by sums of 4,096 hash bins, then within the one bin it ends in. What
+    was passed over is larger than all that is left, so when no unit is found none fits anywhere. Each
+    pass takes a unit at least. The last one is larger than what is left by less than that.
     """
-    if not plan:
-        return {}
-    wanted = F.broadcast(spark.createDataFrame(plan, schema))
-    binned = units.join(wanted, "p_").withColumn("bin", F.shiftright("h_", BIN_SHIFT))
-    bins = binned.groupBy("p_", "rest_", "bin").agg(F.sum("size_").alias("n"))
+    state = {_key(p): {"p": p, "after": None, "left": rest, "passes": []} for p, _, rest in plan}
     upto = Window.partitionBy("p_").orderBy("bin")
-    bins = bins.withColumn("upto", F.sum("n").over(upto))
-    ends = bins.filter("upto > rest_").groupBy("p_").agg(F.min(F.struct("bin", (F.col("rest_") - (F.col("upto") - F.col("n"))).alias("room"))).alias("b")).select("p_", "b.*").collect()
-    at = {_key(r.p_): (r.bin, r.room) for r in ends}
-    schema_b = T.StructType([T.StructField("p_", T.ArrayType(T.StringType())), T.StructField("bin", T.LongType()), T.StructField("room", T.LongType())])
-    inside = units.withColumn("bin", F.shiftright("h_", BIN_SHIFT)).join(F.broadcast(spark.createDataFrame([(list(p), b, r) for p, (b, r) in at.items()], schema_b)), ["p_", "bin"])
-    inside = inside.withColumn("upto", F.sum("size_").over(Window.partitionBy("p_").orderBy("h_"))).filter("upto <= room")
-    last = {_key(r.p_): (r.h, r.n) for r in inside.groupBy("p_").agg(F.max("h_").alias("h"), F.sum("size_").alias("n")).collect()}
-    state = []
-    for p, (b, room) in at.items():
-        h, n = last.get(p, ((b << BIN_SHIFT) - 1 if b > -(1 << 11) else None, 0))
-        state.append([list(p), h, room - n, []])
-    schema_f = T.StructType([T.StructField("p_", T.ArrayType(T.StringType())), T.StructField("cut_", T.LongType()), T.StructField("gap", T.LongType()), T.StructField("fill_", T.ArrayType(T.LongType()))])
-    for _ in range(FILLS):
-        gaps = F.broadcast(spark.createDataFrame([tuple(s) for s in state], schema_f))
-        free = units.join(gaps, "p_").filter((F.col("cut_").isNull() | (F.col("h_") > F.col("cut_"))) & ~F.array_contains("fill_", F.col("h_")) & (F.col("size_") > 0))
-        # up to twice the gap: taking it misses the amount by less than leaving the gap does
-        best = free.filter(F.col("size_") < 2 * F.col("gap")).groupBy("p_").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size_")).alias("off"), "h_", "size_")).alias("b")).collect()
-        got = {_key(r.p_): r.b for r in best}
-        for s in state:
-            if (b := got.get(_key(s[0]))) is not None:
-                s[2] -= b.size_
-                s[3] = [*s[3], b.h_]
-    return {_key(s[0]): (s[1], s[3]) for s in state}
+    active = list(state.values())
+    while active:
+        rows = F.broadcast(spark.createDataFrame([(s["p"], s["after"], s["left"]) for s in active], "p_ array<string>, after long, left long"))
+        free = units.join(rows, "p_").filter((F.col("after").isNull() | (F.col("h_") > F.col("after"))) & (F.col("size_") <= F.col("left"))).withColumn("bin", F.shiftright("h_", BIN_SHIFT))
+        bins = free.groupBy("p_", "left", "bin").agg(F.sum("size_").alias("n")).withColumn("upto", F.sum("n").over(upto))
+        end = F.min(F.when(F.col("upto") > F.col("left"), F.struct("bin", (F.col("left") - (F.col("upto") - F.col("n"))).alias("room"))))
+        ends = {_key(r.p_): r for r in bins.groupBy("p_").agg(end.alias("b"), F.sum("n").alias("total")).collect()}
+        at = [(list(p), r.b.bin, r.b.room) for p, r in ends.items() if r.b is not None]
+        last = {}
+        if at:
+            inside = free.join(F.broadcast(spark.createDataFrame(at, "p_ array<string>, bin long, room long")), ["p_", "bin"])
+            inside = inside.withColumn("upto", F.sum("size_").over(Window.partitionBy("p_").orderBy("h_"))).filter("upto <= room")
+            last = {_key(r.p_): r for r in inside.groupBy("p_").agg(F.max("h_").alias("h"), F.sum("size_").alias("n")).collect()}
+        going = []
+        for s in active:
+            r = ends.get(_key(s["p"]))
+            if r is None:
+                continue
+            if r.b is None:
+                s["passes"].append((s["after"], LAST, s["left"]))
+                s["left"] -= r.total
+                continue
+            found = last.get(_key(s["p"]))
+            to, n = (found.h, found.n) if found else ((r.b.bin << BIN_SHIFT) - 1, 0)
+            s["passes"].append((s["after"], to, s["left"]))
+            s["after"], s["left"] = to, r.b.room - n
+            if s["left"] > 0:
+                going.append(s)
+        active = going
+    short = [(s["p"], s["left"], s["passes"]) for s in state.values() if s["left"] > 0]
+    fill = {}
+    if short:
+        # up to twice what is left: taking it misses the amount by less than leaving it does
+        near = units.join(F.broadcast(spark.createDataFrame(short, f"p_ array<string>, left long, {PASSES}")), "p_").filter((F.col("size_") > 0) & (F.col("size_") < 2 * F.col("left")) & ~_taken("size_"))
+        fill = {_key(r.p_): r.b.h_ for r in near.groupBy("p_").agg(F.min(F.struct("size_", "h_")).alias("b")).collect()}
+    return {k: (s["passes"], fill.get(k)) for k, s in state.items()}
 
 
 def word_count(text: str) -> Column:

@@ -83,3 +83,15 @@ def test_source_targets_order_null_last(spark):
     got = M.source_targets(rows)
     assert list(got) == ["B", "a", "b", None]
     assert [round(t, 6) for _, t in got.values()] == [200.0, 66.666667, 133.333333, 200.0] or abs(sum(t for _, t in got.values()) - 600) < 1e-6
+
+
+def test_long_documents_are_passed_over(spark):
+    rows = [(1000 * s + i, 30_000 if i == 350 else 200, [f"s{s}"], "", 0) for s in range(12) for i in range(351)]
+    # the rows of one id are taken together, and so passed over together
+    rows += [(100_000 + i, 100, ["twin"], "", 0) for i in range(200)] + [(200_000, 100, ["twin"], "", 0)] * 60
+    out = M.mix(spark.createDataFrame(rows, ROWS), {**{f"s{s}": 35_000.0 + s * 3_000 for s in range(12)}, "twin": 19_000.0}).collect()
+    taken = {}
+    for x in out:
+        taken[x.sources[0]] = taken.get(x.sources[0], 0) + x.taken
+    assert all(abs(taken[f"s{s}"] - 35_000 - s * 3_000) <= 100 for s in range(12))
+    assert abs(taken["twin"] - 19_000) <= 50 and len({x.copies for x in out if x.id == 200_000}) == 1

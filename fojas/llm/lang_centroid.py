@@ -3,7 +3,7 @@
 A text is the vector of its character 1- to 3-grams (lower-cased letters, every other character a
 blank), hashed to ``DIM`` buckets, weighted by TF-IDF and scaled to length one. Document frequencies
 count all training rows. Each language's centroids come from spherical k-means over a seeded sample of at
-most ``sample`` of its rows. A text gets the language of the centroid with the largest cosine, and is
+most ``sample`` of its different texts. A text gets the language of the centroid with the largest cosine, and is
 rejected when it lies much farther from it than the sample's texts of its length.
 """
 
@@ -129,8 +129,8 @@ class Model:
 def train(docs: DataFrame, seed: int = 1, per_language: int = 400, centroids: int = 4) -> Model:
     """Rows (text, lang) to a model. Rows with null or letterless text or null language teach nothing.
 
-    Document frequencies are summed over all rows. The sample is the ``per_language`` rows of each
-    language with the smallest seeded hash of their text, so it doesn't depend on order or partitions.
+    Document frequencies are summed over all rows. The sample is the ``per_language`` of each
+    language's different texts with the smallest seeded hash, so it doesn't depend on order, partitions or copies.
     The driver holds DIM counts and, for each language, ``centroids`` vectors.
     """
     docs = docs.filter(F.col("lang").isNotNull() & has_letter("text")).select("text", "lang")
@@ -138,19 +138,26 @@ def train(docs: DataFrame, seed: int = 1, per_language: int = 400, centroids: in
     seen = dict((r.bucket, r.n) for r in sums)
     total = seen.pop(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + seen.get(b, 0))) + 0.1 for b in range(DIM)], np.float32)
-    hashed = docs.withColumn("h", F.xxhash64("text", F.lit(seed)))
-    share = {r.lang: min(1.0, 3 * per_language / r["count"]) for r in docs.groupBy("lang").count().collect()}
-    if not share:
-        return Model(idf, [], np.zeros((0, DIM), np.float32), np.zeros((0, BANDS)))
-    limits = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))])
-    near = hashed.filter(F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) <= limits[F.col("lang")])
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    sample = near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
+    sample = sampled(docs, seed, per_language)
     fitted = sample.select("lang", "text").groupBy("lang").applyInPandas(_fit(idf, centroids), "lang string, centroid array<float>, least array<double>").collect()
+    if not fitted:
+        return Model(idf, [], np.zeros((0, DIM), np.float32), np.zeros((0, BANDS)))
     fitted.sort(key=lambda r: (r.lang, r.centroid))
     return Model(idf, [r.lang for r in fitted], np.array([r.centroid for r in fitted], np.float32), np.array([r.least for r in fitted]))
 
 
+def sampled(docs: DataFrame, seed: int, per_language: int) -> DataFrame:
+    """(text, lang) to the ``per_language`` different texts of each language with the smallest seeded hash."""
+    hashed = docs.select("text", "lang", F.xxhash64("text", F.lit(seed)).alias("h"))
+    share = {r.lang: min(1.0, 3 * per_language / r["count"]) for r in hashed.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    if not share:
+        return docs.select("lang", "text")
+    limits = F.create_map(*[x for lang, s in share.items() for x in (F.lit(lang), F.lit(s))])
+    near = hashed.filter(F.shiftrightunsigned("h", 1) / F.lit(float(2**63)) <= limits[F.col("lang")]).dropDuplicates(["lang", "h", "text"])
+    order = Window.partitionBy("lang").orderBy("h", "text")
+    return near.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("lang", "text")
+
+
 def has_letter(text: str) -> Column:
     return F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
 

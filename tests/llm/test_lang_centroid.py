@@ -59,3 +59,14 @@ def test_nothing_to_learn(spark):
     model = L.train(none)
     assert [r.lang_pred for r in L.predict(spark.createDataFrame([(1, "abc", None, None, 0)], DOCS), model).collect()] == ["und"]
     assert L.predict(none, model).collect() == []
+
+
+def test_copies_are_one_text_of_the_sample(spark):
+    rows = [(i, text("bb", i), "bb", "s", 1) for i in range(500)]
+    docs = spark.createDataFrame(rows, DOCS)
+    first = docs.orderBy(L.F.xxhash64("text", L.F.lit(1))).first()  # the copies of this one would fill the sample
+    more = docs.unionByName(spark.createDataFrame([(1000 + i, first.text, "bb", "s", 1) for i in range(500)], DOCS))
+    once, again = (sorted(r.text for r in L.sampled(d, 1, 50).collect()) for d in (docs, more))
+    assert len(set(once)) == 50 and once == again
+    copies = L.train(spark.createDataFrame([(i, first.text, "bb", "s", 1) for i in range(100)], DOCS), per_language=50)
+    assert not L.np.isfinite(copies.least).any()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fojas.llm import ann_scan, decontaminate, lang_centroid, line_hash, mix_flow, near_hamming, pii_disclosure, shard_slots, token_store, url_links
+from fojas.llm import ann_scan, decontaminate, lang_centroid, line_hash, merkle_manifest, mix_flow, near_hamming, pii_disclosure, shard_slots, token_store, url_links
 from fojas.llm.common import new_folder, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,3 +140,52 @@ def op10_parquet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     token_store.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     found = token_store.listing(token_store.read_tokens(spark, path))
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return merkle_manifest.verified(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+ORACLES["op11_merkle_manifest"] = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, *, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda d, k: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END))) AS crc FROM documents
+), bent AS (
+  SELECT *, CASE WHEN crc % 7 = 0 THEN CAST(n_chars AS HUGEINT) + 1 ELSE n_chars END AS n2 FROM docs
+), hashed AS (
+  SELECT r, doc_id, lang, sha256(a || b) AS leaf, sha256(a2 || b) AS leaf2 FROM (
+    SELECT *, head || coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-') AS a, head || coalesce(concat(strlen(CAST(n2 AS VARCHAR)), ':', n2), '-') AS a2,
+      coalesce(strlen(text) || ':' || text, '-') AS b
+    FROM (SELECT *, CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(CAST(doc_id AS VARCHAR)), ':', doc_id) END
+      || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head FROM bent))
+), leaves AS (
+  SELECT *, coalesce('1' || lang, '0') AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), nodes AS (
+  SELECT 0 AS lvl, g, i, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lvl + 1, g, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lvl, g, i // 2, n
+), subroots AS (
+  SELECT g, lvl AS depth, h, row_number() OVER (ORDER BY encode(g)) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS lvl, i, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY lvl, i // 2, n
+), root AS (SELECT h FROM tops WHERE n = 1
+), steps AS (
+  SELECT l.r, x.lvl AS lvl, x.i AS own, s.i AS other, s.h FROM leaves l JOIN nodes x ON x.g = l.g AND x.n > 1 AND x.i = l.i >> x.lvl
+    LEFT JOIN nodes s ON s.g = x.g AND s.lvl = x.lvl AND s.i = xor(x.i, 1)
+  UNION ALL
+  SELECT l.r, 1000 + x.lvl, x.i, s.i, s.h FROM leaves l JOIN subroots b ON b.g = l.g JOIN tops x ON x.n > 1 AND x.i = b.i >> x.lvl
+    LEFT JOIN tops s ON s.lvl = x.lvl AND s.i = xor(x.i, 1)
+), proofs AS (
+  SELECT r, sha256(string_agg(coalesce(h, ''), '' ORDER BY lvl)) AS proof_sha256,
+    list(CASE WHEN other IS NULL THEN '-' WHEN other < own THEN '<' || h ELSE '>' || h END ORDER BY lvl) AS path FROM steps GROUP BY r
+), folds AS (
+  SELECT l.doc_id, l.leaf, b.h AS subroot, root.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(list_prepend(l.leaf2, coalesce(p.path, [])), lambda a, x: sha256(CASE x[1] WHEN '<' THEN x[2:] || a WHEN '>' THEN a || x[2:] ELSE a END)) AS folded_root
+  FROM leaves l JOIN subroots b ON b.g = l.g CROSS JOIN root LEFT JOIN proofs p ON p.r = l.r
+)
+SELECT *, folded_root = root AS verified FROM folds
+"""

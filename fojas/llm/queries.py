@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fojas.llm import ann_scan, decontaminate, lang_centroid, line_hash, merkle_manifest, mix_flow, near_hamming, pii_disclosure, shard_slots, token_store, url_links, whitening
+from fojas.llm import ann_scan, decontaminate, lang_centroid, line_hash, merkle_manifest, mix_flow, near_hamming, pii_disclosure, secret_scan, shard_slots, token_store, url_links, whitening
 from fojas.llm.common import new_folder, read, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +195,12 @@ SELECT *, folded_root = root AS verified FROM folds
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
     return whitening.whitened_components(rows, components=32).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op13_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = secret_scan.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return secret_scan.listed(found).withColumnRenamed("id", "doc_id")

@@ -43,6 +43,8 @@ LABELLED = re.compile(r"(?:sha1|sha256|sha384|sha512|md5)-[A-Za-z0-9+/]+={0,2}",
 #: Words of names in code and paths, with a version or a count at their end at most.
 NAME_PART = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4}|[0-9]+[A-Za-z]?")
 LONGEST_NAME_PART = 15
+#: Strings of fewer different characters repeat themselves; twenty drawn at random, even of hex digits, have more.
+FEWEST_CHARACTERS = 8
 #: Characters that are encoded at once; a vocabulary's merges seldom reach further.
 STRETCH = 256
 _ENCODERS: dict[tuple[str, str], Tokens] = {}
@@ -102,7 +104,7 @@ def random_spans(text: str, run: re.Pattern[str], tokens: Tokens, least_chars: i
         place = remainder(m[0]) if len(m[0]) >= least_chars else None
         if place and place[1] - place[0] >= least_chars:
             some = m[0][place[0] : place[1]]
-            if len(some) <= most_ratio * tokens(some):
+            if len(set(some)) >= FEWEST_CHARACTERS and len(some) <= most_ratio * tokens(some):
                 out.append((m.start() + place[0], 3, m.start() + place[1]))
     return out
 

@@ -21,13 +21,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays, in one row."""
+    """Of every group of near copies the document with the smallest id stays, in one row.
+
+    Rows that share an id and a text are one document; those that share an id alone are judged and kept each by
+    its own text. Null, empty and blank texts are copies of nothing, and rows without id stay as they are.
+    """
     ship(spark)
-    found = near_hamming.near_duplicates(docs.withColumnRenamed("doc_id", "id"))
-    gone = found.filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
-    once = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
-    return once.select("doc_id", "row.*").unionByName(kept.filter("doc_id is null"))
+    found = near_hamming.near_duplicates(docs.select(F.col("doc_id").alias("id"), "text"))
+    gone = found.filter(~F.col("kept")).select(F.col("id").alias("doc_id"), "th").distinct()
+    rows = docs.select(*COLUMNS).withColumn("th", F.xxhash64("text"))
+    kept = rows.join(gone, ["doc_id", "th"], "left_anti")
+    once = kept.filter("doc_id is not null").groupBy("doc_id", "th").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+    return once.select("doc_id", "row.*").unionByName(kept.filter("doc_id is null").drop("th"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's shard and place in it, by near equal bytes."""
     ship(spark)
-    rows = docs.withColumnRenamed("doc_id", "id")
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
     return shard_slots.shard_documents(rows, SHARDS, new_folder(spark, "slot_map")).withColumnRenamed("id", "doc_id")
 
 

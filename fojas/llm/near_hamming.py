@@ -75,9 +75,9 @@ def _features(k: int):
                     for j in range(POSITIONS):
                         sig[full, j] = np.minimum.reduceat(flat * _FACTORS[j], cuts).astype(np.uint8)
                 longs = sig.view(np.int64)
-                arrays = [batch.column("id").slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(signed(sums)), pa.array(signed(xors))]
+                arrays = [*(batch.column(c).slice(at, to - at) for c in ("id", "th")), pa.array(sizes, pa.int64()), pa.array(signed(sums)), pa.array(signed(xors))]
                 arrays += [pa.array(np.ascontiguousarray(longs[:, i])) for i in range(len(SIG))]
-                yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "f1", "f2", *SIG])
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "th", "n", "f1", "f2", *SIG])
 
     return run
 
@@ -142,9 +142,9 @@ def errors(left: str, right: str) -> Column:
 
 
 def features(docs: DataFrame, k: int) -> DataFrame:
-    """(id, text) to (id, n, fingerprint of the set, signature)."""
-    columns = ", ".join(["id long", "n long", "f1 long", "f2 long", *(f"{s} long" for s in SIG)])
-    return docs.select("id", "text").mapInArrow(_features(k), columns)
+    """(id, text) to (id, hash of the text, n, fingerprint of the set, signature)."""
+    columns = ", ".join(["id long", "th long", "n long", "f1 long", "f2 long", *(f"{s} long" for s in SIG)])
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(_features(k), columns)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -157,7 +157,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_errors: int = MAX_ERRORS, chunks: int = CHUNKS) -> DataFrame:
-    """(id, text) to (id, n_shingles, component_id, kept), a row for each row.
+    """(id, text) to (id, th, n_shingles, component_id, kept), a row for each row; th is xxhash64 of the text.
 
     Words are runs of other than ASCII white space, A-Z lower-cased; sets are of k-word shingles, or the
     whole sequence of a shorter text. Null and empty texts, and texts of white space, have an empty set
@@ -194,9 +194,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, max_errors:
     joined = components(_edges(links))
     of_set = classes.select(*set_key, "rep").join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_set = of_set.select(*set_key, F.coalesce("component", "rep").alias("component"))
-    out = found.select("id", *set_key).join(of_set, set_key, "left")
+    out = found.select("id", "th", *set_key).join(of_set, set_key, "left")
     component = F.when(F.col("id").isNull() | F.col("component").isNull(), F.col("id")).otherwise(F.col("component"))
-    return out.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").eqNullSafe(component)).alias("kept"))
+    return out.select("id", "th", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").eqNullSafe(component)).alias("kept"))
 
 
 def _edges(links: DataFrame) -> DataFrame:

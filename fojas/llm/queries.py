@@ -26,6 +26,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of documents, whatever other columns the table has."""
+    return read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
 @query
 def op1_link_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -52,7 +57,7 @@ def op3_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = texts(spark, sf_dir)
     found = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), width=10)
     return decontaminate.digest(found).withColumnRenamed("id", "doc_id")
 
@@ -85,13 +90,13 @@ FROM lists l LEFT JOIN hits h ON l.id = h.id LEFT JOIN named n ON l.id = n.id WH
 def op5_centroid_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = lang_centroid.fold_train(docs)
-    found = lang_centroid.predict(docs.withColumnRenamed("doc_id", "id"), model).withColumnRenamed("id", "doc_id")
+    found = lang_centroid.predict(texts(spark, sf_dir), model).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", lang_centroid.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
 @query
 def op6_line_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = texts(spark, sf_dir)
     found = line_hash.dedupe_lines(docs, shortest=10)
     return found.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -111,19 +116,20 @@ FROM lines LEFT JOIN repeated USING (k) GROUP BY doc_id
 
 @query
 def op7_near_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
-    return near_hamming.near_duplicates(docs, k=4, percent=80).withColumnRenamed("id", "doc_id")
+    docs = texts(spark, sf_dir)
+    found = near_hamming.near_duplicates(docs, k=4, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 @query
 def op8_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = texts(spark, sf_dir)
     return pii_disclosure.listed(docs, pii_disclosure.find(docs)).withColumnRenamed("id", "doc_id")
 
 
 @query
 def op9_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = texts(spark, sf_dir)
     placed = shard_slots.shard_documents(docs, 40, new_folder(spark, "slot_map"))
     return placed.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -136,7 +142,7 @@ def op10_parquet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = new_folder(spark, "tokens")
-    docs = read(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id")
+    docs = texts(spark, sf_dir)
     token_store.write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     found = token_store.listing(token_store.read_tokens(spark, path))
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -201,6 +207,5 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    found = secret_scan.scan(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    found = secret_scan.scan(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return secret_scan.listed(found).withColumnRenamed("id", "doc_id")

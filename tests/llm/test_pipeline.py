@@ -64,3 +64,18 @@ def test_stages(spark, folder, tmp_path):
 def test_run_is_the_stages_in_turn(spark, folder):
     rows = P.run(spark, folder).collect()
     assert len(rows) > 150 and {r.shard for r in rows} <= set(range(P.SHARDS))
+
+
+def test_texts_that_share_an_id_are_judged_each_by_its_own(spark):
+    own = [prose(i, 40) for i in range(4)]
+    rows = [(1, own[0], "en", "s", 1), (2, own[1], "en", "s", 1), (2, own[0], "en", "s", 1), (2, own[1], "en", "s", 1), (3, own[2], "en", "s", 1), (3, own[3], "en", "s", 1), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumnRenamed("id", "doc_id").selectExpr("*", "'x' AS id", "1 AS th", "2 AS kept", "3 AS row")
+    got = sorted(((r.doc_id, r.text) for r in P.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(1, own[0]), (2, own[1]), (3, own[2]), (3, own[3]), (4, None)], key=str)
+
+
+def test_stages_take_other_columns_and_empty_tables(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'x' AS id", "1 AS size", "2 AS th", "3 AS sources", "4 AS score", "5 AS spans", "6 AS copy")
+    for name, stage in P.STAGES:
+        assert stage(spark, docs, folder).count() > 0, name
+        assert stage(spark, docs.limit(0), folder).collect() == [], name

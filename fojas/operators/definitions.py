@@ -40,10 +40,19 @@ def _phrase_keys(p: Column) -> Column:
     return F.when(F.size(tokens) > 1, pairs).otherwise(endings(first))
 
 
-def by_phrase(definitions: DataFrame) -> DataFrame:
-    """Definitions keyed by phrase; of several with one phrase the first defined counts."""
+def by_file(definitions: DataFrame) -> DataFrame:
+    """Definitions keyed by file and phrase; of several with one phrase in a file the first counts."""
     d = definitions.withColumn("phrase", T.phrase(F.col("term"))).filter(F.col("phrase") != "")
-    first = d.groupBy("phrase").agg(F.min_by(F.struct(*definitions.columns), F.struct("content_hash", "def_ord")).alias("d"))
+    first = d.groupBy("content_hash", "phrase").agg(F.min_by(F.struct(*definitions.columns), "def_ord").alias("d"))
+    return first.select("phrase", "d.*")
+
+
+def by_phrase(definitions: DataFrame) -> DataFrame:
+    """Definitions keyed by phrase; of several with one phrase the first defined counts.
+
+    The files are taken to be valid together: of several editions give those of one time (``editions``).
+    """
+    first = by_file(definitions).groupBy("phrase").agg(F.min_by(F.struct(*definitions.columns), "content_hash").alias("d"))
     return first.select("phrase", "d.*")
 
 
@@ -72,30 +81,33 @@ def uses(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id"
 
 
 def pointers(definitions: DataFrame) -> DataFrame:
-    """(def_hash, def_ord, target): definitions that only point to another one, with that one.
+    """(def_hash, def_ord, target): definitions that only point to another one of their file, with that one.
 
     A definition is known by its file's hash and its place there, since places start anew in every file.
     """
     target = F.regexp_extract(T.collapse(F.col("text")), fixed.POINTER, 1)
     pointing = definitions.select(F.col("content_hash").alias("def_hash"), "def_ord", T.phrase(target).alias("phrase")).filter(F.col("phrase") != "")
-    named = by_phrase(definitions).select("phrase", F.struct(F.col("content_hash").alias("def_hash"), "def_ord").alias("target"))
-    return pointing.join(named, "phrase").drop("phrase")
+    named = by_file(definitions).select("phrase", F.col("content_hash").alias("def_hash"), F.struct(F.col("content_hash").alias("def_hash"), "def_ord").alias("target"))
+    return pointing.join(named, ["def_hash", "phrase"]).drop("phrase")
 
 
 def section_terms(texts: DataFrame, definitions: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
-    """Terms each section uses, and whether a longer used term already covers a one-word one.
+    """Terms each section uses, and whether a longer used term of the same file already covers a one-word one.
 
-    This depends on the corpus alone, so it is computed once per version and joined per question.
+    This depends on the corpus alone, so it is computed once per version and joined per question. A corpus
+    may hold several editions of a file of definitions: a phrase is looked for once and given for each of
+    the files that define it (as many as editions), and ``editions.restricted`` picks the valid ones.
     """
-    terms = by_phrase(definitions).select("phrase", F.col("content_hash").alias("def_hash"), "def_ord")
+    terms = by_file(definitions).groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct(F.col("content_hash").alias("def_hash"), "def_ord"))).alias("defs"))
     single = terms.filter(~F.contains("phrase", F.lit(" "))).select("phrase")
     others = terms.select(F.col("phrase").alias("text_id"), F.col("phrase").alias("text"))
     inside = uses(others, single).filter(F.col("text_id") != F.col("phrase"))
     longer = inside.groupBy("phrase").agg(F.collect_list("text_id").alias("longer"))
     found = matched(texts, terms.join(longer, "phrase", "left"), key)
-    return found.select(*key, F.col("found.phrase").alias("every"), F.inline("found")).select(
-        *key, "phrase", "def_hash", "def_ord", F.coalesce(F.arrays_overlap("longer", "every"), F.lit(False)).alias("covered")
-    )
+    covering = F.filter("found", lambda g: F.contains(g["phrase"], F.lit(" ")))
+    found = found.select(*key, covering.alias("covering"), F.inline("found")).select(*key, "covering", "phrase", "longer", F.inline("defs"))
+    covers = F.exists("covering", lambda g: F.array_contains(F.col("longer"), g["phrase"]) & F.exists(g["defs"], lambda d: d["def_hash"] == F.col("def_hash")))
+    return found.select(*key, "phrase", "def_hash", "def_ord", F.coalesce(covers, F.lit(False)).alias("covered"))
 
 
 def attach(

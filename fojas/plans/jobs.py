@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fojas import fixed
 from fojas.operators import definitions as D
+from fojas.operators import editions as E
 from fojas.operators import grounding as G
 from fojas.operators import refs as R
 from fojas.operators import requests as Q
@@ -51,8 +52,14 @@ def parse_corpus(
     return out
 
 
-def retrieve(corpus: dict[str, DataFrame], routes: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sections and definitions of every question, in prompt order, from a parsed corpus with definitions."""
+def retrieve(corpus: dict[str, DataFrame], routes: DataFrame, events: DataFrame, versions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sections and definitions of every question, in prompt order, from a parsed corpus with definitions.
+
+    ``versions`` (content_hash, one for each part) says which editions count where the corpus holds several: see
+    ``editions.valid_at``.
+    """
+    if versions is not None:
+        corpus = E.restricted(corpus, versions)
     sections, read = RT.retrieve(routes, events, corpus["parts"], corpus["section_pages"], corpus["definition_pages"])
     attached = D.attach(sections, corpus["section_terms"], D.pointers(corpus["definitions"]), key=("content_hash", "section_ord"))
     return sections, RT.with_attached(read, attached, corpus["definitions"])

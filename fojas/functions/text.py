@@ -182,13 +182,25 @@ def sentence_pieces(c: Column) -> Column:
     return F.split(c, fixed.SENTENCE_CUT)
 
 
-def running_ends(pieces: Column) -> Column:
-    """Cumulative lengths of an array of strings, row-locally."""
-    return F.aggregate(
-        pieces,
-        F.array().cast("array<int>"),
-        lambda acc, p: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p))),
-    )
+def running_ends(pieces: Column, stretch: int = 100) -> Column:
+    """Cumulative lengths of an array of strings, row-locally.
+
+    Added up in stretches, then over the stretches: an array grows by copying, and these stay short.
+    """
+
+    def upto(lengths: Column) -> Column:
+        return F.aggregate(
+            lengths, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+        )
+
+    def ends(lengths: Column) -> Column:
+        some = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / stretch).cast("int")), lambda k: upto(F.slice(lengths, k * stretch + 1, F.lit(stretch))))
+        return let(some, lambda parts: let(
+            upto(F.transform(parts, lambda p: F.element_at(p, -1))),
+            lambda sums: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda e: e + F.when(k > 0, F.get(sums, k - 1)).otherwise(0)))),
+        ))
+
+    return F.when(F.size(pieces) > 0, let(F.transform(pieces, lambda p: F.length(p)), ends)).otherwise(F.when(pieces.isNotNull(), F.array().cast("array<int>")))
 
 
 def without_markup(c: Column) -> Column:

@@ -1,8 +1,9 @@
 """Grounding: model responses become answers whose claims are backed by what they cite.
 
-One response is one row, so blocks, spans, cuts and token sets are row-local expressions. The only
-exchange is the join of responses with the documents they were written from; the layout windows and
-the final aggregation run on the same key.
+One response is one row, so blocks, spans and token sets are row-local expressions; its pieces are rows
+that meet spans and cited tokens in sweeps, in time that grows with the answer's length. The only
+exchange is the join of responses with the documents they were written from; the sweeps, the layout
+windows and the final aggregation run on the same key.
 """
 
 from __future__ import annotations
@@ -122,46 +123,61 @@ def _spans(df: DataFrame) -> DataFrame:
 
 
 def _pieces(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per piece between cuts; the answer-level columns ride on the first piece only."""
-    df = df.withColumn("body", F.length("opening"))
-    rest = F.expr("substring(full, body + 1)")
-    df = df.withColumn("cuts", F.transform(T.running_ends(T.sentence_pieces(rest)), lambda e: e + F.col("body")))
-    df = df.withColumn("bounds", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    uncut = F.filter("cuts", lambda c: ~F.exists("bounds", lambda s: (s["start"] < c) & (c < s["end"])))
-    df = df.withColumn(
-        "stops", F.when(F.col("coverage").isNotNull(), F.array_union(uncut, F.array(F.length("full"))))
-    )
-    ranges = F.zip_with(
-        F.concat(F.array("body"), F.expr("slice(stops, 1, size(stops) - 1)")), "stops",
-        lambda a, b: F.struct(a.alias("start"), b.alias("end")),
-    )
+    """One row per piece of an answer between cuts that split no cited span, with the spans inside it.
+
+    One sweep over the cuts and the starts of spans in order of place, so nothing is compared with
+    everything: spans follow one another, so a cut splits one just when a span that began before it ends
+    after it, and what begins after as many cuts lies in the same piece. An empty span between two pieces
+    belongs to both. Answer-level columns ride on one row only.
+    """
+    body = F.length("opening")
+    raws = F.when(F.col("coverage").isNotNull(), T.sentence_pieces(F.expr("substring(full, length(opening) + 1)")))
+    df = df.withColumn("raws", raws).withColumn("cuts", T.running_ends(F.col("raws")))
+    edge = lambda place, kind, n, raw, stop: F.struct(place.alias("place"), F.lit(kind).alias("kind"), n.alias("n"), raw.alias("raw"), stop.alias("stop"))
+    cuts = F.transform(F.arrays_zip("raws", "cuts"), lambda x, n: edge(x["cuts"] + body, 0, n, x["raws"], F.lit(None).cast("int")))
+    spans = F.transform("spans", lambda x, n: edge(x["start"], 1, n, F.lit(None).cast("string"), x["end"]))
     header = F.struct("model", "has_sections", "coverage", "gap", "error", "spans", "docs")
-    df = df.select(
-        *keys, header.alias("header"), "full", "bounds", "support",
-        F.posexplode_outer(F.filter(ranges, lambda r: r["start"] < r["end"])).alias("pos", "piece"),
-    )
-    raw = F.expr("substring(full, piece.start + 1, piece.end - piece.start)")
-    return df.select(
-        *keys, "pos", "piece.start", "piece.end", raw.alias("raw"), "support",
-        F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("header")).alias("header"),
-        F.filter(
-            F.transform(
-                "bounds",
-                lambda s, i: F.when((F.col("piece.start") <= s["start"]) & (s["end"] <= F.col("piece.end")), i),
-            ),
-            lambda i: i.isNotNull(),
-        ).alias("span_ids"),
+    edges = F.coalesce(F.concat(cuts, spans), F.slice(spans, 1, 0))
+    rows = df.select(*keys, header.alias("header"), "support", F.posexplode_outer(edges).alias("row", "e"))
+    rows = rows.select(*keys, *[F.when(F.coalesce("row", F.lit(0)) == 0, F.col(c)).alias(c) for c in ("header", "support")], "e.*")
+    sweep = Window.partitionBy(*keys).orderBy("place", "kind", "n").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max("stop").over(sweep), F.lit(0))
+    rows = rows.withColumn("cut", F.when((F.length("raw") > 0) & (reached <= F.col("place")), F.col("place")))
+    rows = rows.withColumn("pos", F.count("cut").over(sweep)).withColumn("last_cut", F.max("cut").over(sweep))
+    between = (F.col("kind") == 1) & (F.col("stop") == F.col("place")) & (F.col("last_cut") == F.col("place"))
+    parts = F.array_sort(F.collect_list(F.when(F.col("kind") == 0, F.struct("n", "raw"))))
+    pieces = rows.groupBy(*keys, "pos").agg(
+        F.first("header", ignorenulls=True).alias("header"), F.first("support", ignorenulls=True).alias("support"),
+        F.nullif(F.array_join(F.transform(parts, lambda x: x["raw"]), ""), F.lit("")).alias("raw"),
+        F.min(F.when(F.col("kind") == 0, F.col("place") - F.length("raw"))).alias("start"), F.max(F.when(F.col("kind") == 0, F.col("place"))).alias("end"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == 1, F.col("n")))).alias("own"), F.array_sort(F.collect_list(F.when(between, F.col("n")))).alias("shared"),
     )
+    following = F.lead("shared").over(Window.partitionBy(*keys).orderBy("pos"))
+    return pieces.withColumn("span_ids", F.concat("own", F.coalesce(following, F.array().cast("array<int>")))).drop("own", "shared")
+
+
+def _backed(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces with their ``text``, whether it has ``letters`` and whether it is ``kept``: all its claims backed.
+
+    The tokens of the pieces and of the answer's cited texts meet by token within the answer, so each is
+    looked at once.
+    """
+    p = pieces.withColumn("text", T.without_markup(F.col("raw")))
+    claims = F.transform(F.coalesce(T.claim_tokens(F.col("text")), F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(False).alias("cited")))
+    cited = F.transform(F.coalesce("support", F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(True).alias("cited")))
+    rows = p.select(*keys, "pos", *[c for c in p.columns if c not in (*keys, "pos", "support")], F.posexplode_outer(F.concat(claims, cited)).alias("place", "t"))
+    first = F.coalesce("place", F.lit(0)) == 0
+    rows = rows.select(*keys, "pos", first.alias("first"), *[F.when(first, F.col(c)).alias(c) for c in ("header", "raw", "start", "end", "span_ids", "text")], "t.*")
+    rows = rows.withColumn("missing", F.col("token").isNotNull() & ~F.max("cited").over(Window.partitionBy(*keys, "token")))
+    own = Window.partitionBy(*keys, "pos").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("missing", F.max("missing").over(own)).filter("first")
+    letters = F.coalesce(F.col("text").rlike(fixed.LETTER), F.lit(False))
+    return rows.withColumn("letters", letters).withColumn("kept", F.col("letters") & ~F.col("missing"))
 
 
 def _laid_out(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """Kept and dropped pieces with where each kept one starts (paragraph, item or running on)."""
-    p = pieces.withColumn("text", T.without_markup(F.col("raw")))
-    p = p.withColumn("letters", F.coalesce(F.col("text").rlike(fixed.LETTER), F.lit(False)))
-    p = p.withColumn(
-        "kept", F.col("letters") & (F.size(F.array_except(T.claim_tokens(F.col("text")), F.col("support"))) == 0)
-    )
-    p = p.select(
+    p = pieces.select(
         *keys, "pos", "start", "end", "text", "letters", "kept", "header", "span_ids",
         T.nonblank(F.col("raw")).alias("has_text"),
         F.col("raw").rlike(r"(?U)^\s*\n").alias("lead_break"),
@@ -242,7 +258,7 @@ def ground(responses: DataFrame, documents: DataFrame, extra_keys: tuple[str, ..
     joined = joined.withColumn(
         "has_sections", F.coalesce(F.exists("docs", lambda d: d["term"].isNull()), F.lit(False))
     )
-    laid = _laid_out(_pieces(_spans(joined), keys), keys)
+    laid = _laid_out(_backed(_pieces(_spans(joined), keys), keys), keys)
     grouped = laid.groupBy(*keys).agg(
         F.first("header", ignorenulls=True).alias("header"),
         F.array_sort(

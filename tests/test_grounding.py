@@ -169,3 +169,47 @@ def test_answers_without_documents_refuse(spark):
     rows = spark.createDataFrame([("q", json.dumps(said("Se puede ", "todo.")))], schemas.RESPONSES)
     [answer] = G.ground(G.parse_responses(rows), nothing).select("answer_id", "refused", F.size("sentences").alias("n")).collect()
     assert answer.asDict() == {"answer_id": "q", "refused": True, "n": 0}
+
+
+def cut_by_hand(pieces, opening="COBERTURA: total\n\n"):
+    """(start, end, cited texts) of the sentences of an answer without claims, every place compared with every span."""
+    full, spans = opening, []
+    for p in pieces:
+        text = p if isinstance(p, str) else p[0]
+        if not isinstance(p, str):
+            spans.append((len(full), len(full) + len(text), [c["cited_text"] for c in p[1:]]))
+        full += text
+    cuts = []
+    for i in range(len(opening) + 1, len(full) + 1):
+        before, after = full[:i], full[i : i + 1]
+        ends = before[-1] in ".!?:;" or (len(before) > 2 and before[-3] in ".!?:;" and before[-2:] in ("**", "__"))
+        if (ends and (not after or after.isspace()) or before[-1] == "\n") and not any(a < i < b for a, b, _ in spans):
+            cuts.append(i)
+    cuts = sorted({*cuts, len(full)})
+    out = []
+    for a, b in zip([len(opening), *cuts], cuts):
+        if any(c.isalpha() for c in full[a:b]):
+            out.append((a, b, [t for x, y, cited in spans if a <= x and y <= b for t in cited]))
+    return out if any(cited for _, _, cited in out) else []
+
+
+def test_spans_meet_pieces_as_if_all_were_compared(spark):
+    import random
+
+    given = {}
+    for seed in range(60):
+        r = random.Random(seed)
+        bits = ["hay libros", ". ", "!", " ", "\n", "- ", "la sala: ", "**mesa.** ", "", "y sillas. Y luz", ";"]
+        given[f"r{seed}"] = [r.choice(bits) if r.random() < 0.6 else (r.choice(bits), *[source(0, f"c{r.randint(0, 99)} x") for _ in range(r.randint(1, 2))]) for _ in range(r.randint(1, 25))]
+    got = ground_all(spark, {k: said(*v) for k, v in given.items()})
+    for k, pieces in given.items():
+        # citations such as c7 carry no claim: only numbers on their own do
+        mine = [(s["start"], s["end"], [c["cited_text"] for c in s["citations"]]) for s in got[k]["sentences"]]
+        assert mine == cut_by_hand(pieces), (k, pieces)
+
+
+def test_an_answer_of_thousands_of_citations(spark):
+    pieces = [x for i in range(3000) for x in ((f"La regla {i} vale {i} días", source(i % 2, f"regla {i} de {i} días")), f". Y cuesta {i + 5000}. ")]
+    [a] = ground_all(spark, {"many": said(*pieces)}).values()
+    assert [len(s["citations"]) for s in a["sentences"]] == [1] * 3000 and len(a["dropped"]) == 3000
+    assert a["sentences"][2999]["text"] == "La regla 2999 vale 2999 días." and a["dropped"][7] == "Y cuesta 5007."

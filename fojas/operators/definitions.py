@@ -1,7 +1,8 @@
 """Which defined terms a text uses.
 
-A phrase is found by an equi-join on its first token or token pair (with plural endings), then
-confirmed by its pattern on the whole text: no cross join, however many terms and texts there are.
+A phrase is found by an equi-join on one token or token pair (with plural endings), the one of its pairs that the
+fewest texts hold, then confirmed by its pattern on the whole text: no cross join, however many terms and
+texts there are, and no task that gets all texts of a stop word.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from fojas import fixed
 from fojas.functions import text as T
 
 TOKEN = r"(?U)\w+|[^\w\s]"
+#: Keys of the join that the texts of one token are dealt over.
+SALTS = 64
+#: Keys of phrases that are sent to every task, at some hundred bytes each.
+FEW_KEYS = 100_000
 
 
 def _tokens(c: Column) -> Column:
@@ -31,13 +36,16 @@ def _text_keys(c: Column) -> Column:
 
 
 def _phrase_keys(p: Column) -> Column:
-    tokens = _tokens(p)
+    """The ways to look a phrase up, each an array of keys of which its texts hold one: its token, or any
+    two neighbouring tokens of several."""
     endings = lambda t: F.array(t, F.concat(t, F.lit("s")), F.concat(t, F.lit("es")))
-    first, second = F.element_at(tokens, 1), F.try_element_at(tokens, F.lit(2))
-    pairs = F.flatten(
-        F.transform(endings(first), lambda a: F.transform(endings(second), lambda b: F.concat_ws(" ", a, b)))
-    )
-    return F.when(F.size(tokens) > 1, pairs).otherwise(endings(first))
+    joined = lambda a, b: F.flatten(F.transform(endings(a), lambda x: F.transform(endings(b), lambda y: F.concat_ws(" ", x, y))))
+
+    def keys(tokens: Column) -> Column:
+        pairs = F.transform(F.slice(tokens, F.lit(2), F.size(tokens)), lambda b, i: joined(F.get(tokens, i), b))
+        return F.when(F.size(tokens) > 1, pairs).otherwise(F.array(endings(F.get(tokens, F.lit(0)))))
+
+    return T.let(_tokens(p), keys)
 
 
 def by_file(definitions: DataFrame) -> DataFrame:
@@ -56,6 +64,47 @@ def by_phrase(definitions: DataFrame) -> DataFrame:
     return first.select("phrase", "d.*")
 
 
+def rarest_keys(texts: DataFrame, phrases: DataFrame, few: bool = False) -> DataFrame:
+    """(phrase) plus ``keys``: the keys to look it up by, of the pair that the fewest texts hold.
+
+    Only pairs of phrases that have a choice are counted. ``few``: the phrases' keys fit into every task.
+    """
+    ways = phrases.select("phrase", _phrase_keys(F.col("phrase")).alias("ways"))
+    several = ways.filter(F.size("ways") > 1).select("phrase", F.posexplode("ways").alias("way", "keys"))
+    wanted = several.select(F.explode("keys").alias("k")).distinct()
+    held = texts.select(F.explode(_text_keys(F.col("text"))).alias("k")).join(F.broadcast(wanted) if few else wanted, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    counted = several.select("phrase", "way", F.explode(F.array_distinct("keys")).alias("k")).join(held, "k", "left")
+    weight = counted.groupBy("phrase", "way").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = weight.groupBy("phrase").agg(F.min_by("way", F.struct("n", "way")).alias("way"))
+    return ways.join(best, "phrase", "left").select("phrase", F.array_distinct(F.get("ways", F.coalesce("way", F.lit(0)))).alias("keys"))
+
+
+def candidates(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id",), few_keys: int = FEW_KEYS) -> DataFrame:
+    """(key, p): phrases (as structs, with their pattern) that a text may use, one row each or several.
+
+    Phrases of at most ``few_keys`` keys in all are sent to every task: texts stay where they are. Of
+    more, texts are dealt over SALTS keys of the join by their own key and each phrase is given to all
+    of them, so a stop word's texts do not meet in one task either way.
+    """
+    fields = phrases.columns
+    # One or two plain words are found for certain by their key; other phrases need their pattern.
+    plain = F.col("phrase").rlike(r"(?U)^\w+( \w+)?\z")
+    p = F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern"), plain.alias("plain")).alias("p")
+    ways = _phrase_keys(F.col("phrase"))
+    size = phrases.agg(F.coalesce(F.sum(F.array_size(F.get(ways, F.lit(0)))), F.lit(0)).alias("keys"), F.coalesce(F.max(F.size(ways)), F.lit(0)).alias("ways")).first()
+    few, named = size["keys"] <= few_keys, phrases.select("phrase").distinct()
+    if size["ways"] > 1:
+        rarest = rarest_keys(texts, named, few)
+    else:
+        rarest = named.select("phrase", F.array_distinct(F.get(ways, F.lit(0))).alias("keys"))
+    keyed = phrases.select("phrase", p).join(rarest, "phrase").select("p", F.explode("keys").alias("k"))
+    words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
+    if few:
+        return words.join(F.broadcast(keyed), "k").select(*key, "p")
+    keyed = keyed.select("p", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return words.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(keyed, ["k", "salt"]).select(*key, "p")
+
+
 def matched(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
     """Each text with the phrases it uses: key, found (an array of structs of ``phrases``' columns).
 
@@ -63,14 +112,8 @@ def matched(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_
     matches; they are at most as many as its distinct tokens and pairs.
     """
     fields = phrases.columns
-    # One or two plain words are found for certain by their key; other phrases need their pattern.
-    plain = F.col("phrase").rlike(r"(?U)^\w+( \w+)?\z")
-    keyed = phrases.select(
-        F.explode(F.array_distinct(_phrase_keys(F.col("phrase")))).alias("k"), F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern"), plain.alias("plain")).alias("p")
-    )
-    words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
-    candidates = words.join(keyed, "k").groupBy(*key).agg(F.collect_set("p").alias("candidates"))
-    joined = candidates.join(texts.select(*key, "text"), list(key))
+    gathered = candidates(texts, phrases, key).groupBy(*key).agg(F.collect_set("p").alias("candidates"))
+    joined = gathered.join(texts.select(*key, "text"), list(key))
     hits = F.filter("candidates", lambda p: p["plain"] | F.call_function("regexp_like", F.col("text"), p["pattern"]))
     return joined.select(*key, F.transform(hits, lambda p: F.struct(*[p[f].alias(f) for f in fields])).alias("found"))
 

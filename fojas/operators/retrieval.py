@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fojas import fixed
+from fojas.operators.overlaps import overlapping
 
 
 def page_reads(events: DataFrame) -> DataFrame:
@@ -16,52 +17,48 @@ def page_reads(events: DataFrame) -> DataFrame:
     return reads.select("question_id", "part", F.coalesce(plain, quoted, F.lit("")).alias("spec"))
 
 
-def pages_read(events: DataFrame, parts: DataFrame) -> DataFrame:
-    """Distinct (question_id, part, content_hash, pdf_page) read, within the pages a part has.
+def ranges_read(events: DataFrame, parts: DataFrame) -> DataFrame:
+    """Distinct (question_id, part, content_hash, from_page, to_page) read, within the pages a part has.
 
-    ``parts``: loaded parts with content_hash and page_count. Ranges are cut to the part before they
-    are expanded, so a spec such as 1-999999999 costs no more than the part's pages.
+    ``parts``: loaded parts with content_hash and page_count. Ranges stay ranges, so a spec such as
+    1-999999999 costs no more than one page, however many pages the part has.
     """
     span = F.filter(F.split(F.replace("spec", F.lit(" "), F.lit("")), ","), lambda x: x.rlike(r"^\d+(-\d*)?\z"))
     ranges = page_reads(events).select("question_id", "part", F.explode(F.array_distinct(span)).alias("r")).distinct()
     low = F.regexp_extract("r", r"^(\d+)", 1)
     high = F.coalesce(F.nullif(F.regexp_extract("r", r"-(\d+)\z", 1), F.lit("")), low)
+    # a number beyond 38 digits is beyond every page
+    number = lambda c: F.coalesce(F.expr(f"try_cast({c} AS DECIMAL(38, 0))"), F.lit(2**62))
     loaded = parts.select("part", "content_hash", "page_count")
-    joined = ranges.join(loaded, "part").select(
-        "question_id", "part", "content_hash",
-        F.greatest(low.cast("decimal(38,0)"), F.lit(1)).alias("a"), F.least(high.cast("decimal(38,0)"), F.col("page_count")).alias("b"),
+    joined = ranges.withColumns({"low": low, "high": high}).join(loaded, "part").select(
+        "question_id", "part", "content_hash", F.greatest(number("low"), F.lit(1)).alias("a"), F.least(number("high"), F.col("page_count")).alias("b"),
     ).filter(F.col("a") <= F.col("b"))
-    return joined.select(
-        "question_id", "part", "content_hash", F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int"))).alias("pdf_page")
-    ).distinct()
+    return joined.select("question_id", "part", "content_hash", F.col("a").cast("bigint").alias("from_page"), F.col("b").cast("bigint").alias("to_page")).distinct()
+
+
+def _on_pages(read: DataFrame, rows: DataFrame) -> DataFrame:
+    """Ranges read with the rows (content_hash, pdf_page, ...) on their pages."""
+    return overlapping(read, rows, ["content_hash"], ("from_page", "to_page"), ("pdf_page", "pdf_page"))
 
 
 def sections_on_pages(read: DataFrame, section_pages: DataFrame) -> DataFrame:
     """Sections with any of the pages read."""
     held = section_pages.select("content_hash", "section_ord", "section", "pdf_page")
-    return read.join(held, ["content_hash", "pdf_page"]).select(
-        "question_id", "part", "content_hash", "section_ord", "section"
-    ).distinct()
-
-
-def covered_pages(nodes: DataFrame) -> DataFrame:
-    """Tree nodes with one row per page they cover, so page lookups are equi-joins."""
-    spans = nodes.filter(F.col("start_index") <= F.col("end_index"))
-    return spans.select("*", F.explode(F.sequence("start_index", "end_index")).alias("pdf_page"))
+    return _on_pages(read, held).select("question_id", "part", "content_hash", "section_ord", "section").distinct()
 
 
 def visited_nodes(read: DataFrame, nodes: DataFrame) -> DataFrame:
     """Leaves covering a page read, as part:node."""
-    leaves = covered_pages(nodes.filter("is_leaf")).select("content_hash", "pdf_page", "node_id", "preorder")
-    return read.join(leaves, ["content_hash", "pdf_page"]).select(
-        "question_id", "part", "content_hash", "preorder", F.concat_ws(":", "part", "node_id").alias("node")
-    ).distinct()
+    leaves = nodes.filter("is_leaf").select("content_hash", "start_index", "end_index", "node_id", "preorder")
+    met = overlapping(read, leaves, ["content_hash"], ("from_page", "to_page"), ("start_index", "end_index"))
+    return met.select("question_id", "part", "content_hash", "preorder", F.concat_ws(":", "part", "node_id").alias("node")).distinct()
 
 
 def node_sections(nodes: DataFrame, sections: DataFrame) -> DataFrame:
     """Nodes with the sections that start on their pages, in document order."""
     starts = sections.select("content_hash", "section", "section_ord", F.col("pdf_page_start").alias("pdf_page"))
-    hits = covered_pages(nodes).select("content_hash", "node_id", "pdf_page").join(starts, ["content_hash", "pdf_page"])
+    spans = nodes.select("content_hash", "node_id", "start_index", "end_index")
+    hits = overlapping(spans, starts, ["content_hash"], ("start_index", "end_index"), ("pdf_page", "pdf_page"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "section"))), lambda s: s["section"])
     return hits.groupBy("content_hash", "node_id").agg(listed.alias("sections"))
 
@@ -110,7 +107,7 @@ def retrieve(
     the definitions section were read, the definitions on them stand in for the section.
     """
     routed = events.join(routes.select("question_id", "part"), ["question_id", "part"], "left_semi")
-    read = pages_read(routed, parts)
+    read = ranges_read(routed, parts)
     found = sections_on_pages(read, section_pages)
     holders = definition_pages.select("content_hash").distinct().withColumn("holds", F.lit(True))
     marked = found.join(holders, "content_hash", "left")
@@ -125,11 +122,8 @@ def retrieve(
     )
     opened = marked.filter(holder).select("question_id", "content_hash").distinct()
     defs = definition_pages.select("content_hash", "section", "def_ord", "term", "pdf_page")
-    definitions = (
-        read.join(opened, ["question_id", "content_hash"], "left_semi")
-        .join(defs, ["content_hash", "pdf_page"])
-        .select("question_id", "part", "content_hash", "section", "def_ord", "term").distinct()
-    )
+    opened_pages = read.join(opened, ["question_id", "content_hash"], "left_semi")
+    definitions = _on_pages(opened_pages, defs).select("question_id", "part", "content_hash", "section", "def_ord", "term").distinct()
     return sections, definitions
 
 

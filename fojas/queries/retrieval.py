@@ -150,20 +150,22 @@ SELECT question_id, count(*) AS n_sections, CAST(sum(p_partkey) AS BIGINT) AS or
 def q10_page_reads(spark, sf):
     """Sections on the pages each question's tool calls read."""
     parts, sections = catalog_tables(table(spark, sf, "part"))
-    read = RT.pages_read(search_events(table(spark, sf, "events")), parts)
+    read = RT.ranges_read(search_events(table(spark, sf, "events")), parts)
     found = RT.sections_on_pages(read, sections)
     return found.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("section_ord").alias("ord_sum"))
 
 
 @query("q11_visited_nodes", sql=f"""
 WITH {READS}, lf AS (SELECT DISTINCT p_brand, p_size // 10 AS j FROM part)
-SELECT DISTINCT question_id, brand || ':L' || j AS node FROM rd JOIN lf ON p_brand = brand AND page BETWEEN j * 10 AND j * 10 + 9""")
+SELECT DISTINCT question_id, brand || ':L' || j AS node FROM rd JOIN lf ON p_brand = brand AND page BETWEEN j * 10 AND j * 10 + 9
+UNION SELECT question_id, brand || ':W' FROM rd""")
 def q11_visited_nodes(spark, sf):
-    """Leaves of each part's tree that cover a page read."""
+    """Leaves of each part's tree that cover a page read, beside leaves of a billion pages in every part."""
     part = table(spark, sf, "part")
     parts, _ = catalog_tables(part)
-    read = RT.pages_read(search_events(table(spark, sf, "events")), parts)
-    return RT.visited_nodes(read, catalog_nodes(part)).select("question_id", "node")
+    read = RT.ranges_read(search_events(table(spark, sf, "events")), parts)
+    wide = part.select(F.col("p_brand").alias("content_hash"), F.lit("W").alias("node_id"), F.lit(9).alias("preorder"), F.lit(1).alias("start_index"), F.lit(10**9).alias("end_index"), F.lit(True).alias("is_leaf"))
+    return RT.visited_nodes(read, catalog_nodes(part).unionByName(wide.distinct())).select("question_id", "node")
 
 
 @query("q11_node_sections", sql="""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,39 +65,48 @@ def node_sections(nodes: DataFrame, sections: DataFrame) -> DataFrame:
     return hits.groupBy("content_hash", "node_id").agg(listed.alias("sections"))
 
 
-def flatten_trees(trees: DataFrame, max_depth: int = 24) -> DataFrame:
-    """Nested trees (part, content_hash, tree as a JSON array) as node rows in preorder.
+def flatten_trees(trees: DataFrame, root: str, levels: int = 16) -> DataFrame:
+    """Nested trees (part, content_hash, tree as a JSON array) of any depth as node rows in preorder.
 
-    A tree is one value of one row, so its levels are opened within the row, one array after the other;
-    nodes deeper than ``max_depth`` fail the job. ``path`` holds the place on every level, and sorts a node
-    before its children.
+    Each round opens ``levels`` levels within a row and hands the nodes below them on, a row each, until none is
+    left; rounds are written under ``root``, a folder all executors share. ``path`` holds the place on every
+    level, and sorts a node before its children. A null tree has no nodes.
     """
     node = "struct<path:array<int>,parent_id:string,node:variant>"
-    none = F.array().cast(f"array<{node}>")
+    opened_node = "struct<path:array<int>,parent_id:string,node_id:string,title:string,start_index:int,end_index:int,is_leaf:boolean>"
     inner = lambda v: F.coalesce(F.try_variant_get(v, "$.nodes", "array<variant>"), F.array().cast("array<variant>"))
+    value = lambda x, k, t: F.variant_get(x, f"$.{k}", t).alias(k)
 
     def children(x: Column) -> Column:
         return F.transform(
-            inner(x["node"]),
-            lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), F.variant_get(x["node"], "$.node_id", "string").alias("parent_id"), c.alias("node")),
+            inner(x["node"]), lambda c, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), value(x["node"], "node_id", "string").alias("parent_id"), c.alias("node"))
         )
 
+    def shown(x: Column) -> Column:
+        n = x["node"]
+        scalars = [value(n, k, t) for k, t in (("node_id", "string"), ("title", "string"), ("start_index", "int"), ("end_index", "int"))]
+        return F.struct(x["path"].alias("path"), x["parent_id"].alias("parent_id"), *scalars, (F.size(inner(n)) == 0).alias("is_leaf"))
+
     top = F.variant_get(F.parse_json("tree"), "$", "array<variant>")
-    level = F.transform(top, lambda c, i: F.struct(F.array(i).alias("path"), F.lit(None).cast("string").alias("parent_id"), c.alias("node")))
-    state = F.struct(level.alias("level"), none.alias("done"))
-    opened = F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)), state,
-        lambda s, _: F.struct(F.flatten(F.transform(s["level"], children)).alias("level"), F.concat(s["done"], s["level"]).alias("done")),
-        lambda s: F.when(F.size(s["level"]) == 0, s["done"]).otherwise(F.raise_error(F.lit(f"a tree is deeper than {max_depth} levels")).cast(f"array<{node}>")),
-    )
-    rows = trees.select("part", "content_hash", F.explode(opened).alias("x")).select("part", "content_hash", "x.*")
-    value = lambda k, t: F.variant_get("node", f"$.{k}", t).alias(k)
-    rows = rows.select(
-        "part", "content_hash", "path", "parent_id", value("node_id", "string"), value("title", "string"), value("start_index", "int"),
-        value("end_index", "int"), (F.size(inner(F.col("node"))) == 0).alias("is_leaf"),
-    )
+    first = F.transform(top, lambda c, i: F.struct(F.array(i).alias("path"), F.lit(None).cast("string").alias("parent_id"), c.alias("node")))
+    frontier = trees.select("part", "content_hash", F.explode(first).alias("x"))
+    done = None
+    for turn in itertools.count():
+        state = F.struct(F.array(F.col("x").cast(node)).alias("level"), F.array().cast(f"array<{opened_node}>").alias("done"))
+        opened = F.aggregate(
+            F.sequence(F.lit(1), F.lit(levels)), state,
+            lambda s, _: F.struct(F.flatten(F.transform(s["level"], children)).alias("level"), F.concat(s["done"], F.transform(s["level"], shown)).alias("done")),
+        )
+        path = f"{root}/trees{turn:06d}"
+        frontier.select("part", "content_hash", opened.alias("o")).select("part", "content_hash", "o.*").write.mode("overwrite").parquet(path)
+        table = trees.sparkSession.read.parquet(path)
+        rows = table.select("part", "content_hash", F.explode("done").alias("n")).select("part", "content_hash", "n.*")
+        done = rows if done is None else done.unionByName(rows)
+        frontier = table.filter(F.size("level") > 0).select("part", "content_hash", F.explode("level").alias("x"))
+        if frontier.isEmpty():
+            break
     preorder = F.row_number().over(Window.partitionBy("content_hash").orderBy("path")) - 1
-    return rows.withColumn("preorder", preorder).drop("path")
+    return done.withColumn("preorder", preorder).drop("path")
 
 
 def retrieve(

@@ -199,6 +199,28 @@ def q11_retrieve(spark, sf):
     )
 
 
+def deep_trees(part):
+    """A tree per brand: a chain of sections, each with a leaf before the next; every fifth has 200 levels."""
+    number = F.substring_index("p_brand", "#", -1).cast("int")
+    depth = F.when(number % 5 == 0, 200).otherwise(number % 4 + 1)
+    node = lambda kind, i, more: F.concat(F.lit(f'{{"node_id": "{kind}'), i.cast("string"), F.lit('", "title": "'), F.col("p_brand"), F.lit('", "start_index": '), (i + 1).cast("string"), F.lit(f', "end_index": 999{more}'))
+    opening = F.transform(F.sequence(F.lit(1), depth), lambda n: F.concat(node("d", n - 1, ', "nodes": ['), node("s", n - 1, "}"), F.when(n < depth, ", ").otherwise("")))
+    tree = F.concat(F.lit("["), F.array_join(opening, ""), F.expr("repeat(']}', depth)"), F.lit("]"))
+    brands = part.select("p_brand").distinct().withColumn("depth", depth)
+    return brands.select(F.col("p_brand").alias("part"), F.col("p_brand").alias("content_hash"), tree.alias("tree"))
+
+
+@query("q40_deep_trees", sql="""
+WITH b AS (SELECT DISTINCT p_brand, CAST(substring(p_brand, 7) AS INT) AS k FROM part),
+d AS (SELECT p_brand, unnest(range(CASE WHEN k % 5 = 0 THEN 200 ELSE k % 4 + 1 END)) AS i FROM b)
+SELECT p_brand AS part, 'd' || i AS node_id, CASE WHEN i > 0 THEN 'd' || (i - 1) END AS parent_id, CAST(i + 1 AS INT) AS start_index, false AS is_leaf, CAST(2 * i AS INT) AS preorder FROM d
+UNION ALL SELECT p_brand, 's' || i, 'd' || i, CAST(i + 1 AS INT), true, CAST(2 * i + 1 AS INT) FROM d""")
+def q40_deep_trees(spark, sf):
+    """Trees as node rows in preorder, some of 200 levels beside shallow ones."""
+    nodes = RT.flatten_trees(deep_trees(table(spark, sf, "part")), f"{shared_dir(spark)}/trees-{uuid.uuid4().hex}")
+    return nodes.select("part", "node_id", "parent_id", "start_index", "is_leaf", "preorder")
+
+
 @query("q16_cited_sections", sql=f"""
 WITH {ANSWERS},
 x AS (

@@ -4,9 +4,9 @@ Lines that at least two documents hold are known by two 64-bit hashes. They are
 each shard becomes one row: a minimal perfect hash that gives every known line a slot, and arrays of
 fingerprints, counts and first documents in slot order. The arrays need about 24 bytes a line, the
 lines' texts are not kept. Documents' line hashes stream past their shard's arrays: a task holds one
-shard and one batch of probes, never a line's occurrences together. A line held by so many documents
-that its probes would weigh on one shard is answered before, from the few such lines (at most
-``HOT_LINES`` can exist), so no shard gets more than its share.
+shard and one batch of probes, never a line's occurrences together. Where a shard's lines are held by so many
+documents that their probes would weigh on one task, the shard is copied and its probes are dealt over the
+copies.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import types as T
 from fojas.llm.common import BLANKS, ascii_lower, mix, text_chunks, written
 
 LINES_PER_SHARD = 100_000
-HOT_LINES = 1000
 GAMMA = 2.0
 
 
@@ -151,24 +150,32 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dropped_lines(docs: DataFrame, shortest: int = 10) -> DataFrame:
-    """(id, th, lines): the numbers of lines that go, of documents that lose any."""
+    """(id, th, lines): the numbers of lines that go, of documents that lose any.
+
+    All lines probe the arrays of their shard. A shard whose lines occur more often than an average shard's, as
+    one with a line that every document holds, is copied as many times, and its probes are dealt over
+    the copies: there are at most twice as many copies as shards.
+    """
     spark = docs.sparkSession
     lines = line_hashes(docs, shortest)
     counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.max("id").alias("last"))
     known = written(counted.filter("first < last").drop("last"), "lines")
     total = known.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("lines")).first()
-    hot = known.filter(F.col("n") > F.lit(total.lines // HOT_LINES))  # fewer than HOT_LINES rows
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total.keys // LINES_PER_SHARD + 1)
-    shard = F.pmod("h1", F.lit(shards)).alias("shard")
-    index = known.select(shard, "h1", "h2", "n", "first").groupBy("shard").applyInPandas(_build, "shard long, arrays binary")
+    shard = F.pmod("h1", F.lit(shards))
+    busy = known.groupBy(shard.alias("shard")).agg(F.sum("n").alias("n"))
+    copies = (F.lit(1) + F.floor(F.col("n") / F.lit(max(1, total.lines // shards)))).cast("int").alias("copies")
+    busy = written(busy.select("shard", copies).filter("copies > 1"), "busy")  # a row for each shard at most
+    index = known.select(shard.alias("shard"), "h1", "h2", "n", "first").groupBy("shard").applyInPandas(_build, "shard long, arrays binary")
+    index = index.join(F.broadcast(busy), "shard", "left").select("arrays", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), "shard")
     none = F.lit(None)
-    index = index.select("shard", "arrays", *(none.cast("long").alias(c) for c in ("id", "th", "h1", "h2")), none.cast("int").alias("line"))
-    beside = lines.join(F.broadcast(hot.select("h1", "h2", "first")), ["h1", "h2"], "left")
-    few = beside.filter("first <> id").select("id", "th", "line")
-    probes = lines.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti")
-    probes = probes.select(shard, none.cast("binary").alias("arrays"), "id", "th", "h1", "h2", "line")
+    slot = (F.shiftleft(F.col("shard"), 24) + F.col("copy")).alias("shard")
+    index = index.select(slot, "arrays", *(none.cast("long").alias(c) for c in ("id", "th", "h1", "h2")), none.cast("int").alias("line"))
+    probes = lines.withColumn("shard", shard).join(F.broadcast(busy), "shard", "left")
+    probes = probes.withColumn("copy", F.coalesce(F.pmod(F.xxhash64("id", "th", "line"), F.col("copies")).cast("int"), F.lit(0)))
+    probes = probes.select(slot, none.cast("binary").alias("arrays"), "id", "th", "h1", "h2", "line")
     both = index.unionByName(probes).repartition(shards, "shard").sortWithinPartitions("shard", F.col("arrays").isNull())
-    out = both.mapInArrow(_probe, "id long, th long, line int").unionByName(few)
+    out = both.mapInArrow(_probe, "id long, th long, line int")
     return out.groupBy("id", "th").agg(F.collect_set("line").alias("lines"))
 
 

@@ -36,6 +36,12 @@ def test_equals_brute_force(spark):
     assert got == brute([(r[0], r[1]) for r in rows])
 
 
+def test_a_line_of_every_document_goes_through_the_arrays(spark):
+    rows = [(i, "\n".join([prose(i, 4), "the one line of all", prose(i % 40, 4), "a third line" if i % 3 else prose(i, 5), "the one line of all"]), "en", "s", 1) for i in range(1500)]
+    got = sorted((tuple(r) for r in L.dedupe_lines(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == brute([(r[0], r[1]) for r in rows])
+
+
 def test_nothing_repeats_and_empty_table(spark):
     assert L.dedupe_lines(spark.createDataFrame([], DOCS)).collect() == []
     rows = [(i, prose(i, 9), None, None, 0) for i in range(5)]

@@ -1,10 +1,12 @@
 """URL filter: rules, and trust and distrust spread over the links between hosts.
 
 Rules judge the URLs they fit. Their judgements also seed the link graph: a host is trusted, or blocked,
-by the share of its known URLs, pages and link targets, that rules allow, or block. Trust follows links from trusted hosts; distrust
-goes back along links, to hosts that link to blocked ones. A host's distrust is the mean over its own
-links out, its trust the mean over its links in, so neither shrinks with the links of the other host.
-URLs no rule fits get their host's verdict: blocked when its distrust exceeds its trust and a threshold.
+by the share of its known URLs, pages and link targets, that rules allow, or block. Trust is PageRank from
+the trusted hosts along links; distrust is PageRank from the blocked hosts on the reversed graph, so it
+reaches hosts that link to them. Both are read as shares of what arrives when all hosts are seeds, which
+the other hosts' degrees do not shrink: a host all of whose links go to blocked hosts has distrust 1, and links
+to hosts that nothing is known of dilute it. URLs no rule fits get their host's verdict: blocked when its
+distrust exceeds its trust and a threshold.
 
 The graph has one edge per pair of hosts, summed before the shuffle. Each round is a join with the
 edges and a sum by host; every few rounds the scores are written, until they no longer change.
@@ -20,7 +22,6 @@ from fojas.llm.common import ascii_lower, written
 URL = r"(?s)^.*?://([^/?#]*+)([^?#]*+)"
 QUERY = r"(?s)^.*?://[^?#]*+(\?[^#]*+)"
 HREF = r"""(?i)\bhref\s*+=\s*+["']?+((?:[a-z][a-z0-9+.-]*+:)?//[^"'\s>]++)"""
-ROUNDS = 12
 WRITE_EVERY = 4
 TOLERANCE = 1e-3
 
@@ -69,73 +70,52 @@ def host_seeds(pages: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return urls.withColumn("action", action).groupBy("host").agg(share("allow").alias("trusted"), share("block").alias("blocked"))
 
 
-def host_scores(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = ROUNDS) -> DataFrame:
-    """(src, dst, n) and (host, trusted, blocked) to (host, trust, distrust).
-
-    A score is the host's seed and ``damping`` times what reaches it: trust divides over a host's links
-    out, distrust over its links in.
-    """
-    edges = written(edges, "edges")
-    steps = _steps(edges, "src", "dst", damping)
-    start = _seeded(seeds)
-    scores = start
-    for i in range(1, rounds + 1):
-        scores = _round(start, scores, steps)
-        if i % WRITE_EVERY == 0 or i == rounds:
-            scores = written(scores, "scores")
-    return _by_host(scores)
-
-
-def host_leanings(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
+def host_ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """(src, dst, n) and (host, trusted, blocked) to (host, trust, distrust), both from 0 to 1.
 
-    A score is the host's seed and, for the share of it the seed leaves open, ``damping`` times a mean:
-    of the distrust of those it links to over its links out, of the trust of those that link to it over
-    its links in. Each round brings all scores nearer by ``damping`` at least, so the rounds go on until
-    none can be off by more than ``tolerance``; how many depends on these two numbers, not on the graph.
+    Personalised PageRank: trust starts at the trusted seeds and goes along links, divided over a host's
+    links out; distrust starts at the blocked seeds and goes against links, divided over a host's links in;
+    ``damping`` of it goes on. Such ranks shrink with the degrees on their way, so each is held against
+    the rank that arrives when every host is a seed: ``distrust`` is the blocked seeds' share of what
+    arrives at a host, for the part that its own seed leaves open, and ``trust`` the trusted ones'. The
+    rounds go on until no rank grows by more than ``tolerance`` of itself in ``WRITE_EVERY`` of them.
     """
     if not (0 <= damping < 1 and tolerance > 0):
         raise ValueError("damping must be under 1 and tolerance over 0")
     edges = written(edges, "edges")
-    start = _seeded(seeds)
-    open_ = start.select("kind", F.col("host").alias("to"), (1 - F.col("v")).alias("open"))
-    steps = _steps(edges, "dst", "src", damping).join(open_, ["kind", "to"], "left")
-    steps = written(steps.select("kind", "host", "to", (F.col("p") * F.coalesce("open", F.lit(1.0))).alias("p")), "steps")
-    scores, ahead = start, damping**WRITE_EVERY
+    steps = _steps(edges, damping)
+    hosts = edges.select(F.col("src").alias("host")).unionByName(edges.select(F.col("dst").alias("host"))).unionByName(seeds.select("host")).distinct()
+    own = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(c, F.lit(0.0)).alias("seed")) for k, c in (("t", "trusted"), ("d", "blocked"))]))
+    start = written(hosts.join(seeds, "host", "left").select("host", own), "seeds").select("kind", "host", "seed", F.col("seed").alias("v"), F.lit(1.0).alias("w"))
+    scores = start
     while True:
         before = scores
         for _ in range(WRITE_EVERY):
             scores = _round(start, scores, steps)
         scores = written(scores, "scores")
-        # scores only grow, and no host is lost from one round to the next
-        change = scores.join(before.withColumnRenamed("v", "old"), ["kind", "host"], "left").agg(F.max(F.col("v") - F.coalesce("old", F.lit(0.0)))).first()[0]
-        if (change or 0.0) * ahead / (1 - ahead) <= tolerance:
-            return _by_host(scores)
+        grown = scores.join(before.select("kind", "host", F.col("w").alias("old")), ["kind", "host"]).agg(F.max((F.col("w") - F.col("old")) / F.col("w"))).first()[0]
+        if (grown or 0.0) <= tolerance:
+            break
+    # what arrives is all but the host's own start
+    arrived = F.when(F.col("w") > 1, (F.col("v") - F.col("seed")) / (F.col("w") - 1)).otherwise(0.0)
+    share = F.least(F.lit(1.0), F.col("seed") + (1 - F.col("seed")) * arrived)
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, share).otherwise(0.0))
+    return scores.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
 
 
-def _steps(edges: DataFrame, trust_over: str, distrust_over: str, damping: float) -> DataFrame:
-    """(kind, host, to, p): the part of a host's trust or distrust that goes to another; the links of the
-    named ends share it."""
+def _steps(edges: DataFrame, damping: float) -> DataFrame:
+    """(kind, host, to, p): the part of a host's rank that goes to another."""
     total = lambda end: edges.groupBy(end).agg(F.sum("n").alias("total"))
     p = (F.lit(damping) * F.col("n") / F.col("total")).alias("p")
-    steps = edges.join(total(trust_over), trust_over).select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), p)
-    back = edges.join(total(distrust_over), distrust_over).select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), p)
+    steps = edges.join(total("src"), "src").select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), p)
+    back = edges.join(total("dst"), "dst").select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), p)
     return written(steps.unionByName(back), "steps")
 
 
-def _seeded(seeds: DataFrame) -> DataFrame:
-    kinds = F.inline(F.array(F.struct(F.lit("t").alias("kind"), F.col("trusted").alias("v")), F.struct(F.lit("d").alias("kind"), F.col("blocked").alias("v"))))
-    return written(seeds.select("host", kinds).filter("v > 0"), "seeds").select("kind", "host", "v")
-
-
 def _round(start: DataFrame, scores: DataFrame, steps: DataFrame) -> DataFrame:
-    moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("v") * F.col("p")).alias("v"))
-    return start.unionByName(moved).groupBy("kind", "host").agg(F.sum("v").alias("v"))
-
-
-def _by_host(scores: DataFrame) -> DataFrame:
-    part = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("v"))), F.lit(0.0))
-    return scores.groupBy("host").agg(part("t").alias("trust"), part("d").alias("distrust"))
+    """v, the rank from the seeds, and w, that from all hosts, one link further."""
+    moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.lit(0.0).alias("seed"), (F.col("v") * F.col("p")).alias("v"), (F.col("w") * F.col("p")).alias("w"))
+    return start.unionByName(moved).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("seed", "v", "w")])
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
@@ -151,7 +131,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, da
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("action", action)
     seeds = host_seeds(pages.select("url", "html"), rules)
-    scores = host_leanings(host_edges(pages.select("url", "html")), seeds, damping, tolerance)
+    scores = host_ranks(host_edges(pages.select("url", "html")), seeds, damping, tolerance)
     found = rows.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
     verdict = F.coalesce("action", F.when(bad, "block").otherwise("allow"))

@@ -75,9 +75,10 @@ def host_ranks(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, tolera
 
     Personalised PageRank: trust starts at the trusted seeds and goes along links, divided over a host's
     links out; distrust starts at the blocked seeds and goes against links, divided over a host's links in;
-    ``damping`` of it goes on. Such ranks shrink with the degrees on their way, so each is held against
+    ``damping`` of it goes on. A seed passes on its own rank; what arrives at it counts for the part that
+    its seed leaves open. Such ranks shrink with the degrees on their way, so each is held against
     the rank that arrives when every host is a seed: ``distrust`` is the blocked seeds' share of what
-    arrives at a host, for the part that its own seed leaves open, and ``trust`` the trusted ones'. The
+    arrives at a host, beside its own seed, and ``trust`` the trusted ones'. The
     rounds go on until no rank grows by more than ``tolerance`` of itself in ``WRITE_EVERY`` of them.
     """
     if not (0 <= damping < 1 and tolerance > 0):
@@ -114,8 +115,11 @@ def _steps(edges: DataFrame, damping: float) -> DataFrame:
 
 def _round(start: DataFrame, scores: DataFrame, steps: DataFrame) -> DataFrame:
     """v, the rank from the seeds, and w, that from all hosts, one link further."""
-    moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.lit(0.0).alias("seed"), (F.col("v") * F.col("p")).alias("v"), (F.col("w") * F.col("p")).alias("w"))
-    return start.unionByName(moved).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("seed", "v", "w")])
+    moved = scores.join(steps, ["kind", "host"]).select("kind", F.col("to").alias("host"), F.lit(0.0).alias("seed"), (F.col("v") * F.col("p")).alias("dv"), (F.col("w") * F.col("p")).alias("dw"))
+    own = start.select("kind", "host", "seed", F.lit(0.0).alias("dv"), F.lit(0.0).alias("dw"))
+    total = own.unionByName(moved).groupBy("kind", "host").agg(*[F.sum(c).alias(c) for c in ("seed", "dv", "dw")])
+    more = lambda first, c: (first + (1 - F.col("seed")) * F.col(c))
+    return total.select("kind", "host", "seed", more(F.col("seed"), "dv").alias("v"), more(F.lit(1.0), "dw").alias("w"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:

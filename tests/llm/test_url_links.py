@@ -17,10 +17,10 @@ def brute_shares(edges, seeds, damping=0.85):
         m = np.zeros((len(hosts), len(hosts)))
         for e in edges:
             m[at[e[end]], at[e[start]]] += e[2]
-        m = damping * m / np.maximum(m.sum(0), 1)
         seed = np.array([seeds.get(h, (0, 0))[k] for h in hosts])
+        m = (1 - seed)[:, None] * damping * m / np.maximum(m.sum(0), 1)
         some, every = (np.linalg.solve(np.eye(len(hosts)) - m, x) for x in (seed, np.ones(len(hosts))))
-        share = np.where(every > 1 + 1e-12, (some - seed) / np.maximum(every - 1, 1e-12), 0)
+        share = np.where(every > 1 + 1e-9, (some - seed) / np.maximum(every - 1, 1e-9), 0)
         out[k] = seed + (1 - seed) * share
     return {h: (out[0][at[h]], out[1][at[h]]) for h in hosts}
 
@@ -44,7 +44,7 @@ def test_a_planted_graph_is_judged_as_by_hand(spark):
         links += [(f"farm{i}.com", "bad.net"), (f"farm{i}.com", f"bad{i % 4}.net"), (f"fan{i}.com", "good.org"), ("good.org", f"fine{i}.com"), (f"fine{i}.com", f"fine{(i + 5) % 12}.com")]
     links += [("fine3.com", "bad.net"), ("third.com", "fine3.com"), ("good.org", "once.com"), ("once.com", "bad.net"), ("behind.com", "once.com")]
     r.shuffle(links)
-    target = lambda h: {"good.org": "good.org/fr/a", }.get(h, h + "/a")
+    target = lambda h: "good.org/fr/a" if h == "good.org" else h + "/a"
     pages = [(i, f"http://{target(a)}", f'<a href="http://{target(b)}">', "", 0.0) for i, (a, b) in enumerate(links)]
     counts = {}
     for a, b in links:

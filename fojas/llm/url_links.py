@@ -125,7 +125,8 @@ def _round(start: DataFrame, scores: DataFrame, steps: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, damping: float = 0.85, tolerance: float = TOLERANCE) -> DataFrame:
     """(page_id, url, html) to (page_id, host, path, rule, verdict, trust, distrust), a row for each row.
 
-    A null url, or one without ://, has neither host nor path and is allowed, as is a host that nothing
+    A url that no rule fits is blocked where its host's distrust is ``least`` at least and more than its trust, by more
+    than the ranks' ``tolerance``. A null url, or one without ://, has neither host nor path and is allowed, as is a host that nothing
     is known of. Null and empty html has no links. Links of repeated pages count each time. An empty table
     gives no rows. Of rules equally long the later by name wins; rules are few and part of the plan. Other columns
     are not read.
@@ -137,6 +138,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], least: float = 0.5, da
     seeds = host_seeds(pages.select("url", "html"), rules)
     scores = host_ranks(host_edges(pages.select("url", "html")), seeds, damping, tolerance)
     found = rows.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= least)
+    bad = (F.col("distrust") > F.col("trust") + tolerance) & (F.col("distrust") >= least - tolerance)
     verdict = F.coalesce("action", F.when(bad, "block").otherwise("allow"))
     return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

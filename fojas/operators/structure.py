@@ -2,7 +2,7 @@
 
 Windows are keyed by content hash. One content hash is one landed file, read as one value of one
 row, so such a group is bounded by a file and never grows with the corpus; copies of a file share
-the hash and must be landed once (see ``sources.files.store_new``).
+the hash and must be landed once (see ``sources.store``).
 """
 
 from __future__ import annotations

@@ -89,6 +89,14 @@ def usage_parts(priced_attempts: DataFrame, keys: tuple[str, ...] = ("exchange_i
     )
 
 
+def combined(parts: DataFrame, keys: tuple[str, ...] = ("exchange_id", "stage")) -> DataFrame:
+    """Partial sums of several batches as one row per key and model."""
+    return parts.groupBy(*keys, "model").agg(
+        *[F.sum(c).alias(c) for c in ("requests", *TOKENS, "cost", "unknown", "unmetered_requests")],
+        F.max("unpriced").alias("unpriced"), F.min("first_seq").alias("first_seq"),
+    )
+
+
 def roll_up(parts: DataFrame, keys: tuple[str, ...] = ("exchange_id", "stage")) -> DataFrame:
     """Stage totals from partial sums; the model lists hold distinct models, first seen first."""
 

@@ -59,10 +59,10 @@ u AS (
 USAGE_ROWS = "SELECT u.*, m.models, coalesce(m.up, '') AS unpriced FROM u JOIN m USING (exchange_id, stage)"
 
 
-def usage_rows(usage):
+def usage_rows(usage, places=6, *more):
     return usage.select(
-        "exchange_id", "stage", "requests", "input_tokens", F.col("cache_read_input_tokens").alias("cache_read"), "output_tokens",
-        F.round("cost_usd", 6).alias("cost_usd"), F.array_join("models", ",").alias("models"), F.array_join("unpriced_models", ",").alias("unpriced"),
+        *more, "exchange_id", "stage", "requests", "input_tokens", F.col("cache_read_input_tokens").alias("cache_read"), "output_tokens",
+        F.round("cost_usd", places).alias("cost_usd"), F.array_join("models", ",").alias("models"), F.array_join("unpriced_models", ",").alias("unpriced"),
     )
 
 

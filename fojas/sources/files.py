@@ -1,4 +1,4 @@
-"""Landed files, their content versions, and the store and manifest that keep them."""
+"""Landed files and their content versions against a manifest; ``sources.store`` keeps both."""
 
 from __future__ import annotations
 
@@ -53,23 +53,6 @@ def fetch_totals(statuses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def store_new(files: DataFrame, stored: DataFrame | None, root: str) -> DataFrame:
-    """Append content versions the store does not hold; older versions stay. Returns what was added.
-
-    Copies of one version landing together are stored once.
-    """
-    good = files.filter(F.col("error").isNull()).select("part", "sha256", "content")
-    if stored is not None:
-        good = good.join(stored.select("part", "sha256"), ["part", "sha256"], "left_anti")
-    added = good.dropDuplicates(["part", "sha256"])
-    added.write.mode("append").partitionBy("part").parquet(root)
-    return added
-
-
-def read_store(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema("sha256 STRING, content BINARY, part STRING").parquet(root)
-
-
 def latest(manifest: DataFrame, stored: DataFrame) -> DataFrame:
     """Newest stored version per part; fails when content no longer matches its hash.
 

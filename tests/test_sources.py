@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fojas import fixed, schemas
-from fojas.sources import cases as C
+from fojas.sources import cases as C, store
 from fojas.sources import files, listings, prices
 
 LINK = fixed.SHARE_HOST + "/index.php/s/abc"
@@ -92,10 +92,9 @@ def test_store_manifest_and_cache(spark, tmp_path):
     (land / "67.pdf").write_bytes(b"<html>")
     scanned = files.scan_files(spark, str(land))
     assert {r["part"]: r["error"] for r in scanned.collect()} == {"61": None, "67": "not a PDF"}
-    store = str(tmp_path / "store")
-    files.store_new(scanned, None, store)
-    stored = files.read_store(spark, store)
-    assert files.store_new(scanned, stored, store).count() == 0
+    root = str(tmp_path / "store")
+    store.commit(scanned.withColumn("title", F.lit("t")).withColumn("share_url", F.lit("u")), root, "f1", dt.datetime(2026, 1, 1))
+    stored = store.contents(spark, root)
     fetched = scanned.filter("error IS NULL").select("part", F.lit("t").alias("title"), F.lit("u").alias("share_url"), "sha256")
     empty = spark.createDataFrame([], "part STRING, title STRING, share_url STRING, sha256 STRING, fetched_at TIMESTAMP")
     now, later = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)
@@ -108,9 +107,9 @@ def test_store_manifest_and_cache(spark, tmp_path):
     assert [r["status"] for r in files.with_status(changed, manifest).collect()] == ["changed"]
     assert files.next_manifest(changed, manifest, later).collect()[0]["fetched_at"] == later
     assert files.fetch_totals(files.with_status(fetched, manifest)).collect()[0].asDict() == {"total": 1, "new": 0, "changed": 0, "unchanged": 1}
-    newest = files.latest(manifest, files.read_store(spark, store))
+    newest = files.latest(manifest, stored)
     assert [r["part"] for r in newest.collect()] == ["61"]
-    broken = files.read_store(spark, store).withColumn("content", F.lit(b"zz"))
+    broken = stored.withColumn("content", F.lit(b"zz"))
     with pytest.raises(Exception, match="does not match"):
         files.latest(manifest, broken).collect()
     asked = spark.createDataFrame([("61", True), ("99", False)], "part STRING, offline BOOLEAN")

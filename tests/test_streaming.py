@@ -105,6 +105,41 @@ def test_streamed_usage_equals_batch(spark, tmp_path):
     assert key(metering.read_usage(spark, root)) == key(batch)
 
 
+def test_takes_cut_between_batches(spark, tmp_path):
+    prices = spark.createDataFrame(PRICES, schemas.PRICES)
+    src, root = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def feed(rows):
+        for row in rows:
+            spark.createDataFrame([row], schemas.ATTEMPTS).coalesce(1).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(schemas.ATTEMPTS).option("maxFilesPerTrigger", 1).parquet(src)
+        metering.start(stream, prices, root).awaitTermination()
+
+    def rows_of(usage):
+        return sorted((r.exchange_id, r.stage, r.requests, r.output_tokens, r.cost_usd and round(r.cost_usd, 9), tuple(r.models)) for r in usage.collect())
+
+    whole = lambda rows: rows_of(U.stage_usage(spark.createDataFrame(rows, schemas.ATTEMPTS), prices))
+    assert metering.take(spark, root, "none").count() == 0 and metering.fold(spark, root) == metering.NONE
+    feed(ATTEMPTS[:2])
+    assert rows_of(metering.read_usage(spark, root)) == whole(ATTEMPTS[:2])
+    assert rows_of(metering.take(spark, root, "one")) == whole(ATTEMPTS[:2])
+    assert metering.read_usage(spark, root).count() == 0
+    feed(ATTEMPTS[2:4])
+    # a batch and a fold that were cut short count for nothing
+    half = spark.createDataFrame(ATTEMPTS[:1], schemas.ATTEMPTS)
+    parts = U.usage_parts(U.priced(half, prices))
+    parts.write.parquet(f"{root}/parts/batch=99")
+    parts.write.parquet(f"{root}/folds/upto=3")
+    assert rows_of(metering.read_usage(spark, root)) == whole(ATTEMPTS[2:4])
+    assert metering.fold(spark, root) == 3 == metering.fold(spark, root)
+    feed(ATTEMPTS[4:])
+    assert rows_of(metering.read_usage(spark, root)) == whole(ATTEMPTS[2:])
+    assert rows_of(metering.read_usage(spark, root, since_take=False)) == whole(ATTEMPTS)
+    assert rows_of(metering.take(spark, root, "two")) == whole(ATTEMPTS[2:])
+    assert rows_of(metering.take(spark, root, "one")) == whole(ATTEMPTS[:2])  # asked again: the same
+    assert metering.take(spark, root, "three").count() == 0
+
+
 def test_usage_rules(spark):
     prices = spark.createDataFrame(PRICES, schemas.PRICES)
     usage = U.stage_usage(spark.createDataFrame(ATTEMPTS, schemas.ATTEMPTS), prices)

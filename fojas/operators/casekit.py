@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from fojas import fixed
 from fojas.functions import text as T
 
+GRAM_KEYS = 16  # keys of the join over which the sections that hold one n-gram are dealt
+
 
 def eligible(title: Column, text: Column) -> Column:
     """A section that states a rule: not reserved or repealed, and long enough."""
@@ -44,24 +46,21 @@ def copy_reason(question: Column, text: Column) -> Column:
 def shared_wording(questions: DataFrame, sections: DataFrame) -> DataFrame:
     """(question_id, section_id, shared): pairs with a common n-gram, when questions come unpaired.
 
-    N-grams travel as 64-bit hashes; a pair counts only after its n-grams were compared as text, so a
-    hash collision never makes a match.
+    Rows meet by the hash of an n-gram and are compared by its text, which they carry, so no text is fetched again
+    and a collision never makes a match. A section deals all its n-grams to one of ``GRAM_KEYS`` keys of each hash,
+    questions go to all of them, so wording that half the sections hold is no hot key. Texts that are null or shorter
+    than an n-gram share nothing; ids are unique.
     """
 
     def grams(df: DataFrame, key: str) -> DataFrame:
-        g = T.ngrams(T.words(F.col("text")), fixed.COPY_NGRAM)
-        hashed = F.array_distinct(F.transform(g, lambda x: F.xxhash64(x)))
-        return df.select(key, F.explode(hashed).alias("gram"))
-
-    pairs = (
-        grams(sections, "section_id").join(grams(questions, "question_id"), "gram")
-        .groupBy("section_id", "question_id").agg(F.count(F.lit(1)).alias("hits"))
-    )
-    both = pairs.join(questions.select("question_id", F.col("text").alias("q")), "question_id").join(
-        sections.select("section_id", F.col("text").alias("t")), "section_id"
-    )
-    common = F.array_intersect(T.ngrams(T.words(F.col("q")), fixed.COPY_NGRAM), T.ngrams(T.words(F.col("t")), fixed.COPY_NGRAM))
-    return both.select("question_id", "section_id", F.size(common).alias("shared")).filter("shared > 0")
+        rows = df.select(key, F.explode(F.array_distinct(T.ngrams(T.words(F.col("text")), fixed.COPY_NGRAM))).alias("gram"))
+        return rows.withColumn("h", F.xxhash64("gram"))
+
+    dealt = grams(sections, "section_id").withColumn("deal", F.pmod(F.xxhash64("section_id"), F.lit(GRAM_KEYS)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(GRAM_KEYS - 1).cast("bigint"))
+    asked = grams(questions, "question_id").withColumnRenamed("gram", "asked").withColumn("deal", F.explode(every))
+    hits = dealt.join(asked, ["h", "deal"]).filter(F.col("gram") == F.col("asked"))
+    return hits.groupBy("question_id", "section_id").agg(F.count(F.lit(1)).cast("int").alias("shared"))
 
 
 def parsed_candidates(responses: DataFrame) -> DataFrame:

@@ -70,28 +70,41 @@ def answer_requests(corpus: dict[str, DataFrame], questions: DataFrame, sections
     return Q.answer_requests(questions, blocks, model, system)
 
 
-def answers(corpus: dict[str, DataFrame], responses: DataFrame, sections: DataFrame, definitions: DataFrame, urls: DataFrame) -> DataFrame:
-    """Raw responses (answer_id, raw) to answers, cited to the corpus they were written from."""
+def answers(
+    corpus: dict[str, DataFrame], responses: DataFrame, sections: DataFrame, definitions: DataFrame, urls: DataFrame, asked: DataFrame | None = None
+) -> DataFrame:
+    """Raw responses (answer_id, raw) to answers, cited to the corpus they were written from.
+
+    With ``asked`` (question_id), questions for which no section was retrieved are answers too: refused without
+    a model, whatever a response to them says.
+    """
     documents = RT.prompt_documents(sections, definitions, corpus["sections"], corpus["definitions"], corpus["references"], urls)
-    return G.ground(G.parse_responses(responses), documents)
+    rows = G.ground(G.parse_responses(responses), documents)
+    if asked is None:
+        return rows
+    shown = sections.select(F.col("question_id").alias("answer_id"), F.lit(None).cast("string").alias("term"))
+    refused = G.unanswerable(asked.select(F.col("question_id").alias("answer_id")).distinct(), shown)
+    kinds = {f.name: f.dataType for f in rows.schema.fields if f.name not in refused.columns}
+    empty = {c: F.array() if k.typeName() == "array" else F.lit(False if c == "incomplete" else None) for c, k in kinds.items()}
+    blank = refused.select("*", *[v.cast(kinds[c]).alias(c) for c, v in empty.items()])
+    return rows.join(refused, "answer_id", "left_anti").unionByName(blank)
 
 
 def evaluate(
-    cases: DataFrame, sections: DataFrame, definitions: DataFrame, answer_rows: DataFrame, judgements: DataFrame | None = None,
+    cases: DataFrame, sections: DataFrame, definitions: DataFrame, answer_rows: DataFrame | None, judgements: DataFrame | None = None,
     stage: str = "full", errors: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Case results and the run's rates. Question ids are case ids.
 
-    Grounding errors, a missing answer where answers were run and, when given, pipeline errors (case_id,
-    error) make a case fail; a failed judge call does not.
+    Pipeline errors (case_id, error), when given, or else a grounding error or a missing answer where answers
+    were run make a case fail; a failed judge call does not. Without answers (``stage`` retrieval) none are needed.
     """
-    failed = answer_rows.filter(F.col("error").isNotNull()).select(F.col("answer_id").alias("case_id"), "error")
+    failed = cases.sparkSession.createDataFrame([], "case_id STRING, error STRING") if errors is None else errors.select("case_id", "error")
     if stage != "retrieval":
-        answered = answer_rows.select(F.col("answer_id").alias("id"))
-        silent = cases.join(answered, "id", "left_anti").select(F.col("id").alias("case_id"), F.lit("no answer").alias("error"))
-        failed = failed.unionByName(silent)
-    if errors is not None:
-        failed = failed.unionByName(errors.select("case_id", "error"))
+        unsaid = cases.select(F.col("id").alias("case_id")).join(failed, "case_id", "left_anti")
+        said = answer_rows.select(F.col("answer_id").alias("case_id"), F.coalesce("error", F.lit("")).alias("error"))
+        outcome = unsaid.join(said, "case_id", "left").withColumn("error", F.coalesce("error", F.lit("no answer")))
+        failed = failed.unionByName(outcome.filter("error <> ''"))
     failed = failed.groupBy("case_id").agg(F.min("error").alias("error"))
     renamed = lambda df: df.select(F.col("question_id").alias("case_id"), "part", "section")
     retrieval = SC.retrieval_scores(cases, SC.retrieved_refs(renamed(sections), renamed(definitions))) if stage != "answer" else None

@@ -1,4 +1,4 @@
-from fojas.queries import corpus, editions, evaluation, grounding, retrieval, stores  # noqa: F401
+from fojas.queries import corpus, editions, evaluation, grounding, replay, retrieval, stores  # noqa: F401
 from fojas.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,9 +2,12 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from fojas import fixed, schemas
 from fojas.operators import render as RN
 from fojas.plans import jobs as J
+from fojas.plans import replay as RP
 from test_structure import FOOT, blocks_of
 
 MARK = fixed.CORPUS
@@ -51,14 +54,36 @@ def test_pages_to_scores(spark, tmp_path):
     assert results.first()["grounding"] == 0.5
     r = rates.first()
     assert (r["retrieval_recall_mean"], r["grounded_rate"], r["dropped_claims"], r["correctness_mean"]) == (1.0, 0.0, 1, 1.0)
+    check_modes(spark, tmp_path, corpus, routes, events, responses, urls)
 
 
-def test_run_report_round_trip(spark, tmp_path):
-    from pyspark.sql import functions as F
+def check_modes(spark, tmp_path, corpus, routes, events, responses, urls):
+    """A run in one go scores as retrieval alone and answers over its recording do; a question that found nothing is refused."""
+    refs = "ARRAY<STRUCT<part: STRING, section: STRING>>"
+    asked = [("q", "¿De noche?", False, [("61", "61.001")]), ("s", "¿Y el mar?", True, []), ("t", "¿Y la luna?", False, [("61", "61.001")])]
+    cases = spark.createDataFrame(asked, f"id STRING, question STRING, out_of_scope BOOLEAN, expected {refs}")
+    columns = ["case_id", "error", "retrieval_recall", "grounding", "refusal_correct", "n_dropped"]
+    scores = lambda run: {r.case_id: tuple(r)[1:] for r in run[0].select(*columns).collect()}
+    run = lambda stage, **more: scores(RP.run(corpus, cases, str(tmp_path / stage), stage, **more))
+    full = run("full", responses=responses, urls=urls, routes=routes, events=events)
+    assert full == {"q": (None, 1.0, 0.5, True, 1), "s": (None, None, None, True, 0), "t": (None, 0.0, None, False, 0)}
+    alone = run("retrieval", routes=routes, events=events)
+    assert alone == {k: (*v[:2], None, None, None) for k, v in full.items()}
+    shapes = dict(f.split(": ", 1) for f in ("retrieved_secciones: ARRAY<STRUCT<parte: STRING, seccion: STRING>>", "definiciones: ARRAY<STRUCT<parte: STRING, seccion: STRING, term: STRING>>"))
+    rows = [("q", "¿De noche?", None, [("61", "61.001")], [("1", "1.11", "Vuelo nocturno"), ("1", "1.11", "Noche")]), ("s", "¿Y el mar?", None, [], []), ("t", "¿Y la luna?", None, [], [])]
+    recorded = spark.createDataFrame(rows, "id STRING, question STRING, error STRING, " + ", ".join(f"{k} {v}" for k, v in shapes.items()))
+    loaded = corpus["parts"].select("part", "content_hash")
+    replay = dict(responses=responses, urls=urls, recorded=recorded)
+    assert run("answer", recorded_versions=loaded, **replay) == {k: (v[0], None, *v[2:]) for k, v in full.items()}
+    moved = run("answer", recorded_versions=loaded.withColumn("content_hash", F.concat("content_hash", F.lit("x"))), **replay)
+    assert moved["q"][0].startswith("part loaded in another version") and moved["s"][0] is None
+    unanswered = run("answer", recorded_versions=loaded, responses=responses.limit(0), urls=urls, recorded=recorded)
+    assert unanswered["q"][0] == "no answer" and unanswered["s"] == (None, None, None, True, 0)
 
+
+def test_run_report_round_trip(spark, tmp_path):
     from fojas.operators import scoring as SC
     from fojas.operators import usage as U
-    from fojas.plans import jobs as J
     from fojas.sources import cases as C
 
     refs = "ARRAY<STRUCT<part: STRING, section: STRING>>"

@@ -5,8 +5,8 @@ whatever order they arrive in: those after a gap wait for it. Every block taken
 answer; the batch grounding runs on each state, and a sentence is emitted in the first state that shows
 it complete. A stop carries the number of blocks, and an answer ends when all of them are there. Open
 answers live in a written table per batch in the shared folder, so a lost executor recomputes a batch
-from files, and a restarted batch overwrites its own output. Ended answers are remembered there for
-``REMEMBERED_BATCHES`` batches without their content, so what is delivered again meanwhile does nothing.
+from files, and a restarted batch overwrites its own output. Of answers that ended the ids are kept there for
+good, in a table each batch adds its own to, so what is delivered again, however late, does nothing.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fojas import fixed, schemas
 from fojas.operators import grounding as G
+from fojas.sources.tables import read_or_empty, replaced
 
 BLOCK = f"type: STRING, text: STRING, citations: ARRAY<STRUCT<{schemas.RAW_CITATION}>>"
 BLOCK_EVENTS = f"answer_id STRING, seq INT, event STRING, block STRUCT<{BLOCK}>"
 OPEN_ANSWERS = (
     f"answer_id STRING, content ARRAY<STRUCT<seq: INT, block: STRUCT<{BLOCK}>>>, seen INT, stop_at INT, emitted_end INT,"
-    " emitted INT, ended_in LONG"
+    " emitted INT"
 )
-REMEMBERED_BATCHES = 1000
+ENDED = "answer_id STRING"
 
 
 def complete_sentences(open_answers: DataFrame, documents: DataFrame) -> DataFrame:
@@ -64,7 +65,7 @@ def _merged(batch: DataFrame, open_before: DataFrame) -> DataFrame:
     """Answers after a batch: all blocks by number, how many are ready (no gap before them), how many were
     handled before, and whether the answer ends now.
 
-    A block delivered twice is kept once; anything of an ended answer is left out.
+    A block delivered twice is kept once. ``batch`` holds nothing of answers that ended before.
     """
     arrived = batch.groupBy("answer_id").agg(
         F.collect_list(F.when(F.col("event") == "block", F.struct("seq", "block"))).alias("arrived"),
@@ -80,12 +81,11 @@ def _merged(batch: DataFrame, open_before: DataFrame) -> DataFrame:
     both = both.withColumn("content", F.filter(F.transform(F.arrays_zip(F.col("all").alias("x"), before.alias("p")), lambda z: F.when(z["x"]["seq"] != z["p"], z["x"])), lambda x: x.isNotNull()))
     both = both.withColumn("ready", F.size(F.filter(F.transform("content", lambda x, i: x["seq"] == i), lambda same: same)))
     stop_at = F.coalesce("stop_at", "stop_now")
-    ended_before, failed = F.col("ended_in").isNotNull(), F.coalesce("failed", F.lit(False)) & F.col("ended_in").isNull()
+    failed = F.coalesce("failed", F.lit(False))
     return both.select(
-        "answer_id", F.when(ended_before, none).otherwise(F.col("content")).alias("content"), F.when(ended_before, 0).otherwise(F.col("ready")).alias("ready"),
-        F.coalesce("seen", F.lit(0)).alias("seen"), stop_at.alias("stop_at"), F.coalesce("emitted_end", F.lit(0)).alias("emitted_end"),
-        F.coalesce("emitted", F.lit(0)).alias("emitted"), (~ended_before & ~failed & F.coalesce(F.col("ready") >= stop_at, F.lit(False))).alias("stopped"),
-        failed.alias("failed"), "ended_in",
+        "answer_id", "content", "ready", F.coalesce("seen", F.lit(0)).alias("seen"), stop_at.alias("stop_at"), F.coalesce("emitted_end", F.lit(0)).alias("emitted_end"),
+        F.coalesce("emitted", F.lit(0)).alias("emitted"), (~failed & F.coalesce(F.col("ready") >= stop_at, F.lit(False))).alias("stopped"),
+        failed.alias("failed"),
     )
 
 
@@ -129,9 +129,10 @@ def batch_writer(spark: SparkSession, documents: DataFrame, root: str) -> Callab
         else:
             open_before = spark.read.schema(OPEN_ANSWERS).parquet(f"{root}/open/{batch_id - 1:09d}")
         merged_path = f"{root}/merged/{batch_id:09d}"
-        _merged(batch, open_before).write.mode("overwrite").parquet(merged_path)
+        ended = read_or_empty(spark, f"{root}/ended", f"{ENDED}, batch BIGINT").filter(F.col("batch") < batch_id)
+        _merged(batch.join(ended, "answer_id", "left_anti"), open_before).write.mode("overwrite").parquet(merged_path)
         merged = spark.read.parquet(merged_path)  # a written table cuts the lineage and feeds all uses
-        moved = merged.filter("ended_in IS NULL AND (ready > seen OR stopped)")
+        moved = merged.filter("ready > seen OR stopped")
         own = documents.join(moved.select("answer_id"), "answer_id", "left_semi")  # of this batch's answers only
         states = moved.select("answer_id", F.slice(F.col("content.block"), F.lit(1), F.col("ready")).alias("content"), "seen", "emitted_end")
         emitted = complete_sentences(states, own)
@@ -140,13 +141,11 @@ def batch_writer(spark: SparkSession, documents: DataFrame, root: str) -> Callab
         sent = spark.read.parquet(events_path).groupBy("answer_id").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max("end").alias("reached")
         )
-        ended_in = F.coalesce("ended_in", F.when(F.col("stopped") | F.col("failed"), F.lit(batch_id).cast("long")))
-        after = merged.join(sent, "answer_id", "left").withColumn("ended_in", ended_in)
-        after = after.filter(F.col("ended_in").isNull() | (F.col("ended_in") > batch_id - REMEMBERED_BATCHES))
-        none = F.array().cast(open_before.schema["content"].dataType)
+        replaced(merged.filter("stopped OR failed").select("answer_id"), f"{root}/ended/batch={batch_id}", ENDED)
+        after = merged.filter("NOT (stopped OR failed)").join(sent, "answer_id", "left")
         after.select(
-            "answer_id", F.when(F.col("ended_in").isNull(), F.col("content")).otherwise(none).alias("content"), F.col("ready").alias("seen"), "stop_at",
-            F.greatest("emitted_end", F.coalesce("reached", F.lit(0))).alias("emitted_end"), (F.col("emitted") + F.coalesce("n", F.lit(0))).alias("emitted"), "ended_in",
+            "answer_id", "content", F.col("ready").alias("seen"), "stop_at",
+            F.greatest("emitted_end", F.coalesce("reached", F.lit(0))).alias("emitted_end"), (F.col("emitted") + F.coalesce("n", F.lit(0))).alias("emitted"),
         ).write.mode("overwrite").parquet(f"{root}/open/{batch_id:09d}")
 
     return step

@@ -13,7 +13,8 @@ pair is over the threshold about once in 8,000 times, and more similar ones far
 No group's pairs are enumerated. Texts with equal sets are one class. In each key's bucket members are
 first compared with one leader, twice with different leaders, and joined into components; then only
 members of different components are compared, each member outside the bucket's largest component with
-the others. Links inside a component cannot change it.
+the others. Links inside a component cannot change it. Members outside are held in blocks of bounded size, and
+the members that pass a block are dealt over several tasks, so a bucket of any size fits.
 """
 
 from __future__ import annotations
@@ -41,6 +42,11 @@ SIG = [f"s{i}" for i in range(POSITIONS // 8)]
 FINE = 1024
 FINE_ERRORS = 141
 FINE_COLUMNS = [f"t{i}" for i in range(FINE // 64)]
+#: Members of a bucket that a task holds, and about how many it lets pass them.
+HELD = 8192
+PASSING = 65536
+#: Shingles whose fine minima are taken in one step.
+STRETCH = 16384
 _FINE_FACTORS = _RNG.integers(1, 2**63, FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -222,7 +228,10 @@ def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros((len(sets), FINE), np.uint8)
         for d, own in enumerate(sets):
             for j in range(0, FINE, 64):
-                bits[d, j : j + 64] = (own[:, None] * _FINE_FACTORS[None, j : j + 64]).min(axis=0) >> np.uint64(7) & np.uint64(1)
+                least = np.full(64, np.iinfo(np.uint64).max)
+                for i in range(0, len(own), STRETCH):
+                    np.minimum(least, (own[i : i + STRETCH, None] * _FINE_FACTORS[None, j : j + 64]).min(axis=0), out=least)
+                bits[d, j : j + 64] = least >> np.uint64(7) & np.uint64(1)
         longs = np.packbits(bits, axis=1).view(np.int64)
         yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(np.ascontiguousarray(longs[:, i])) for i in range(FINE // 64))], names=["id", *FINE_COLUMNS])
 
@@ -264,37 +273,57 @@ def _compare(max_errors: int, masks):
         kept[m, list(places)] = 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, strays = None, []
+        group, held = None, []
         for batch in batches:
-            keys, outside = _columns(batch, ["key"]), _columns(batch, ["outside"])
-            turn = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (outside[1:] != outside[:-1])))) if len(keys) else []
-            for at, to in zip(turn, [*turn[1:], len(keys)]):
-                if keys[at] != key:
-                    key, strays = keys[at], []
+            groups, holds = _columns(batch, ["key", "block", "deal"]), _columns(batch, ["held"])
+            turns = (groups[1:] != groups[:-1]).any(axis=1) | (holds[1:] != holds[:-1])
+            turn = np.flatnonzero(np.concatenate(([True], turns))) if len(groups) else []
+            for at, to in zip(turn, [*turn[1:], len(groups)]):
+                if group is None or (groups[at] != group).any():
+                    group, held = groups[at], []
                 part = _Members(batch.slice(at, to - at))
-                for x in strays:
-                    yield from _near(x, part, max_errors, kept, False)
-                if outside[at]:
-                    yield from _near(part, part, max_errors, kept, True)
-                    strays.append(part)
+                if not holds[at] or not group[2]:  # what is held meets itself in one of its tasks
+                    for x in held:
+                        yield from _near(x, part, max_errors, kept, False)
+                if holds[at]:
+                    if not group[2]:
+                        yield from _near(part, part, max_errors, kept, True)
+                    held.append(part)
 
     return run
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, rep, outside, n_outside, n_members) to those of each task (key, block, deal): members outside the
+    largest component are held in one block by all its deals, and pass the later blocks, in one deal each, as the
+    other members pass all blocks. With few members that is one task."""
+    blocks, deals = (F.ceil(F.col(n) / size).cast("int") for n, size in (("n_outside", HELD), ("n_members", PASSING)))
+    own = F.when(F.col("outside"), F.pmod(F.xxhash64("rep"), blocks)).otherwise(F.lit(-1)).cast("int")
+    one = F.pmod(F.xxhash64("rep", F.lit(1)), deals).cast("int")
+    rows = rows.withColumn("own", own).withColumn("one", one).withColumn("deals", deals)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.greatest("own", F.lit(0)), blocks - 1)))
+    rows = rows.withColumn("held", F.col("block") == F.col("own"))
+    places = F.when(F.col("held"), F.sequence(F.lit(0), F.col("deals") - 1)).otherwise(F.array("one"))
+    return rows.withColumn("deal", F.explode(places)).drop("own", "one", "deals", "n_outside", "n_members", "outside")
+
+
 def _rest(members: DataFrame, sets: DataFrame, joined: DataFrame, max_errors: int, masks) -> DataFrame:
     """Near pairs of one bucket and different components: members outside its largest one with all others.
 
     Candidates get FINE more bits first, of which pairs over the similarity differ in few; so pairs that
-    are somewhat below it need no look at their sets. A pair is given by one of its buckets. Members of
-    the largest component stream past; a task holds the others of one bucket.
+    are somewhat below it need no look at their sets. A pair is given by one of its buckets.
     """
     rows = _labelled(members, joined)
     counts = rows.groupBy("key", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    rows = written(rows.join(main.select("key", "main"), "key"), "rows")
+    main = counts.groupBy("key").agg(
+        F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n_members"), F.max("n").alias("n_main")
+    )
+    main = main.filter("parts > 1").select("key", "main", "n_members", (F.col("n_members") - F.col("n_main")).alias("n_outside"))
+    rows = written(rows.join(main, "key"), "rows")
     wanted = sets.join(rows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     bits = wanted.mapInArrow(_bits, ", ".join(["id long", *(f"{c} long" for c in FINE_COLUMNS)])).dropDuplicates(["id"])
-    rows = rows.withColumn("outside", F.col("component") != F.col("main")).join(bits.withColumnRenamed("id", "rep"), "rep")
+    rows = _dealt(rows.withColumn("outside", F.col("component") != F.col("main")).drop("main")).join(bits.withColumnRenamed("id", "rep"), "rep")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_rows = rows.drop("main").repartition(n, "key").sortWithinPartitions("key", F.col("outside").desc())
+    task = ["key", "block", "deal"]
+    sorted_rows = rows.repartition(n, *task).sortWithinPartitions(*task, F.col("held").desc())
     return sorted_rows.mapInArrow(_compare(max_errors, masks), "a long, b long").distinct()

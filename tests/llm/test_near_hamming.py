@@ -48,3 +48,34 @@ def test_every_pair_under_the_threshold_shares_a_key():
 def test_masks_leave_out_the_allowed_errors():
     masks = N.index_masks(12, 3, 7)
     assert len(masks) == 3 * len(list(itertools.combinations(range(4), 2)))
+
+
+def test_blocks_and_deals_change_nothing(spark, rows, monkeypatch):
+    """Many members of a bucket that hardly link: held in blocks of three, passing in fives."""
+    more = rows + [(7000 + i, edited(prose(78, 200), 0.04, i), "en", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(more, DOCS)
+    want = near_components([(r[0], r[1]) for r in more], 5, 80)
+    seen = []
+    dealt = N._dealt
+    monkeypatch.setattr(N, "_dealt", lambda r: seen.append(dealt(r).cache()) or seen[-1])
+    monkeypatch.setattr(N, "HELD", 3)
+    monkeypatch.setattr(N, "PASSING", 5)
+    monkeypatch.setattr(N, "STRETCH", 7)
+    got = {r.id: (r.n_shingles, r.component_id) for r in N.near_duplicates(docs).collect() if r.id is not None}
+    assert got == want
+    most = seen[0].agg({"block": "max", "deal": "max"}).first()
+    assert most[0] > 1 and most[1] > 1
+
+
+def test_each_pair_of_a_bucket_meets_once(spark, monkeypatch):
+    monkeypatch.setattr(N, "HELD", 4)
+    monkeypatch.setattr(N, "PASSING", 6)
+    rows = [(1, i, i >= 9, 21, 30) for i in range(30)]  # nine in the largest component
+    dealt = N._dealt(spark.createDataFrame(rows, "key long, rep long, outside boolean, n_outside long, n_members long")).collect()
+    met = []
+    for task in {(r.block, r.deal) for r in dealt}:
+        own = [r for r in dealt if (r.block, r.deal) == task]
+        held, passing = [r.rep for r in own if r.held], [r.rep for r in own if not r.held]
+        met += [tuple(sorted(p)) for p in itertools.product(held, passing)]
+        met += [tuple(sorted(p)) for p in itertools.combinations(held, 2)] if task[1] == 0 else []
+    assert sorted(met) == [p for p in itertools.combinations(range(30), 2) if p[1] >= 9]

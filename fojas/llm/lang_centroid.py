@@ -4,7 +4,7 @@ A text is the vector of its character 1- to 3-grams (lower-cased letters, every
 blank), hashed to ``DIM`` buckets, weighted by TF-IDF and scaled to length one. Document frequencies
 count all training rows. Each language's centroids come from spherical k-means over a seeded sample of at
 most ``sample`` of its different texts. A text gets the language of the centroid with the largest cosine, and is
-rejected when it lies much farther from it than the sample's texts of its length.
+rejected when it lies much farther from it than the sample's texts, and stretches of them, of its length.
 """
 
 from __future__ import annotations
@@ -25,6 +25,12 @@ DIM = 4096
 BANDS = 24
 #: Sampled texts of a length that are needed to say how near such texts lie.
 ENOUGH = 20
+#: Of those the share that may lie farther off than the bound: a few junk rows of a sample don't set it.
+FARTHER = 0.02
+#: Texts of fewer grams (some ten letters) are not rejected by distance.
+FEWEST_GRAMS = 31
+#: Code points whose grams are counted in one step.
+STRETCH = 1 << 20
 _LETTERS: list[np.ndarray] = []
 
 
@@ -42,31 +48,48 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(texts: list[bytes]) -> np.ndarray:
-    """Counts (texts, DIM) of hashed n-grams; grams of blanks only, or across texts, are not counted."""
-    codes = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32) for t in texts]
-    sizes = np.array([len(c) + 2 for c in codes])
+    """Counts (texts, DIM) of hashed n-grams; grams of blanks only, or across texts, are not counted. Long texts are
+    worked off in stretches."""
+    short = [t if len(t) <= STRETCH else b"" for t in texts]
+    codes = [_codes(t.decode("utf-8", "replace")) for t in short]
     blank = np.full(1, 32, np.uint32)
     flat = np.concatenate([x for c in codes for x in (blank, c, blank)]) if codes else blank[:0]
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) + 2 for c in codes])
+    out = _counts(flat, rows, len(texts), len(flat))
+    for i, text in enumerate(texts):
+        if len(text) > STRETCH:
+            whole = f" {text.decode('utf-8', 'replace')} "
+            for at in range(0, len(whole), STRETCH):  # two more code points finish the grams that begin here
+                some = _codes(whole[at : at + STRETCH + 2])
+                out[i] += _counts(some, np.zeros(len(some), np.int32), 1, STRETCH)[0]
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def _counts(flat: np.ndarray, rows: np.ndarray, n_rows: int, starts: int) -> np.ndarray:
+    """Counts of the grams that begin at the first ``starts`` places of ``flat``, by row."""
     flat = _letters()[np.minimum(flat, 0x10FFFF)].astype(np.uint32)
-    rows = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     letter = flat != 32
-    out = np.zeros(len(texts) * DIM, np.float32)
+    out = np.zeros(n_rows * DIM, np.float32)
     a = flat * np.uint32(0x9E3779B1)
     for n in (1, 2, 3):
-        m = len(flat) - n + 1
+        m = min(len(flat) - n + 1, starts)
         if m <= 0:
             break
         if n == 1:
-            h, keep = a.copy(), letter
+            h, keep = a[:m].copy(), letter[:m]
         elif n == 2:
-            h, keep = a[:m] * np.uint32(31) + a[1:], letter[:m] | letter[1:]
+            h, keep = a[:m] * np.uint32(31) + a[1 : m + 1], letter[:m] | letter[1 : m + 1]
         else:
-            h, keep = a[:m] * np.uint32(961) + a[1 : m + 1] * np.uint32(31) + a[2:], letter[1 : m + 1]
+            h, keep = a[:m] * np.uint32(961) + a[1 : m + 1] * np.uint32(31) + a[2 : m + 2], letter[1 : m + 1]
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B + 2 * n)
-        keep = keep & (rows[:m] == rows[n - 1 :])
+        keep = keep & (rows[:m] == rows[n - 1 : n - 1 + m])
         cell = rows[:m][keep].astype(np.int64) * DIM + (h[keep] >> np.uint32(20))
         out += np.bincount(cell, minlength=len(out)).astype(np.float32)
-    return out.reshape(len(texts), DIM)
+    return out.reshape(n_rows, DIM)
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -103,27 +126,51 @@ def _k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
 
 
+def _nearness(texts: list[bytes], idf: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Length band of each text and its cosine with the nearest centroid."""
+    bands, cosines = [np.zeros(0, int)], [np.zeros(0)]
+    for i in range(0, len(texts), 100):
+        counts = gram_counts(texts[i : i + 100])
+        bands.append(band(counts))
+        cosines.append((vectors(counts, idf) @ centroids.T).max(axis=1))
+    return np.concatenate(bands), np.concatenate(cosines)
+
+
+def _bounds(texts: list[str], idf: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """By length band the cosine that nearly all sampled texts of that length reach, those of longer texts by their
+    middle; infinite where there are not enough."""
+    near: list[list[np.ndarray]] = [[] for _ in range(BANDS)]
+    longest = max(map(len, texts))
+    for size in (longest, *(1 << j for j in range(3, longest.bit_length()))):
+        now = texts if size == longest else [t[(len(t) - size) // 2 :][:size] for t in texts if len(t) > size]
+        own, cosine = _nearness([t.encode("utf-8", "replace") for t in now], idf, centroids)
+        for b in np.unique(own):
+            near[b].append(cosine[own == b])
+    together = [np.concatenate(x) if x else np.zeros(0) for x in near]
+    return np.array([np.quantile(x, FARTHER) if len(x) >= ENOUGH else np.inf for x in together])
+
+
 def _fit(idf: np.ndarray, k: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        counts = np.concatenate([gram_counts([t.encode("utf-8", "replace") for t in rows.text[i : i + 100]]) for i in range(0, len(rows), 100)])
-        x = vectors(counts, idf)
-        c = _k_means(x, k)
-        least = np.full(BANDS, np.inf)
-        np.minimum.at(least, band(counts), (x @ c.T).max(axis=1))
-        least[np.bincount(band(counts), minlength=BANDS) < ENOUGH] = np.inf
+        texts = rows.text.tolist()
+        counts = np.concatenate([gram_counts([t.encode("utf-8", "replace") for t in texts[i : i + 100]]) for i in range(0, len(texts), 100)])
+        c = _k_means(vectors(counts, idf), k)
+        least = _bounds(texts, idf, c) if len(texts) >= ENOUGH else np.full(BANDS, np.inf)
         return pd.DataFrame({"lang": key[0], "centroid": [v.tolist() for v in c], "least": [least.tolist()] * len(c)})
 
     return run
 
 
 class Model:
-    """Weights, and for each centroid its language and the least cosine of sampled texts by length; lengths
-    of which the sample has too few have that of the nearest shorter ones, since longer texts come nearer."""
+    """Weights, and for each centroid its language and the bound of cosines by length. Lengths of which the sample
+    has too few have that of the nearest shorter ones, since longer texts come nearer; a language with too few
+    texts has the lowest bound of all others."""
 
     def __init__(self, idf: np.ndarray, langs: list[str], centroids: np.ndarray, least: np.ndarray):
         self.idf, self.langs, self.centroids, self.least = idf, langs, centroids, least.copy()
         for b in range(1, BANDS):
             self.least[:, b] = np.where(np.isfinite(self.least[:, b]), self.least[:, b], self.least[:, b - 1])
+        self.least = np.where(np.isfinite(self.least), self.least, self.least.min(axis=0, initial=np.inf))
 
 
 def train(docs: DataFrame, seed: int = 1, per_language: int = 400, centroids: int = 4) -> Model:
@@ -174,7 +221,8 @@ def judge(model: Model, texts: list[bytes], margin: float) -> tuple[list[str], n
     score = np.where(known, np.clip(cosine[np.arange(n), best], 0, 1), 0).astype(float)
     lang = np.where(known, np.array(model.langs, object)[best], "und")
     bound = model.least[best, band(counts)]
-    return lang.tolist(), score, ~known | (score < margin * np.where(np.isfinite(bound), bound, 0))
+    judged = np.isfinite(bound) & (counts.sum(axis=1) >= FEWEST_GRAMS)
+    return lang.tolist(), score, ~known | (judged & (score < margin * np.where(judged, bound, 0)))
 
 
 def _predict(model, margin: float):
@@ -200,9 +248,10 @@ def predict_beside(docs: DataFrame, model: Model, margin: float = 0.3) -> DataFr
 def predict(docs: DataFrame, model: Model, margin: float = 0.3) -> DataFrame:
     """(id, text) to (id, lang_pred, score, rejected), a row for each row; other columns are not read.
 
-    ``score`` is the cosine with the nearest centroid. ``rejected``: no letters, or a cosine under
-    ``margin`` of the least that sampled texts of like length have with their own centroids; texts shorter
-    than those of which the sample has enough are not rejected by distance: a few words prove nothing. Null, empty and letterless texts are ``und`` with
+    ``score`` is the cosine with the nearest centroid. ``rejected``: no letters, or a cosine under ``margin`` of
+    what nearly all sampled texts of like length, and stretches of longer ones, have with their own centroids. Texts
+    of less than some ten letters are not rejected by distance: a word or two prove nothing. Long texts are
+    counted whole, in stretches. Null, empty and letterless texts are ``und`` with
     score 0; so are all texts for a model that saw no row. Ties go to the first language by name.
     """
     return predict_beside(docs.select(F.col("id").cast("long").alias("id"), "text"), model, margin).drop("text")

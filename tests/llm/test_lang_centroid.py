@@ -48,6 +48,36 @@ def test_far_text_is_rejected(spark, model):
     assert got == {1: True, 2: False}
 
 
+def test_short_far_texts_are_rejected_and_short_near_ones_stay(spark, model):
+    far = "эта строка написана другими буквами и потому далека от всего известного "
+    rows = [(i, far[i:] + far[:i], None, None, 0) for i in range(20)]
+    rows += [(100 + i, text(lang, 500 + i, words), None, None, 0) for i, (lang, words) in enumerate((x, n) for x in ENDINGS for n in (3, 5, 10, 20))]
+    got = {r.id: r.rejected for r in L.predict(spark.createDataFrame(rows, DOCS), model).collect()}
+    assert all(got[i] for i in range(20)) and not any(got[i] for i in got if i >= 100)
+
+
+def test_a_few_junk_rows_do_not_set_the_bound(spark):
+    clean = [(i, text("bb", i), "bb", "s", 1) for i in range(300)]
+    junk = [(1000 + i, "".join(random.Random(i).choices("zxqjkw", k=500)), "bb", "s", 1) for i in range(3)]
+    far = [(1, "էսպես գրված տող " * 30, None, None, 0)]
+    with_junk = L.train(spark.createDataFrame(clean + junk, DOCS))
+    assert [r.rejected for r in L.predict(spark.createDataFrame(far, DOCS), with_junk).collect()] == [True]
+
+
+def test_a_language_of_few_texts_has_the_bound_of_others(spark):
+    rows = [(i, text("bb", i), "bb", "s", 1) for i in range(100)] + [(200 + i, text("aa", i), "aa", "s", 1) for i in range(5)]
+    model = L.train(spark.createDataFrame(rows, DOCS))
+    assert L.np.isfinite(model.least[:, 8]).all() and set(model.langs) == {"aa", "bb"}
+
+
+@pytest.mark.parametrize("stretch", [1, 5, 64])
+def test_counts_in_stretches_are_those_of_the_whole(monkeypatch, stretch):
+    texts = [t.encode() for t in ("", "a", "día", "é ñ 12 ab", text("cc", 3), "x" * 100, text("bb", 4, 9))]
+    whole = L.gram_counts(texts)
+    monkeypatch.setattr(L, "STRETCH", stretch)
+    assert (L.gram_counts(texts) == whole).all() and whole.sum() > 0
+
+
 def test_same_model_from_other_partitions(docs, model):
     again = L.fold_train(docs.repartition(7).withColumnRenamed("id", "doc_id"), per_language=50)
     assert again.langs == model.langs

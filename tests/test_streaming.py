@@ -1,4 +1,6 @@
 import json
+
+import pytest
 import os
 import random
 
@@ -83,14 +85,29 @@ def test_stream_equals_replay(spark, tmp_path):
     assert final["closed"]["refused"] and not final["steps"]["refused"]
 
 
-PRICES = [("opus", 4.0, 5.0, 0.2, 20.0), ("haiku", 1.0, 1.25, 0.1, 5.0)]
+PRICES = [("vega", 3.0, 3.75, 0.3, 15.0), ("lyra", 0.8, 1.0, 0.08, 6.0)]
+# exchange, stage, number, model, requests, tokens (fresh, written to and read from a cache, out), metered
 ATTEMPTS = [
-    ("e1", "answer", 1, "opus", 1, 1000, 0, 0, 10, True), ("e1", "answer", 2, "haiku-20251001", 0, 100, 0, 0, 50, True),
-    ("e1", "routing", 3, "anthropic/haiku", 1, 900, 0, 0, 12, True), ("e2", "search", 4, "mystery", 1, 10, 0, 0, 1, True),
-    ("e2", "search", 5, "opus", 1, 10, 0, 0, 1, True), ("e2", "answer", 6, None, 1, 0, 0, 0, 0, False),
+    ("n7", "search", 1, "lyra", 1, 2310, 480, 7700, 95, True), ("n7", "search", 2, "vega-20260131", 1, 640, 0, 512, 33, True),
+    ("n7", "routing", 3, "hub/vega", 1, 71, 0, 0, 8, True), ("n9", "routing", 4, "unlisted", 1, 205, 30, 0, 17, True),
+    ("n9", "routing", 5, "vega", 1, 88, 0, 41, 3, True), ("n9", "search", 6, None, 1, 0, 0, 0, 0, False),
+    ("n9", "answer", 7, "lyra", 0, 19, 7, 2, 400, True),
 ]
 
 
+def by_hand(attempts):
+    """(exchange, stage) to requests, fresh tokens, tokens out, cost (None where a price or a count is unknown), unmetered calls."""
+    out = {}
+    for exchange, stage, _, model, requests, fresh, wrote, read, gave, metered in attempts:
+        name = (model or "").rsplit("/", 1)[-1]
+        rate = next((p[1:] for p in PRICES if name == p[0] or name.startswith(p[0] + "-20")), None)
+        cost = sum(n * x for n, x in zip((fresh, wrote, read, gave), rate)) / 1e6 if rate and metered else None
+        old = out.get((exchange, stage), (0, 0, 0, 0.0, 0))
+        total = None if cost is None or old[3] is None else old[3] + cost
+        out[exchange, stage] = (old[0] + requests, old[1] + fresh, old[2] + gave, total, old[4] + (not metered))
+    return out
+
+
 def test_streamed_usage_equals_batch(spark, tmp_path):
     prices = spark.createDataFrame(PRICES, schemas.PRICES)
     attempts = spark.createDataFrame(ATTEMPTS, schemas.ATTEMPTS)
@@ -143,33 +160,38 @@ def test_takes_cut_between_batches(spark, tmp_path):
 def test_usage_rules(spark):
     prices = spark.createDataFrame(PRICES, schemas.PRICES)
     usage = U.stage_usage(spark.createDataFrame(ATTEMPTS, schemas.ATTEMPTS), prices)
-    rows = {(r["exchange_id"], r["stage"]): r for r in usage.collect()}
-    a = rows["e1", "answer"]
-    assert (a["requests"], a["input_tokens"], a["output_tokens"], a["models"]) == (1, 1100, 60, ["opus", "haiku-20251001"])
-    assert abs(a["cost_usd"] - (1000 * 4 + 10 * 20 + 100 * 1 + 50 * 5) / 1e6) < 1e-12
-    assert abs(rows["e1", "routing"]["cost_usd"] - (900 * 1 + 12 * 5) / 1e6) < 1e-12
-    s = rows["e2", "search"]
-    assert s["cost_usd"] is None and s["unpriced_models"] == ["mystery"] and s["input_tokens"] == 20
-    assert (rows["e2", "answer"]["cost_usd"], rows["e2", "answer"]["unmetered_requests"], rows["e2", "answer"]["models"]) == (None, 1, [])
-    exchanges = spark.createDataFrame([("e1",), ("e2",), ("e3",)], "exchange_id STRING")
+    got = {(r.exchange_id, r.stage): r for r in usage.collect()}
+    want = by_hand(ATTEMPTS)
+    assert got.keys() == want.keys()
+    for key, (requests, tokens_in, tokens_out, cost, unmetered) in want.items():
+        r = got[key]
+        assert (r.requests, r.input_tokens, r.output_tokens, r.unmetered_requests) == (requests, tokens_in, tokens_out, unmetered)
+        assert r.cost_usd == (None if cost is None else pytest.approx(cost))
+    assert [want[k][3] is None for k in (("n9", "routing"), ("n9", "search"), ("n9", "answer"))] == [True, True, False]
+    assert got["n7", "search"].models == ["lyra", "vega-20260131"] and got["n9", "search"].models == []
+    assert got["n9", "routing"].unpriced_models == ["unlisted"]
+    exchanges = spark.createDataFrame([("n7",), ("n8",), ("n9",)], "exchange_id STRING")
     full = U.with_every_stage(usage, exchanges)
     assert full.count() == 9
-    totals = {r["exchange_id"]: r["cost_usd"] for r in U.total_cost(full).collect()}
-    assert totals["e2"] is None and totals["e3"] == 0.0 and totals["e1"] > 0
-    assert {r["stage"]: r["cost_usd"] is None for r in U.merged(full).collect()} == {"routing": False, "search": True, "answer": True}
+    totals = {r.exchange_id: r.cost_usd for r in U.total_cost(full).collect()}
+    assert totals == {"n7": pytest.approx(sum(want["n7", s][3] for s in ("search", "routing"))), "n8": 0.0, "n9": None}
+    assert {r.stage: r.cost_usd is None for r in U.merged(full).collect()} == {"routing": True, "search": True, "answer": False}
 
 
 def test_attempts(spark):
-    usage = {"input_tokens": 100, "output_tokens": 50, "iterations": [{"type": "message", "model": None, "input_tokens": 1000, "output_tokens": 10}, {"type": "fallback_message", "model": "haiku", "input_tokens": 100, "output_tokens": 50}]}
-    raw = [("a", json.dumps({"model": "haiku", "usage": usage})), ("b", json.dumps({"model": "haiku", "usage": {"input_tokens": 7, "output_tokens": 1}}))]
-    r = G.parse_responses(spark.createDataFrame(raw, "exchange_id STRING, raw STRING"))
-    r = r.withColumn("stage", F.lit("answer")).withColumn("seq", F.lit(1)).withColumn("requested_model", F.when(F.col("exchange_id") == "a", F.lit("opus")))
-    got = [(x["exchange_id"], x["model"], x["requests"], x["input_tokens"], x["output_tokens"]) for x in U.attempts_from_responses(r).orderBy("exchange_id", "seq").collect()]
-    assert got == [("a", "opus", 1, 1000, 10), ("a", "haiku", 0, 100, 50), ("b", "haiku", 1, 7, 1)]
+    steps = [("message", None, 420, 6), ("fallback_message", "lyra", 33, 2), ("fallback_message", "nova", 34, 71)]
+    fell = {"input_tokens": 34, "output_tokens": 71, "iterations": [dict(zip(("type", "model", "input_tokens", "output_tokens"), x)) for x in steps]}
+    calls = [("two", "vega", {"model": "nova", "usage": fell}), ("one", None, {"model": "lyra", "usage": {"input_tokens": 5, "output_tokens": 9, "iterations": []}})]
+    r = G.parse_responses(spark.createDataFrame([(k, json.dumps(x)) for k, _, x in calls], "exchange_id STRING, raw STRING"))
+    asked = F.create_map(*[F.lit(x) for k, m, _ in calls if m for x in (k, m)])
+    r = r.withColumn("stage", F.lit("answer")).withColumn("seq", F.lit(1)).withColumn("requested_model", asked[F.col("exchange_id")])
+    got = [(x.exchange_id, x.model, x.requests, x.input_tokens, x.output_tokens) for x in U.attempts_from_responses(r).orderBy("exchange_id", "seq").collect()]
+    assert got == [("one", "lyra", 1, 5, 9), *(("two", model or "vega", int(i == 0), n, m) for i, (_, model, n, m) in enumerate(steps))]
     turns = spark.createDataFrame(
-        [("a", "search", 1, "anthropic/opus", (10, 4, 3, 2)), ("a", "search", 2, "opus", None)],
+        [("x", "search", 1, "hub/vega", (31, 12, 9, 6)), ("x", "search", 2, "vega", None), ("x", "search", 3, "lyra", (5, 4, 3, 1))],
         "exchange_id STRING, stage STRING, seq BIGINT, model STRING, usage STRUCT<input_tokens: BIGINT, cached_tokens: BIGINT, cache_write_tokens: BIGINT, output_tokens: BIGINT>",
     )
     t = U.attempts_from_turns(turns).orderBy("seq").collect()
-    assert (t[0]["model"], t[0]["input_tokens"], t[0]["cache_read_input_tokens"], t[0]["cache_creation_input_tokens"]) == ("opus", 3, 4, 3)
-    assert (t[1]["metered"], t[1]["model"], t[1]["requests"]) == (False, None, 1)
+    assert [(x.metered, x.model, x.requests) for x in t] == [(True, "vega", 1), (False, None, 1), (True, "lyra", 1)]
+    tokens = [(x.input_tokens, x.cache_creation_input_tokens, x.cache_read_input_tokens, x.output_tokens) for x in t]
+    assert tokens == [(10, 9, 12, 6), (0, 0, 0, 0), (0, 3, 4, 1)]  # a count that would be negative is none

@@ -81,15 +81,35 @@ def test_footer(spark, footer, expected):
     assert v == expected
 
 
-@pytest.mark.parametrize(
-    "text, codes",
-    [
-        (f"según las {MARK} 21, {MARK} 25 y {MARK} 29", ["21", "25", "29"]), (f"Parte 39 o 43 del {MARK}", ["39", "43"]), (f"{MARK} Parte 39 – Directivas", ["39"]),
-        ("la parte QX, y nada más", ["QX"]), (f"de la {MARK} 91.", ["91"]), ("Secciones 39.5 y 39.7", []), (f"las {MARK} en vigor", []), (f"Sección 25.101 de la {MARK} 25", ["25"]),
-    ],
-)
-def test_part_codes(spark, text, codes):
-    assert spark.createDataFrame([(text,)], "t STRING").select(T.part_codes(F.col("t")).alias("c")).first()["c"] == codes
+def named_parts(r):
+    """A reference made by the grammar, head, codes and joiners, and the codes it names."""
+    codes = [r.choice([str(r.randint(1, 999)), "".join(r.choices("BCFGHJKMQWXZ", k=r.randint(2, 3)))]) for _ in range(r.randint(1, 4))]
+    head = r.choice([f"{MARK} ", f"{MARK} Parte ", f"{MARK}  Partes ", "Parte ", "las partes ", "la PARTE "])
+    text = head + codes[0]
+    for c in codes[1:]:
+        text += r.choice([", ", " y ", " o ", " ó ", ","]) + r.choice(["", f"{MARK} ", "Parte "]) + c
+    return text, codes
+
+
+def unnamed_parts(r):
+    """What looks like a reference and names no part."""
+    n, m = r.randint(1, 99), r.randint(1, 99)
+    return r.choice([f"Sección {n}.{m}", f"partes {n}.{m}", f"{MARK} {n}{m:03d}", f"{MARK} {n}abc", f"parte {r.choice(fixed.NOT_PART_CODES)}", f"{n} {MARK}", f"apartes {n}", "parte qx"])
+
+
+def test_part_codes(spark):
+    r = __import__("random").Random(41)
+    rows, want = [], {}
+    for i in range(300):
+        text, codes = "", []
+        for _ in range(r.randint(0, 4)):
+            some, own = named_parts(r) if r.random() < 0.6 else (unnamed_parts(r), [])
+            text += f"Véase {some}; "
+            codes += [c for c in own if c not in codes]
+        rows.append((i, text))
+        want[i] = list(dict.fromkeys(codes))
+    found = spark.createDataFrame(rows, "i INT, t STRING").select("i", T.part_codes(F.col("t")).alias("c")).collect()
+    assert [x for x in found if x.c != want[x.i]] == []
 
 
 def test_definitions(spark):

@@ -77,7 +77,7 @@ COVERAGES = ("total", "parcial", "ninguna")
 COVERAGE_LINE = (
     r"(?Uiu)^\s*(?:\*\*|__)?COBERTURA:(?:\*\*|__)?[ \t]*(\w+)[ \t]*[-–—:.,;]?[ \t]*([^\n]*)"
 )
-SENTENCE_CUT = r"(?U)(?<=[.!?:;])(?=\s|\z)|(?<=[.!?:;](?:\*\*|__))(?=\s|\z)|(?<=\n)"
+SENTENCE_CUT = r"(?U)(?<=[.!?:;*_\n])(?:(?<=[.!?:;])(?=\s|\z)|(?<=[.!?:;](?:\*\*|__))(?=\s|\z)|(?<=\n))"
 MARKUP = r"(?U)\*\*|__|^\s*(?:#+|[-*•]|\d+[.)])\s+"
 BULLET = r"(?U)^\s*(?:[-*•]|\d+[.)])(?=\s|\z)"
 LETTER = r"(?U)[^\W\d_]"

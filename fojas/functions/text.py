@@ -35,6 +35,8 @@ def _folding_tables() -> tuple[str, str, dict[str, str]]:
 
 _FOLD_FROM, _FOLD_TO, _FOLD_SEVERAL = _folding_tables()
 _HAS_SEVERAL = "[" + "".join(_FOLD_SEVERAL.values()) + "]"
+# a class of so many signs is slow, so it only looks at those from the first of them on
+_BEFORE_SEVERAL = rf"[\x00-\x{{{ord(min(''.join(_FOLD_SEVERAL.values()))) - 1:X}}}]+"
 
 
 def collapse(c: Column) -> Column:
@@ -77,13 +79,16 @@ def roman(n: Column) -> Column:
 
 def fold(c: Column) -> Column:
     """Lowercase with accents removed and compatibility forms spelled out; other letters stay as they are."""
-    lowered = F.lower(c)
-    spelled = lowered
-    for form, signs in _FOLD_SEVERAL.items():
-        spelled = F.regexp_replace(spelled, f"[{signs}]", form)
-    one = lambda x: F.regexp_replace(F.translate(x, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
-    folded = F.when(lowered.rlike(_HAS_SEVERAL), one(spelled)).otherwise(one(lowered))
-    return F.when(lowered.rlike(r"[^\x00-\x7F]"), folded).otherwise(lowered)
+
+    def folded(lowered: Column) -> Column:
+        spelled = lowered
+        for form, signs in _FOLD_SEVERAL.items():
+            spelled = F.regexp_replace(spelled, f"[{signs}]", form)
+        one = lambda x: F.regexp_replace(F.translate(x, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+        beyond = F.when(F.regexp_replace(lowered, _BEFORE_SEVERAL, "").rlike(_HAS_SEVERAL), one(spelled)).otherwise(one(lowered))
+        return F.when(lowered.rlike(r"[^\x00-\x7F]"), beyond).otherwise(lowered)
+
+    return let(F.lower(c), folded)
 
 
 def words(c: Column) -> Column:
@@ -155,8 +160,14 @@ def matches_at(c: Column, pattern: str) -> Column:
     return F.filter(placed, lambda m: m["text"].isNotNull())
 
 
-_CLAIM_WORDS = sorted((*fixed.NUMBER_WORDS, *fixed.MONTHS), key=len, reverse=True)
-_CLAIM_WORD = r"(?<![a-z])(?:" + "|".join(_CLAIM_WORDS) + r")(?![a-z])"
+def _either(words: set[str]) -> str:
+    """A pattern for any of some words that reads their common beginnings once."""
+    rests = {w[0]: {x[1:] for x in words if x[:1] == w[0]} for w in sorted(words) if w}
+    ways = "|".join(first + _either(rest) for first, rest in rests.items())
+    return ways and (f"(?:{ways})?" if "" in words else f"(?:{ways})" if len(rests) > 1 else ways)
+
+
+_CLAIM_WORD = rf"(?<![a-z]){_either({*fixed.NUMBER_WORDS, *fixed.MONTHS})}(?![a-z])"
 
 
 def claim_tokens(c: Column) -> Column:
@@ -164,17 +175,20 @@ def claim_tokens(c: Column) -> Column:
 
     Numbers stay strings: values can be longer than any integer type.
     """
-    text = F.regexp_replace(c, fixed.PARAGRAPH_MARK, " ")
-    digits = F.transform(
-        F.regexp_extract_all(text, F.lit(fixed.NUMBER), F.lit(0)),
-        lambda n: F.regexp_replace(F.regexp_replace(n, "[.,]", ""), r"^0+(?=\d)", ""),
-    )
-    plain = F.regexp_replace(fold(text), r"[^\x00-\x7F]", "")
     values = F.create_map(*[F.lit(x) for w, n in fixed.NUMBER_WORDS.items() for x in (w, str(n))])
-    spelled = F.transform(
-        F.regexp_extract_all(plain, F.lit(_CLAIM_WORD), F.lit(0)), lambda w: F.coalesce(F.element_at(values, w), w)
-    )
-    return F.array_distinct(F.concat(digits, spelled))
+
+    def tokens(text: Column) -> Column:
+        digits = F.transform(
+            F.regexp_extract_all(text, F.lit(fixed.NUMBER), F.lit(0)),
+            lambda n: F.regexp_replace(F.regexp_replace(n, "[.,]", ""), r"^0+(?=\d)", ""),
+        )
+        plain = F.regexp_replace(fold(text), r"[^\x00-\x7F]+", "")
+        spelled = F.transform(
+            F.regexp_extract_all(plain, F.lit(_CLAIM_WORD), F.lit(0)), lambda w: F.coalesce(F.element_at(values, w), w)
+        )
+        return F.array_distinct(F.concat(digits, spelled))
+
+    return let(F.when(F.contains(c, F.lit("(")), F.regexp_replace(c, fixed.PARAGRAPH_MARK, " ")).otherwise(c), tokens)
 
 
 def sentence_pieces(c: Column) -> Column:

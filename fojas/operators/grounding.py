@@ -162,12 +162,16 @@ def _backed(pieces: DataFrame, keys: list[str]) -> DataFrame:
     The tokens of the pieces and of the answer's cited texts meet by token within the answer, so each is
     looked at once.
     """
-    p = pieces.withColumn("text", T.without_markup(F.col("raw")))
+    raw = F.col("raw")
+    marks = F.struct(
+        T.nonblank(raw).alias("has_text"), raw.rlike(r"(?U)^\s*\n").alias("lead_break"), raw.rlike(r"(?U)\n\s*\z").alias("trail_break"), raw.rlike(fixed.BULLET).alias("bullet")
+    )
+    p = pieces.withColumns({"text": T.without_markup(raw), "marks": marks}).drop("raw")  # one text rides through the sorts
     claims = F.transform(F.coalesce(T.claim_tokens(F.col("text")), F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(False).alias("cited")))
     cited = F.transform(F.coalesce("support", F.array().cast("array<string>")), lambda t: F.struct(t.alias("token"), F.lit(True).alias("cited")))
     rows = p.select(*keys, "pos", *[c for c in p.columns if c not in (*keys, "pos", "support")], F.posexplode_outer(F.concat(claims, cited)).alias("place", "t"))
     first = F.coalesce("place", F.lit(0)) == 0
-    rows = rows.select(*keys, "pos", first.alias("first"), *[F.when(first, F.col(c)).alias(c) for c in ("header", "raw", "start", "end", "span_ids", "text")], "t.*")
+    rows = rows.select(*keys, "pos", first.alias("first"), *[F.when(first, F.col(c)).alias(c) for c in ("header", "marks", "start", "end", "span_ids", "text")], "t.*")
     rows = rows.withColumn("missing", F.col("token").isNotNull() & ~F.max("cited").over(Window.partitionBy(*keys, "token")))
     own = Window.partitionBy(*keys, "pos").orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("missing", F.max("missing").over(own)).filter("first")
@@ -178,11 +182,7 @@ def _backed(pieces: DataFrame, keys: list[str]) -> DataFrame:
 def _laid_out(pieces: DataFrame, keys: list[str]) -> DataFrame:
     """Kept and dropped pieces with where each kept one starts (paragraph, item or running on)."""
     p = pieces.select(
-        *keys, "pos", "start", "end", "text", "letters", "kept", "header", "span_ids",
-        T.nonblank(F.col("raw")).alias("has_text"),
-        F.col("raw").rlike(r"(?U)^\s*\n").alias("lead_break"),
-        F.col("raw").rlike(r"(?U)\n\s*\z").alias("trail_break"),
-        F.col("raw").rlike(fixed.BULLET).alias("bullet"),
+        *keys, "pos", "start", "end", "text", "letters", "kept", "header", "span_ids", "marks.*",
     )
     order = Window.partitionBy(*keys).orderBy("pos")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

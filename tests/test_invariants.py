@@ -56,3 +56,20 @@ def test_partitioning_does_not_matter(spark, documents, answers, partitions):
         assert digest(G.ground(G.parse_responses(feeds.answer_responses(d)), feeds.answer_documents(d))) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_claim_words_are_tried_by_their_first_letter(spark):
+    from itertools import pairwise
+
+    from fojas import fixed
+
+    depth, firsts = 0, []  # of the ways a scan tries at every place of a text, no two begin alike
+    for before, c in pairwise(T._CLAIM_WORD[len("(?<![a-z])(?:") - 1 : -len("(?![a-z])")]):
+        firsts += [c] if depth == 0 and before in ":|" else []
+        depth += (c == "(") - (c == ")")
+    assert sorted(set(firsts)) == sorted(firsts) and set(firsts) == {w[0] for w in (*fixed.NUMBER_WORDS, *fixed.MONTHS)}
+    words = [*fixed.NUMBER_WORDS, *fixed.MONTHS]
+    rows = [(f"El {w.upper()}, ({w}) x{w} {w}x {w}\u0301.", str(fixed.NUMBER_WORDS.get(w, w))) for w in words]
+    rows += [(f"{w[:1]}\ufb01 {w}", str(fixed.NUMBER_WORDS.get(w, w))) for w in words]
+    got = spark.createDataFrame(rows, "text string, want string").filter(~T.claim_tokens(F.col("text")).eqNullSafe(F.array("want")))
+    assert got.collect() == []

@@ -30,3 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     partitions = spark.conf.get("fojas.text.partitions", "")
     return df.repartition(int(partitions)) if partitions and name in TEXT_TABLES else df
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as a stream of its files, whether it is one file or a folder of them."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}[.]parquet")  # a pattern may stand for a file, a path may not

@@ -1,9 +1,9 @@
 import json
-
-import pytest
 import os
 import random
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from fojas import schemas
@@ -195,3 +195,19 @@ def test_attempts(spark):
     assert [(x.metered, x.model, x.requests) for x in t] == [(True, "vega", 1), (False, None, 1), (True, "lyra", 1)]
     tokens = [(x.input_tokens, x.cache_creation_input_tokens, x.cache_read_input_tokens, x.output_tokens) for x in t]
     assert tokens == [(10, 9, 12, 6), (0, 0, 0, 0), (0, 3, 4, 1)]  # a count that would be negative is none
+
+
+@pytest.mark.parametrize("files", [0, 3])
+def test_a_table_is_streamed_as_one_file_or_a_folder_of_files(spark, tmp_path, files):
+    from fojas.queries import registry
+
+    given = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    if files:
+        given.repartition(files).write.parquet(str(tmp_path / "conversations.parquet"))
+    else:
+        shutil.copy("/root/testdata/sf0.001/conversations.parquet", tmp_path)
+    spark.range(3).write.parquet(str(tmp_path / "labels.parquet"))
+    rows = registry.stream(spark, str(tmp_path), "conversations").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
+    rows.trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == given.count() and got.exceptAll(given).isEmpty()

@@ -159,12 +159,14 @@ def attach(
 ) -> DataFrame:
     """Definitions given with each question's sections, capped per section and in total, in order.
 
-    ``retrieved``: question_id, rank and the section key. Within a section longer phrases come first,
+    ``retrieved``: question_id, rank and the section key; with ``n_sections`` a row stands for so many sections of
+    the same terms and has the rank of their first. Within a section longer phrases come first,
     then terms fewer of the question's sections use; a definition that only points brings its target
     right after it. Both caps are top-k windows, so tasks keep k rows per group before shuffling.
     """
-    hits = retrieved.select("question_id", "rank", *key).join(terms, list(key))
-    often = hits.groupBy("question_id", "phrase").agg(F.count(F.lit(1)).alias("freq"))
+    many = F.col("n_sections") if "n_sections" in retrieved.columns else F.lit(1)
+    hits = retrieved.select("question_id", "rank", *key, many.alias("many")).join(terms, list(key))
+    often = hits.groupBy("question_id", "phrase").agg(F.sum("many").alias("freq"))
     specific = hits.filter(~F.col("covered")).join(often, ["question_id", "phrase"])
     order = Window.partitionBy("question_id", "rank").orderBy(-F.size(F.split("phrase", " ")), "freq", "phrase")
     top = specific.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_section)

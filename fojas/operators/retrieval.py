@@ -49,19 +49,22 @@ def sections_on_pages(read: DataFrame, section_pages: DataFrame) -> DataFrame:
     return _on_pages(read, held).select("question_id", "part", "content_hash", "section_ord", "section").distinct()
 
 
-def section_classes(section_pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def section_classes(section_pages: DataFrame, alike: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """Sections on the same pages of a file as one, since whoever reads one of them reads all.
 
     Returns the classes in the shape of ``section_pages``, each named by the place of its first section, and
-    (content_hash, section_ord, n_sections, ord_sum, last_ord) with what they hold. Totals over sections so need a
-    row for each class that a question reads, not for each section. Definitions sections stay by themselves.
+    (content_hash, section_ord, first_ord, last_ord, n_sections, ord_sum) with what they hold, by ``alike``, further
+    columns of sections, if given. Totals over sections so need a row for each class that a question reads, not for
+    each section. Definitions sections stay by themselves.
     """
     own = F.max(F.when(F.col("section") == fixed.DEFINITIONS_SECTION, F.col("section")))
-    placed = section_pages.groupBy("content_hash", "section_ord").agg(F.array_sort(F.collect_set("pdf_page")).alias("pages"), own.alias("section"))
-    classes = placed.groupBy("content_hash", "pages", "section").agg(
-        F.min("section_ord").alias("section_ord"), F.count(F.lit(1)).alias("n_sections"), F.sum("section_ord").alias("ord_sum"), F.max("section_ord").alias("last_ord")
+    placed = section_pages.groupBy("content_hash", "section_ord", *alike).agg(F.array_sort(F.collect_set("pdf_page")).alias("pages"), own.alias("section"))
+    held = placed.groupBy("content_hash", "pages", "section", *alike).agg(
+        F.min("section_ord").alias("first_ord"), F.max("section_ord").alias("last_ord"), F.count(F.lit(1)).alias("n_sections"), F.sum("section_ord").alias("ord_sum")
     )
-    return classes.select("content_hash", "section_ord", "section", F.explode("pages").alias("pdf_page")), classes.drop("pages", "section")
+    held = held.withColumn("section_ord", F.min("first_ord").over(Window.partitionBy("content_hash", "pages", "section")))
+    classes = held.select("content_hash", "section_ord", "section", "pages").distinct()
+    return classes.select("content_hash", "section_ord", "section", F.explode("pages").alias("pdf_page")), held.drop("pages", "section")
 
 
 def visited_nodes(read: DataFrame, nodes: DataFrame) -> DataFrame:

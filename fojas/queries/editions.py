@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from fojas.operators import editions as E
 from fojas.plans import jobs as J
 from fojas.queries.registry import query, table
 from fojas.queries.retrieval import READS, search_events
+from fojas.session import shared_dir
 
 
 def editions_of_parts(part):
@@ -71,15 +74,15 @@ def q38_current_edition(spark, sf):
     definitions, definition_history = editions_of_definitions(part)
     versions = E.intervals(history.unionByName(definition_history))
     key = ("content_hash", "section_ord")
+    root = f"{shared_dir(spark)}/editions-{uuid.uuid4().hex}"
     corpus = {
         "parts": versions.select("part", "content_hash").distinct().withColumn("page_count", F.lit(50)), "section_pages": rows.drop("text"),
-        "definition_pages": definitions.drop("text"), "definitions": definitions, "section_terms": D.section_terms(rows.select(*key, "text"), definitions, key),
+        "definition_pages": definitions.drop("text"), "definitions": definitions, "section_terms": J.written(D.section_terms(rows.select(*key, "text"), definitions, key), f"{root}/section_terms"),
     }
     reads = search_events(events)
     routes = reads.filter(F.col("type") == "tool_call").groupBy("question_id", "part").agg(F.min("seq").alias("route_rank"))
-    sections, attached = J.retrieve(corpus, routes, reads, E.valid_at(versions))
+    found, attached = J.retrieve_totals(corpus, routes, reads, root, E.valid_at(versions))
     terms = attached.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))  # at most a prompt's definitions
-    found = sections.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_sections"), F.sum("section_ord").alias("ord_sum"))
     return found.join(terms, "question_id", "left").select("question_id", "n_sections", "ord_sum", F.array_join("t.term", ",").alias("terms"))
 
 

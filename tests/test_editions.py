@@ -71,3 +71,27 @@ def test_only_the_valid_edition_is_read_and_attached(spark):
         sections, attached = J.retrieve(corpus, routes, events, E.valid_at(versions, at))
         assert [r.content_hash for r in sections.collect()] == [section]
         assert [(r.content_hash, r.term) for r in attached.orderBy("rank").collect()] == wanted
+
+
+def test_totals_are_those_of_all_sections_without_a_row_for_each(spark, tmp_path):
+    words = ("torre", "muelle", "muelle norte", "faro", "boya", "dique", "grua", "noray", "ancla", "cabo", "vela")
+    defined = [("d1", "1", "1.1", n, w, f"{w}: (Ver faro)." if n % 4 == 2 else f"{w}: x", 3) for n, w in enumerate(words)]
+    definitions = spark.createDataFrame(defined, "content_hash STRING, part STRING, section STRING, def_ord INT, term STRING, text STRING, pdf_page INT")
+    texts = [(h, n, " y ".join(words) if n % 60 == 1 else f"{words[n % 4]} y {words[n % 6]}" if n % 5 else "nada") for h in ("s1", "s2") for n in range(120)]
+    rows = spark.createDataFrame(texts, "content_hash STRING, section_ord INT, text STRING")
+    held = [(h, n, f"{h}.{n}", p, h) for h, n, _ in texts for p in {n % 4 + 1, (n * n) % 3 + 2}]
+    pages = spark.createDataFrame(held, "content_hash STRING, section_ord INT, section STRING, pdf_page INT, part STRING")
+    corpus = {
+        "parts": spark.createDataFrame([("s1", "s1", 9), ("s2", "s2", 9)], "part STRING, content_hash STRING, page_count INT"), "section_pages": pages,
+        "definition_pages": definitions.drop("text"), "definitions": definitions, "section_terms": D.section_terms(rows, definitions, ("content_hash", "section_ord")),
+    }
+    read = [("q", "s1", "1, 3-4"), ("q", "s2", "2"), ("r", "s2", "1-9, 2"), ("t", "s1", "5")]
+    events = spark.createDataFrame([(q, p, 1, "tool_call", "get_page_content", f'{{"pages": "{x}"}}') for q, p, x in read], "question_id STRING, part STRING, seq INT, type STRING, name STRING, arguments STRING")
+    routes = spark.createDataFrame([("q", "s2", 0), ("q", "s1", 1), ("r", "s2", 0), ("t", "s1", 0)], "question_id STRING, part STRING, route_rank INT")
+    sections, attached = J.retrieve(corpus, routes, events)
+    totals, short = J.retrieve_totals(corpus, routes, events, str(tmp_path))
+    want = sections.groupBy("question_id").agg(F.count("*"), F.sum("section_ord"))
+    assert sorted(totals.collect()) == sorted(want.collect()) and want.count() == 2
+    listed = lambda df: sorted(tuple(r) for r in df.select("question_id", "rank", "content_hash", "def_ord", "term").collect())
+    assert listed(short) == listed(attached) and len(listed(short)) > 15
+    assert spark.read.parquet(f"{tmp_path}/alike").count() < sections.count() / 3

@@ -36,10 +36,13 @@ def sample_sections(sections: DataFrame, covered: DataFrame, n: int, seed: str,
 
 
 def copy_reason(question: Column, text: Column) -> Column:
-    """Why a question reads like the section it was written from, NULL when it does not."""
-    shared = F.arrays_overlap(
-        T.ngrams(T.words(question), fixed.COPY_NGRAM), T.ngrams(T.words(text), fixed.COPY_NGRAM)
-    )
+    """Why a question reads like the section it was written from, NULL when it does not.
+
+    The section is not looked at for a question too short to hold an n-gram.
+    """
+    asked = T.words(question)
+    overlap = F.arrays_overlap(T.ngrams(asked, fixed.COPY_NGRAM), T.ngrams(T.words(text), fixed.COPY_NGRAM))
+    shared = F.when(F.size(asked) >= fixed.COPY_NGRAM, overlap)
     return F.when(question.rlike(fixed.QUESTION_SECTION_ID), fixed.NAMES_SECTION).when(shared, fixed.COPIES_WORDS)
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from fojas import fixed
 from fojas.operators import casekit as K
 
@@ -39,3 +41,11 @@ def test_sections_with_one_gram_are_dealt(spark):
 def test_no_rows(spark):
     none = spark.createDataFrame([], "question_id INT, text STRING")
     assert K.shared_wording(none, none.withColumnRenamed("question_id", "section_id")).count() == 0
+
+
+def test_a_section_is_not_read_for_a_short_question(spark):
+    short = spark.createDataFrame([("¿Cómo es?",), (" ",), (None,), ("uno dos tres cuatro cinco seis siete",)], "q string")
+    unread = F.raise_error(F.concat(F.lit("read for "), F.coalesce("q", F.lit("null")))).cast("string")
+    assert short.select(K.copy_reason(F.col("q"), unread)).collect() == [(None,)] * 4
+    long = spark.createDataFrame([("Uno dos tres cuatro cinco seis siete ocho", "no uno dos tres cuatro cinco seis siete ocho más")], "q string, t string")
+    assert long.select(K.copy_reason(F.col("q"), F.col("t"))).first()[0] == fixed.COPIES_WORDS

@@ -53,6 +53,10 @@ SECTION_REFERENCE = (
     r"(?U)\b(?i:Secci[oó]n(?:es)?)\s+(" + SECTION_NUMBER + PARAGRAPH_MARKS
     + r"(?:\s*(?:,|\by\b|\bo\b|\bó\b)\s*" + SECTION_NUMBER + PARAGRAPH_MARKS + r")*)"
 )
+# Either kind in one search: neither can begin inside the other. The first letter is looked at before the word
+# boundary, which is slow to find; (?i) with (?U) takes ſ for s.
+REFERENCE = r"(?U)(?=[RPpSsſ])(?:" + PART_REFERENCE + r"|" + SECTION_REFERENCE + r")"
+SECTION_HEAD = r"^[Ssſ]"
 SECTION_ID_PARTS = r"(?U)(\d{1,3})\.\s?(\d{1,4})\b"
 CLAUSE_END = r"(?U)[.;:]\s*\z"
 PARAGRAPH_LINE = r"(?U)^\s*\(?[a-z0-9]{1,4}\)\s*\z"

@@ -45,7 +45,8 @@ def collapse(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+    # from the end back to the last sign that is no space: trying every run of spaces for the end is slow
+    return F.regexp_extract(c, r"(?Us)^\s*(.*\S)?\s*\z", 1)
 
 
 def rstrip(c: Column) -> Column:
@@ -144,20 +145,35 @@ def section_ids_in(group: Column) -> Column:
     )
 
 
-def matches_at(c: Column, pattern: str) -> Column:
-    """array<struct<at, text, group>>: each match of a pattern with its code-point offset.
+def matches_at(c: Column, pattern: str, grouped: bool = True) -> Column:
+    """array<struct<at, line, text, group>>: each match of a pattern with its code-point offset and the line breaks before it.
 
-    Offsets come from the lengths of the pieces between matches.
+    Both come from the pieces between matches. Each search reads the whole text, so what is used again is bound (an
+    expression inside several lambdas is evaluated for each of them), and ``group`` is left out if not ``grouped``.
     """
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    groups = F.regexp_extract_all(c, F.lit(pattern), F.lit(1))
-    reached = F.zip_with(F.split(c, pattern), found, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    matched = F.zip_with(found, groups, lambda m, g: F.struct(m.alias("text"), g.alias("group")))
-    placed = F.zip_with(
-        matched, running_ends(reached),
-        lambda m, e: F.struct((e - F.length(m["text"])).alias("at"), m["text"].alias("text"), m["group"].alias("group")),
-    )
-    return F.filter(placed, lambda m: m["text"].isNotNull())
+    groups = F.regexp_extract_all(c, F.lit(pattern), F.lit(1)) if grouped else None
+
+    def placed(ms: Column) -> Column:
+        reach = lambda x: F.struct(F.length(x).alias("n"), line_breaks(x).alias("b"))
+        taken = F.transform(ms, lambda m: F.struct(m.alias("text"), reach(m).alias("own")))
+        gaps = F.transform(F.slice(F.split(c, pattern), F.lit(1), F.size(ms)), reach)
+        return let(F.zip_with(gaps, taken, lambda gap, m: F.struct(*[(gap[f] + m["own"][f]).alias(f) for f in "nb"])), lambda passed: summed(taken, passed))
+
+    def summed(taken: Column, passed: Column) -> Column:
+        sums = lambda f: running_sums(F.transform(passed, lambda x: x[f]))
+        zipped = F.arrays_zip(taken.alias("m"), sums("n").alias("n"), sums("b").alias("b"), *([groups.alias("g")] if grouped else []))
+        return F.transform(zipped, lambda x: F.struct(
+            (x["n"] - x["m"]["own"]["n"]).alias("at"), (x["b"] - x["m"]["own"]["b"]).alias("line"), x["m"]["text"].alias("text"),
+            *([x["g"].alias("group")] if grouped else []),
+        ))
+
+    kind = "array<struct<at:int,line:int,text:string" + (",group:string>>" if grouped else ">>")
+    return let(found, lambda ms: F.when(F.size(ms) > 0, placed(ms).cast(kind)).otherwise(F.when(ms.isNotNull(), F.array().cast(kind))))
+
+
+def line_breaks(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
 
 
 def _either(words: set[str]) -> str:
@@ -197,7 +213,12 @@ def sentence_pieces(c: Column) -> Column:
 
 
 def running_ends(pieces: Column, stretch: int = 100) -> Column:
-    """Cumulative lengths of an array of strings, row-locally.
+    """Cumulative lengths of an array of strings, row-locally."""
+    return running_sums(F.transform(pieces, lambda p: F.length(p)), stretch)
+
+
+def running_sums(numbers: Column, stretch: int = 100) -> Column:
+    """Cumulative sums of an array of whole numbers, row-locally.
 
     Added up in stretches, then over the stretches: an array grows by copying, and these stay short.
     """
@@ -214,7 +235,7 @@ def running_ends(pieces: Column, stretch: int = 100) -> Column:
             lambda sums: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda e: e + F.when(k > 0, F.get(sums, k - 1)).otherwise(0)))),
         ))
 
-    return F.when(F.size(pieces) > 0, let(F.transform(pieces, lambda p: F.length(p)), ends)).otherwise(F.when(pieces.isNotNull(), F.array().cast("array<int>")))
+    return let(numbers, lambda n: F.when(F.size(n) > 0, ends(n)).otherwise(F.when(n.isNotNull(), F.array().cast("array<int>"))))
 
 
 def without_markup(c: Column) -> Column:

@@ -9,17 +9,19 @@ from fojas import fixed
 from fojas.functions import text as T
 
 
-def _closes(line: Column, heading: Column) -> Column:
-    """Whether a clause can only start after this line."""
+def _only_heading(line: Column, heading: Column) -> Column:
+    first = F.regexp_extract(line, r"(?U)\S+", 0)  # most lines are told by their first word
     own = F.array_except(F.filter(F.split(line, r"(?U)\s+"), lambda w: w != ""), heading)
-    only_heading = T.nonblank(line) & (F.size(own) == 0)
-    return line.rlike(fixed.CLAUSE_END) | line.rlike(fixed.PARAGRAPH_LINE) | only_heading
+    return (first != "") & F.array_contains(heading, first) & (F.size(own) == 0)
 
 
-def _ends(line: Column, following: Column) -> Column:
-    """Whether a clause ends with this line; NULL for a line past the last."""
-    next_is_mark = following.isNull() | following.rlike(fixed.PARAGRAPH_LINE)
-    return F.when(line.isNotNull(), next_is_mark | line.rlike(fixed.CLAUSE_END))
+def _line_marks(lines: Column, heading: Column) -> Column:
+    """(ended, marks, closes) for every line: whether a clause ends with it, whether it is a paragraph mark, and whether
+    a clause can only start after it."""
+    found = F.transform(lines, lambda x: F.struct(x.rlike(fixed.CLAUSE_END).alias("ended"), x.rlike(fixed.PARAGRAPH_LINE).alias("marks"), x.alias("line")))
+    return F.transform(found, lambda x: F.struct(
+        x["ended"].alias("ended"), x["marks"].alias("marks"), (x["ended"] | x["marks"] | _only_heading(x["line"], heading)).alias("closes")
+    ))
 
 
 def _clause() -> Column:
@@ -27,10 +29,9 @@ def _clause() -> Column:
 
     Backwards up to a line that ends a clause, is a paragraph mark, or only repeats the heading;
     forwards to a line that ends the clause or stands before a paragraph mark. Uses the page's
-    ``lines``, ``line_ends``, ``closes`` and ``ends`` and the match's ``at`` and ``n``.
+    ``lines``, ``closes`` and ``ends``, and ``first`` and ``last``, the lines in which the match starts and ends.
     """
-    first = F.size(F.filter("line_ends", lambda e: e <= F.col("at")))
-    last = F.size(F.filter("line_ends", lambda e: e < F.greatest(F.col("at") + F.col("n"), F.col("at") + 1)))
+    first, last = F.col("first"), F.col("last")
     back = F.array_position(F.reverse(F.slice("closes", F.lit(1), first)), F.lit(True))
     start = F.when(back > 0, first - back + 1).otherwise(0)
     ahead = F.array_position(F.slice("ends", last + 1, F.size("lines")), F.lit(True))
@@ -49,39 +50,36 @@ def references(section_pages: DataFrame) -> DataFrame:
     split = section_pages.select(
         "content_hash", "part", "section", "section_ord", "page_index", "text", heading.alias("heading"), F.split("text", "\n").alias("lines")
     )
-    pages = split.select(
-        "content_hash", "part", "section", "section_ord", "page_index", "lines",
-        T.running_ends(F.transform("lines", lambda x: F.concat(x, F.lit("\n")))).alias("line_ends"),
-        F.transform("lines", lambda x: _closes(x, F.col("heading"))).alias("closes"),
-        F.zip_with("lines", F.slice("lines", F.lit(2), F.size("lines")), _ends).alias("ends"),
-        T.matches_at(F.col("text"), fixed.PART_REFERENCE).alias("part_matches"),
-        T.matches_at(F.col("text"), fixed.SECTION_REFERENCE).alias("section_matches"),
+    marked = split.select(
+        "content_hash", "part", "section", "section_ord", "page_index", "lines", _line_marks(F.col("lines"), F.col("heading")).alias("marked"),
+        T.matches_at(F.col("text"), fixed.REFERENCE, grouped=False).alias("matches"),
     )
-
-    none = F.lit(None).cast("string")
-    to_parts = F.flatten(
-        F.transform(
-            "part_matches",
-            lambda m: F.transform(
-                T.codes_in(m["group"]),
-                lambda code, i: F.struct(code.alias("to_part"), none.alias("to_section"), m["at"].alias("at"), i.alias("item"), F.length(m["text"]).alias("n")),
-            ),
-        )
+    # A clause ends with a line that says so, before a paragraph mark, and with the last line.
+    following = F.slice("marked", F.lit(2), F.size("marked"))
+    pages = marked.select(
+        "content_hash", "part", "section", "section_ord", "page_index", "lines", "matches", F.col("marked.closes").alias("closes"),
+        F.zip_with("marked", following, lambda x, y: y.isNull() | y["marks"] | x["ended"]).alias("ends"),
     )
-    to_sections = F.flatten(
+
+    # The codes and ids of the match are those of its list: what comes before that holds none.
+    target = "struct<to_part:string,to_section:string>"
+    to_parts = lambda t: F.transform(T.codes_in(t), lambda code: F.struct(code, F.lit(None).cast("string")).cast(target))
+    to_sections = lambda t: F.transform(T.section_ids_in(t), lambda s: F.struct(s["part"], F.concat_ws(".", s["part"], s["number"])).cast(target))
+    targets = F.flatten(
         F.transform(
-            "section_matches",
+            "matches",
             lambda m: F.transform(
-                T.section_ids_in(m["group"]),
-                lambda s, i: F.struct(
-                    s["part"].alias("to_part"), F.concat_ws(".", s["part"], s["number"]).alias("to_section"), m["at"].alias("at"), i.alias("item"), F.length(m["text"]).alias("n"),
+                F.when(m["text"].rlike(fixed.SECTION_HEAD), to_sections(m["text"])).otherwise(to_parts(m["text"])),
+                lambda x, i: F.struct(
+                    x["to_part"].alias("to_part"), x["to_section"].alias("to_section"), m["at"].alias("at"), i.alias("item"),
+                    m["line"].alias("first"), (m["line"] + T.line_breaks(m["text"])).alias("last"),
                 ),
             ),
         )
     )
     found = pages.select(
-        "content_hash", "part", "section", "section_ord", "page_index", "lines", "line_ends", "closes", "ends",
-        F.inline(F.concat(to_parts, to_sections)),
+        "content_hash", "part", "section", "section_ord", "page_index", "lines", "closes", "ends",
+        F.inline(targets),
     ).filter(
         (F.col("to_section").isNull() & (F.col("to_part") != F.col("part")))
         | (F.col("to_section").isNotNull() & (F.col("to_section") != F.col("section")))

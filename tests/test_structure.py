@@ -144,3 +144,24 @@ def test_headings_of_a_long_file_take_linear_time(spark):
 
     seconds(500)
     assert seconds(16_000) < 8 * max(1.0, seconds(4_000))
+
+
+def test_references_search_a_page_twice(spark):
+    """Both kinds of reference in one search and one cut, and lines found without a pass over them for each reference."""
+    text = "  según RAAC\nParte 91 y 67;\n(b)\nSecciones 61. 3 (a)(1) o 91.5\nsigue PARTES 7, LA\n\xa0fin. Sección 61.9\n\n "
+    schema = "content_hash STRING, part STRING, section STRING, section_ord INT, title STRING, page_index INT, text STRING"
+    refs = R.references(spark.createDataFrame([("h", "61", "61.7", 0, "fin de", 0, text), ("g", "61", "61.7", 0, "x", 0, None)], schema))
+    got = sorted((r["to_part"], r["to_section"] or "", r["at"], r["text"]) for r in refs.collect())
+    long = "Secciones 61. 3 (a)(1) o 91.5\nsigue PARTES 7, LA\n\xa0fin. Sección 61.9"
+    first = "según RAAC\nParte 91 y 67;"
+    assert got == [
+        ("61", "61.3", 32, long), ("61", "61.9", 87, long), ("67", "", 8, first), ("7", "", 68, long), ("91", "", 8, first), ("91", "91.5", 32, long),
+    ]
+    plan = refs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RAAC") <= 4  # twice in the pattern, and two uses of it
+
+
+def test_strip(spark):
+    cases = ["", " ", "\n \t", "a", " a\n b \x85", "\U0001f600 ", " x y", None, "a" * 5000 + " " * 5000 + "."]
+    rows = spark.createDataFrame([(c,) for c in cases], "c STRING")
+    assert [r[0] for r in rows.select(T.strip(F.col("c"))).collect()] == [c if c is None else c.strip() for c in cases]

@@ -118,12 +118,13 @@ def phrase(term: Column) -> Column:
 
 
 def phrase_pattern(p: Column) -> Column:
-    """Pattern matching a phrase as whole words, each with an optional plural ending."""
-    quoted = F.transform(
-        F.split(p, " "),
-        lambda w: F.concat(F.regexp_replace(w, r"(?U)([^\w\s])", r"\\$1"), F.lit("(?:s|es)?")),
-    )
-    return F.concat(F.lit(r"(?Uiu)(?<!\w)"), F.array_join(quoted, r"\s+"), F.lit(r"(?!\w)"))
+    """Pattern matching a phrase as whole words, each with an optional plural ending.
+
+    Its first sign is looked at before the word boundary, which is slow to find.
+    """
+    quote = lambda w: F.regexp_replace(w, r"(?U)([^\w\s])", r"\\$1")
+    quoted = F.transform(F.split(p, " "), lambda w: F.concat(quote(w), F.lit("(?:s|es)?")))
+    return F.concat(F.lit("(?Uiu)(?="), quote(F.left(p, F.lit(1))), F.lit(r")(?<!\w)"), F.array_join(quoted, r"\s+"), F.lit(r"(?!\w)"))
 
 
 def part_codes(c: Column) -> Column:

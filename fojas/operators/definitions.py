@@ -7,6 +7,8 @@ texts there are, and no task that gets all texts of a stop word.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,24 @@ def _text_keys(c: Column) -> Column:
     return T.let(_tokens(c), keys)
 
 
+def keys_held(texts: DataFrame, wanted: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
+    """(key, k), each once: which of the wanted keys (k; few enough for every task) a text holds.
+
+    Tokens meet the beginnings of wanted keys before any pair is put together, so pairs are made only where one
+    can be wanted. A plan that uses the result twice shuffles it once and so reads the texts once.
+    """
+    paired = F.contains("k", F.lit(" "))
+    begins = wanted.groupBy(F.substring_index("k", " ", 1).alias("a")).agg(F.max(~paired).alias("alone"), F.max(paired).alias("paired"))
+    # A text without a key is in no join by it; said here, since only equal plans are shuffled once for both uses.
+    keyed = texts.filter(functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in key]))
+    tokens = keyed.select(*key, _tokens(F.col("text")).alias("t"))
+    followed = F.arrays_zip(F.col("t").alias("a"), F.slice("t", F.lit(2), F.size("t")).alias("b"))
+    met = tokens.select(*key, F.inline(followed)).join(F.broadcast(begins), "a")
+    both = F.array(F.when(F.col("alone"), F.col("a")), F.when(F.col("paired"), F.concat("a", F.lit(" "), "b")))
+    held = met.select(*key, F.explode(both).alias("k")).join(F.broadcast(wanted), "k", "left_semi")
+    return held.select(*key, "k").distinct()
+
+
 def _phrase_keys(p: Column) -> Column:
     """The ways to look a phrase up, each an array of keys of which its texts hold one: its token, or any
     two neighbouring tokens of several."""
@@ -64,16 +84,22 @@ def by_phrase(definitions: DataFrame) -> DataFrame:
     return first.select("phrase", "d.*")
 
 
-def rarest_keys(texts: DataFrame, phrases: DataFrame, few: bool = False) -> DataFrame:
+def _ways(phrases: DataFrame) -> DataFrame:
+    return phrases.select("phrase", _phrase_keys(F.col("phrase")).alias("ways"))
+
+
+def rarest_keys(texts: DataFrame, phrases: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """(phrase) plus ``keys``: the keys to look it up by, of the pair that the fewest texts hold.
 
-    Only pairs of phrases that have a choice are counted. ``few``: the phrases' keys fit into every task.
+    Only pairs of phrases that have a choice are counted. ``held``: the keys that texts hold, where they are known.
     """
-    ways = phrases.select("phrase", _phrase_keys(F.col("phrase")).alias("ways"))
+    ways = _ways(phrases)
     several = ways.filter(F.size("ways") > 1).select("phrase", F.posexplode("ways").alias("way", "keys"))
-    wanted = several.select(F.explode("keys").alias("k")).distinct()
-    held = texts.select(F.explode(_text_keys(F.col("text"))).alias("k")).join(F.broadcast(wanted) if few else wanted, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    counted = several.select("phrase", "way", F.explode(F.array_distinct("keys")).alias("k")).join(held, "k", "left")
+    if held is None:
+        wanted = several.select(F.explode("keys").alias("k")).distinct()
+        held = texts.select(F.explode(_text_keys(F.col("text"))).alias("k")).join(wanted, "k")
+    often = held.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    counted = several.select("phrase", "way", F.explode(F.array_distinct("keys")).alias("k")).join(often, "k", "left")
     weight = counted.groupBy("phrase", "way").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     best = weight.groupBy("phrase").agg(F.min_by("way", F.struct("n", "way")).alias("way"))
     return ways.join(best, "phrase", "left").select("phrase", F.array_distinct(F.get("ways", F.coalesce("way", F.lit(0)))).alias("keys"))
@@ -91,16 +117,17 @@ def candidates(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("te
     plain = F.col("phrase").rlike(r"(?U)^\w+( \w+)?\z")
     p = F.struct(*fields, T.phrase_pattern(F.col("phrase")).alias("pattern"), plain.alias("plain")).alias("p")
     ways = _phrase_keys(F.col("phrase"))
-    size = phrases.agg(F.coalesce(F.sum(F.array_size(F.get(ways, F.lit(0)))), F.lit(0)).alias("keys"), F.coalesce(F.max(F.size(ways)), F.lit(0)).alias("ways")).first()
+    size = phrases.agg(F.coalesce(F.sum(F.array_size(F.flatten(ways))), F.lit(0)).alias("keys"), F.coalesce(F.max(F.size(ways)), F.lit(0)).alias("ways")).first()
     few, named = size["keys"] <= few_keys, phrases.select("phrase").distinct()
+    held = keys_held(texts, _ways(named).select(F.explode(F.flatten("ways")).alias("k")).distinct(), key) if few else None
     if size["ways"] > 1:
-        rarest = rarest_keys(texts, named, few)
+        rarest = rarest_keys(texts, named, held)
     else:
         rarest = named.select("phrase", F.array_distinct(F.get(ways, F.lit(0))).alias("keys"))
     keyed = phrases.select("phrase", p).join(rarest, "phrase").select("p", F.explode("keys").alias("k"))
-    words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
     if few:
-        return words.join(F.broadcast(keyed), "k").select(*key, "p")
+        return held.join(F.broadcast(keyed), "k").select(*key, "p")
+    words = texts.select(*key, F.explode(_text_keys(F.col("text"))).alias("k"))
     keyed = keyed.select("p", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     return words.withColumn("salt", F.pmod(F.xxhash64(*key), F.lit(SALTS)).cast("int")).join(keyed, ["k", "salt"]).select(*key, "p")
 
@@ -118,9 +145,18 @@ def matched(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_
     return joined.select(*key, F.transform(hits, lambda p: F.struct(*[p[f].alias(f) for f in fields])).alias("found"))
 
 
+def _one_each(found: DataFrame, *columns: str) -> DataFrame:
+    """A row for each phrase in ``found``.
+
+    By way of ``inline_outer``: before ``inline`` Spark puts a filter on the array's size, pushes it below the
+    search and so searches every text twice.
+    """
+    return found.select(*columns, F.inline_outer("found")).filter(F.col("phrase").isNotNull())
+
+
 def uses(texts: DataFrame, phrases: DataFrame, key: tuple[str, ...] = ("text_id",)) -> DataFrame:
     """(key, phrase): every phrase each text uses as a whole phrase."""
-    return matched(texts, phrases.select("phrase"), key).select(*key, F.inline("found"))
+    return _one_each(matched(texts, phrases.select("phrase"), key), *key)
 
 
 def pointers(definitions: DataFrame) -> DataFrame:
@@ -148,7 +184,7 @@ def section_terms(texts: DataFrame, definitions: DataFrame, key: tuple[str, ...]
     longer = inside.groupBy("phrase").agg(F.collect_list("text_id").alias("longer"))
     found = matched(texts, terms.join(longer, "phrase", "left"), key)
     covering = F.filter("found", lambda g: F.contains(g["phrase"], F.lit(" ")))
-    found = found.select(*key, covering.alias("covering"), F.inline("found")).select(*key, "covering", "phrase", "longer", F.inline("defs"))
+    found = _one_each(found.withColumn("covering", covering), *key, "covering").select(*key, "covering", "phrase", "longer", F.inline("defs"))
     covers = F.exists("covering", lambda g: F.array_contains(F.col("longer"), g["phrase"]) & F.exists(g["defs"], lambda d: d["def_hash"] == F.col("def_hash")))
     return found.select(*key, "phrase", "def_hash", "def_ord", F.coalesce(covers, F.lit(False)).alias("covered"))
 

@@ -12,18 +12,22 @@ from fojas.functions import text as T
 def footer_version(footer: Column) -> Column:
     """struct<edition, amendment, date> from a footer; NULL when no edition is printed.
 
-    Whichever edition form appears first in the footer counts.
+    Whichever edition form appears first in the footer counts. Each pattern is searched for once.
     """
-    line = F.regexp_extract(footer, fixed.EDITION, 0)
-    number = F.regexp_extract(line, fixed.EDITION_NUMBER, 1)
-    edition = F.when(number != "", T.roman(number)).otherwise(F.upper(F.regexp_extract(line, fixed.EDITION_ROMAN, 1)))
-    mark = F.regexp_extract(footer, fixed.AMENDMENT, 1)
-    amendment = F.when(mark == "", None).when(mark.rlike(r"^\d+\z"), T.roman(mark)).otherwise(F.upper(mark))
-    date = F.nullif(F.lower(T.collapse(F.regexp_extract(footer, fixed.FOOTER_DATE, 1))), F.lit(""))
-    return F.when(
-        footer.rlike(fixed.EDITION),
-        F.struct(edition.alias("edition"), amendment.alias("amendment"), date.alias("date")),
-    )
+
+    def edition(line: Column) -> Column:
+        in_roman = F.upper(F.regexp_extract(line, fixed.EDITION_ROMAN, 1))
+        return T.let(F.regexp_extract(line, fixed.EDITION_NUMBER, 1), lambda number: F.when(number != "", T.roman(number)).otherwise(in_roman))
+
+    def amendment(mark: Column) -> Column:
+        return F.when(mark == "", None).when(mark.rlike(r"^\d+\z"), T.roman(mark)).otherwise(F.upper(mark))
+
+    def version(line: Column) -> Column:
+        mark = T.let(F.regexp_extract(footer, fixed.AMENDMENT, 1), amendment)
+        date = T.let(F.lower(T.collapse(F.regexp_extract(footer, fixed.FOOTER_DATE, 1))), lambda d: F.nullif(d, F.lit("")))
+        return F.when(line != "", F.struct(edition(line).alias("edition"), mark.alias("amendment"), date.alias("date")))
+
+    return T.let(F.regexp_extract(footer, fixed.EDITION, 0), version)
 
 
 def printed_label(footer: Column, header: Column) -> Column:

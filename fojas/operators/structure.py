@@ -36,6 +36,8 @@ def pages(blocks: DataFrame) -> DataFrame:
     Pages with images only are pages too.
     """
     b = blocks.withColumn("place", F.when(F.col("block_type") == 0, _place(blocks, "text", "y0")))
+    # A body block only says that its page exists; its text is left behind before rows are sorted into pages.
+    b = b.select("content_hash", "pdf_page", "block_no", "place", F.when(F.col("place") != "body", F.col("text")).alias("text"))
 
     def joined(place: str, after: str) -> Column:
         rows = F.array_sort(F.collect_list(F.when(F.col("place") == place, F.struct("block_no", "text"))))
@@ -72,33 +74,34 @@ def parts(page_rows: DataFrame) -> DataFrame:
     return heads.join(common, "content_hash", "left").select("content_hash", "part", "page_count", "e.edition", "e.amendment")
 
 
-def body_lines(blocks: DataFrame, part_rows: DataFrame) -> DataFrame:
-    """Non-blank body lines of every file in reading order, numbered from 0."""
-    body = classified(blocks).filter(F.col("place") == "body")
-    rows = body.select(
-        "content_hash", "pdf_page", "block_no", "x0", "y0", "x1", "y1", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")
-    ).filter(T.nonblank(F.col("line")))
-    order = Window.partitionBy("content_hash").orderBy("pdf_page", "block_no", "line_no")
-    named = rows.join(part_rows.filter(F.col("part").isNotNull()).select("content_hash", "part"), "content_hash")
-    return named.withColumn("n", F.row_number().over(order) - 1)
-
-
 def _is_title(c: Column) -> Column:
     return c.rlike(r"(?U)^\s*\p{Lu}") & ~c.rlike(fixed.DIVISION_WORD)
 
 
-def headings(lines: DataFrame) -> DataFrame:
-    """Lines that head a section or, as a range of ids, only close one.
+def body_lines(blocks: DataFrame, part_rows: DataFrame) -> DataFrame:
+    """Non-blank body lines of every file in reading order, numbered from 0, with what headings are told by.
 
-    Returns content_hash, at, id (NULL for a range), title, body_at, and whether the heading is an
-    index entry instead: one of a run of three or more headings with at most a line between them, but
-    not the last of the run; or an id that comes again later.
+    ``head``: NULL for a line that cannot head a section, else id (NULL for a range), first_line, title_from and
+    body_at. ``run_end``: for a line starting in lowercase the next one that does not; NULL for others. Both come
+    from the neighbours of a line, so they are found while the file's lines are together.
     """
-    quoted = F.regexp_replace("part", r"(?U)(\W)", r"\\$1")
-    sid = F.concat(quoted, F.lit(fixed.SECTION_SUFFIX))
-    order = Window.partitionBy("content_hash").orderBy("n")
-    from_end = Window.partitionBy("content_hash").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    size = F.count(F.lit(1)).over(Window.partitionBy("content_hash"))
+    body = classified(blocks).filter(F.col("place") == "body")
+    rows = body.select(
+        "content_hash", "pdf_page", "block_no", "x0", "y0", "x1", "y1", F.posexplode(T.lines(F.col("text"))).alias("line_no", "line")
+    ).filter(T.nonblank(F.col("line")))
+    # Read from the end, the last line so far that stops a run of lowercase ones is kept from row to row; a frame to the
+    # end would be read anew for each. This one sort serves the numbers and the join too.
+    from_end = Window.partitionBy("content_hash").orderBy(*[F.desc(c) for c in ("pdf_page", "block_no", "line_no")])
+    upto = from_end.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    told = rows.withColumn("lower", F.col("line").rlike(r"(?U)^\s*\p{Ll}"))
+    told = told.withColumns({"place": F.row_number().over(from_end), "following": F.coalesce(F.lag("line").over(from_end), F.lit(""))})
+    told = told.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("content_hash")).cast("int")).withColumn("n", F.col("size") - F.col("place"))
+    # A title runs on over lines starting in lowercase: where that stops, from this line on.
+    told = told.withColumn("stop", F.coalesce(F.last(F.when(~F.col("lower"), F.col("n")), ignorenulls=True).over(upto), F.col("size")))
+    told = told.withColumns({f"stop{k}": F.coalesce(F.lag("stop", k).over(from_end), F.col("size")) for k in (1, 2)})
+    named = told.join(part_rows.filter(F.col("part").isNotNull()).select("content_hash", "part"), "content_hash")
+
+    sid = F.concat(F.regexp_replace("part", r"(?U)(\W)", r"\\$1"), F.lit(fixed.SECTION_SUFFIX))
 
     def pattern(*pieces) -> Column:
         return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in pieces])
@@ -106,35 +109,39 @@ def headings(lines: DataFrame) -> DataFrame:
     id_only = pattern(r"(?U)^\s*(", sid, r")\s*\z")
     id_title = pattern(r"(?U)^\s*(", sid, r")\s*(?:[–-]\s*|\s)(\S.*)\z")
     id_range = pattern(r"(?Uiu)^\s*", sid, r"\s+al\s+", sid, r"\b")
-    pick = lambda p, g: F.call_function("regexp_extract", F.col("line"), p, F.lit(g))
-    matches = lambda p: F.call_function("regexp_like", F.col("line"), p)
-
-    marked = lines.select(
-        "content_hash", "n", "line", F.coalesce(F.lead("line").over(order), F.lit("")).alias("following"), size.alias("size"),
-        pick(id_only, 1).alias("lone_id"), pick(id_title, 1).alias("titled_id"), pick(id_title, 2).alias("inline_title"),
-        matches(id_range).alias("ranged"), F.col("line").rlike(r"(?U)^\s*\p{Ll}").alias("lower"),
-    )
-    # A title runs on over lines starting in lowercase: where that stops, from this line on. Read from the
-    # end, the last such line so far is kept from row to row; a frame to the end would be read anew for each.
-    stop = F.coalesce(F.last(F.when(~F.col("lower"), F.col("n")), ignorenulls=True).over(from_end), F.col("size"))
-    marked = marked.withColumn("stop", stop)
-    for k in (1, 2):
-        marked = marked.withColumn(f"stop{k}", F.coalesce(F.lead("stop", k).over(order), F.col("size")))
+    # Codes hold no space, so a line without a number in its first word matches none of these patterns.
+    pick = lambda p, g: F.when(F.col("numbered"), F.call_function("regexp_extract", F.col("line"), p, F.lit(g))).otherwise("")
+    ranged = F.when(F.col("numbered"), F.call_function("regexp_like", F.col("line"), id_range)).otherwise(False)
+    told = named.withColumn("numbered", F.col("line").rlike(r"(?U)^\s*\S+\.\d")).withColumns({
+        "lone_id": pick(id_only, 1), "titled_id": pick(id_title, 1), "inline_title": pick(id_title, 2), "ranged": ranged,
+    })
     is_range = F.col("ranged") | ((F.col("lone_id") != "") & F.col("following").rlike(r"(?Uiu)^\s*al\b"))
     alone = (F.col("lone_id") != "") & F.col("following").rlike(r"(?U)^\s*\p{L}") & ~F.col("following").rlike(fixed.DIVISION_WORD)
     inline = (F.col("titled_id") != "") & _is_title(F.col("inline_title"))
-    found = marked.filter(is_range | alone | inline).select(
-        "content_hash", F.col("n").alias("at"),
-        F.when(is_range, None).when(alone, F.col("lone_id")).otherwise(F.col("titled_id")).alias("id"),
-        F.when(is_range, "").when(alone, F.col("following")).otherwise(F.col("inline_title")).alias("first_line"),
-        F.when(is_range, F.col("n") + 1).when(alone, F.col("n") + 2).otherwise(F.col("n") + 1).alias("title_from"),
-        # A lone id on the last line but one has its title there and no body line left.
-        F.when(is_range, F.col("n") + 1).when(alone, F.greatest("stop2", F.col("n") + 2)).otherwise(F.col("stop1")).alias("body_at"),
+    ranges, lone = F.struct(  # a range only closes a section
+        F.lit(None).cast("string").alias("id"), F.lit("").alias("first_line"), (F.col("n") + 1).alias("title_from"), (F.col("n") + 1).alias("body_at")
+    ), F.struct(  # a lone id on the last line but one has its title there and no body line left
+        F.col("lone_id").alias("id"), F.col("following").alias("first_line"), (F.col("n") + 2).alias("title_from"), F.greatest("stop2", F.col("n") + 2).alias("body_at")
     )
+    titled = F.struct(F.col("titled_id").alias("id"), F.col("inline_title").alias("first_line"), (F.col("n") + 1).alias("title_from"), F.col("stop1").alias("body_at"))
+    return told.select(
+        "content_hash", "part", "n", "pdf_page", "line", "x0", "y0", "x1", "y1",
+        F.when(is_range, ranges).when(alone, lone).when(inline, titled).alias("head"), F.when(F.col("lower"), F.col("stop")).alias("run_end"),
+    )
+
+
+def headings(lines: DataFrame) -> DataFrame:
+    """Lines that head a section or, as a range of ids, only close one.
+
+    Returns content_hash, at, id (NULL for a range), title, body_at, and whether the heading is an
+    index entry instead: one of a run of three or more headings with at most a line between them, but
+    not the last of the run; or an id that comes again later.
+    """
+    found = lines.filter(F.col("head").isNotNull()).select("content_hash", F.col("n").alias("at"), "head.*")
     # Text of wrapped title lines, per run of lowercase lines.
-    low = marked.filter("lower").select("content_hash", "n", "stop", "line")
-    runs = low.groupBy("content_hash", "stop").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("run"))
-    wrapped = found.join(runs.withColumnRenamed("stop", "body_at"), ["content_hash", "body_at"], "left")
+    low = lines.filter(F.col("run_end").isNotNull()).select("content_hash", F.col("run_end").alias("body_at"), "n", "line")
+    runs = low.groupBy("content_hash", "body_at").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("run"))
+    wrapped = found.join(runs, ["content_hash", "body_at"], "left")
     tail = F.transform(F.filter(F.coalesce("run", F.array()), lambda r: r["n"] >= F.col("title_from")), lambda r: r["line"])
     title = T.collapse(F.array_join(F.concat(F.array("first_line"), tail), " "))
     h = wrapped.select(
@@ -160,23 +167,24 @@ def section_lines(lines: DataFrame, heads: DataFrame) -> DataFrame:
     A heading opens its section and is part of its text; a range or a division heading closes it;
     lines of index entries belong to nothing.
     """
-    order = Window.partitionBy("content_hash").orderBy("n")
-    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Heads are set before their lines as rows of their own, so the lines are exchanged by file alone and stay there.
     h = heads.select(
         "content_hash", F.col("at").alias("n"), F.struct("at", "id", "title", "is_index", "index_until").alias("h")
     )
-    marked = lines.join(h, ["content_hash", "n"], "left")
+    order = Window.partitionBy("content_hash").orderBy("n", F.col("line").isNotNull())
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = lines.drop("head", "run_end").unionByName(h, allowMissingColumns=True)
     marked = marked.withColumn("last_head", F.last("h", ignorenulls=True).over(upto))
-    opens = F.col("h").isNotNull() & ~F.col("h.is_index")
+    opens = F.coalesce((F.col("last_head.at") == F.col("n")) & ~F.col("last_head.is_index"), F.lit(False))
     skipped = ~opens & F.coalesce(F.col("last_head.is_index") & (F.col("n") < F.col("last_head.index_until")), F.lit(False))
     divides = ~opens & ~skipped & F.col("line").rlike(fixed.DIVISION)
     marked = marked.withColumn("skipped", skipped).withColumn("divides", divides)
-    marker = F.when(opens, F.struct(F.col("h.id").alias("id"), F.col("h.title").alias("title"), F.col("h.at").alias("at"))).when(
+    marker = F.when(opens, F.struct(*[F.col(f"last_head.{f}").alias(f) for f in ("id", "title", "at")])).when(
         F.col("divides"),
         F.struct(F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("title"), F.col("n").alias("at")),
     )
     marked = marked.withColumn("open", F.last(marker, ignorenulls=True).over(upto))
-    inside = F.col("open.id").isNotNull() & ~F.col("skipped") & ~F.col("divides")
+    inside = F.col("line").isNotNull() & F.col("open.id").isNotNull() & ~F.col("skipped") & ~F.col("divides")
     return marked.filter(inside).select(
         "content_hash", "part", "n", "pdf_page", F.col("open.id").alias("section"), F.col("open.title").alias("title"),
         F.col("open.at").alias("section_ord"), "line", "x0", "y0", "x1", "y1",
@@ -198,8 +206,8 @@ def _page_texts(rows: DataFrame, keys: list[str]) -> DataFrame:
 def with_versions(page_texts: DataFrame, page_rows: DataFrame, keys: list[str]) -> DataFrame:
     """Page texts with their printed label and version, numbered within their section."""
     versions = page_rows.select("content_hash", "pdf_page", "printed_page", "edition", "amendment", "date")
-    index = F.row_number().over(Window.partitionBy(*keys).orderBy("pdf_page")) - 1
-    return page_texts.join(versions, ["content_hash", "pdf_page"], "left").withColumn("page_index", index)
+    index = F.row_number().over(Window.partitionBy(*keys).orderBy("pdf_page")) - 1  # numbered where the pages are, before the exchange
+    return page_texts.withColumn("page_index", index).join(versions, ["content_hash", "pdf_page"], "left")
 
 
 SECTION_KEYS = ["content_hash", "part", "section", "section_ord", "title"]

@@ -166,12 +166,14 @@ def page_blocks(documents):
             .otherwise(line)
         )
 
-    lines = F.split("text", "\n")
-    n_pages = F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int")
-    body = lambda p: F.array_join(F.transform(F.slice(lines, (p - 1) * LINES_PER_PAGE + 1, LINES_PER_PAGE), laid), "\n")
+    def bodies(lines):
+        numbers = F.sequence(F.lit(1), F.ceil(F.size(lines) / LINES_PER_PAGE).cast("int"))
+        return F.transform(numbers, lambda p: F.array_join(F.transform(F.slice(lines, (p - 1) * LINES_PER_PAGE + 1, LINES_PER_PAGE), laid), "\n"))
+
+    # A text is cut once, not once for each of its pages.
     page = documents.select(
-        F.col("doc_id").cast("string").alias("content_hash"), "n_chars", F.explode(F.sequence(F.lit(1), n_pages)).alias("pdf_page"), "text"
-    )
+        F.col("doc_id").cast("string").alias("content_hash"), "n_chars", F.posexplode(T.let(F.split("text", "\n"), bodies)).alias("place", "body")
+    ).select("content_hash", "n_chars", (F.col("place") + 1).alias("pdf_page"), "body")
     p = F.col("pdf_page")
     footer = F.concat(
         F.lit("ADMINISTRACIÓN NACIONAL\n"), ((F.col("n_chars") + p) % 3 + 1).cast("string"), F.lit("º Edición\nmayo 2026\nDE AVIACIÓN CIVIL\n"),
@@ -181,7 +183,7 @@ def page_blocks(documents):
     block = lambda no, y, text: F.struct(
         F.lit(no).alias("block_no"), F.lit(0).alias("block_type"), F.lit(72.04).alias("x0"), F.lit(y).alias("y0"), F.lit(300.0).alias("x1"), F.lit(y + 1).alias("y1"), text.alias("text")
     )
-    blocks = F.array(block(0, 10.0, header), block(1, 100.0, body(p)), block(2, 750.0, footer))
+    blocks = F.array(block(0, 10.0, header), block(1, 100.0, F.col("body")), block(2, 750.0, footer))
     return page.select("content_hash", "pdf_page", F.lit(800.0).alias("page_height"), F.inline(blocks))
 
 

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,7 @@ from fojas.functions import labels as L
 from fojas.functions import text as T
 from fojas.operators import refs as R
 from fojas.operators import structure as S
+from fojas.queries.corpus import page_blocks
 
 MARK = fixed.CORPUS
 
@@ -146,6 +149,36 @@ def test_headings_of_a_long_file_take_linear_time(spark):
     assert seconds(16_000) < 8 * max(1.0, seconds(4_000))
 
 
+def test_line_texts_are_exchanged_once_for_sections(spark, parsed, tmp_path):
+    """Headings are told by marks that lines carry, and sections found where the file's lines are."""
+    pages = S.pages(parsed)
+    S.body_lines(parsed, S.parts(pages)).write.parquet(str(tmp_path / "lines"))
+    sections = S.sections_of_lines(spark.read.parquet(str(tmp_path / "lines")), pages)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = sections._jdf.queryExecution().explainString(mode)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)", plan)
+    assert len(moved) > 1 and len([m for m in moved if re.search(r"\bline#", m)]) == 1
+
+
+def test_lines_are_cut_at_every_break(spark):
+    texts = ["", "\n", "a", "a\nb\n", "a\r\nb", "\r\r\n\n", *[f"x{b}y\n{b}" for b in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"], "a\x1fb\u2027c\u00a0"]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING").select("t", T.lines(F.col("t")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [*[re.split(T.LINE_BREAKS, t) for t in texts], None]
+
+
+def test_texts_and_footers_are_searched_once(spark):
+    """A text is cut once for all of its pages, and each pattern looks at a footer once, however often its match is used."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    docs = spark.createDataFrame([(1, 30, "\n".join("abc" for _ in range(30))), (2, 0, ""), (3, None, None)], "doc_id INT, n_chars INT, text STRING")
+    blocks = page_blocks(docs)
+    assert plan(blocks).count("split(") == 1
+    assert sorted((r["content_hash"], r["pdf_page"], r["text"].count("abc")) for r in blocks.filter("block_no = 1").collect()) == [("1", 1, 12), ("1", 2, 12), ("1", 3, 6), ("2", 1, 0)]
+    footers = spark.createDataFrame([("5º Edición\nEnmienda 12\n",), ("V Edición\nEnmienda ii\n",), (None,)], "f STRING")
+    version = footers.select(L.footer_version(F.col("f")).alias("v"))
+    assert [plan(version).count(p) for p in (fixed.EDITION, fixed.EDITION_NUMBER, fixed.AMENDMENT, fixed.FOOTER_DATE)] == [1] * 4
+    assert [r["v"] for r in version.collect()] == [("V", "XII", None), ("V", "II", None), None]
+
+
 def test_references_search_a_page_twice(spark):
     """Both kinds of reference in one search and one cut, and lines found without a pass over them for each reference."""
     text = "  según RAAC\nParte 91 y 67;\n(b)\nSecciones 61. 3 (a)(1) o 91.5\nsigue PARTES 7, LA\n\xa0fin. Sección 61.9\n\n "
